@@ -99,10 +99,10 @@ def add_columns(df: DataFrame, text: str, added: str, fn: Callable[[list[bytes]]
     return df.mapInArrow(run, schema)
 
 
-def salted_left(left: DataFrame, right: DataFrame, on: str, salts: int = 16) -> DataFrame:
-    """Left join with a hot key: ``left`` rows of a key spread over ``salts``, ``right`` holds one row per key."""
+def salted_left(left: DataFrame, right: DataFrame, on: str, by: str, salts: int = 16) -> DataFrame:
+    """Left join with hot keys: a key's ``left`` rows are spread over ``salts`` by the column ``by``; ``right`` has one row per key."""
     salt = "__salt"
-    spread = left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    spread = left.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [on, salt], "left").drop(salt)
 

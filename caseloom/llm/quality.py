@@ -94,14 +94,14 @@ def host_verdicts(measured: DataFrame, host: str = "source", m: str = "__m", rat
     return by_host.withColumn("rate", shrunk).withColumn("bad_host", F.col("rate") >= rate)
 
 
-def judged(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, measured: DataFrame | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default), the measures ``__m``, and ``__kept``."""
+def judged(docs: DataFrame, text: str = "text", host: str = "source", by: str = "doc_id", keep: list[str] | None = None, measured: DataFrame | None = None) -> DataFrame:
+    """The columns ``keep`` (all by default), the measures ``__m``, and ``__kept``; ``by`` spreads a hot host's rows."""
     keep = docs.columns if keep is None else keep
-    first = measured if measured is not None else with_measures(docs.select(*dict.fromkeys([*keep, host, text])), text)
+    first = measured if measured is not None else with_measures(docs.select(*dict.fromkeys([*keep, host, by, text])), text)
     slim = measured if measured is not None else with_measures(docs.select(text, host), text)
     verdict = host_verdicts(slim, host).select(F.concat(F.col("__no_host").cast("string"), "__host").alias("__key"), "bad_host")
     keyed = first.withColumn("__key", F.concat(F.col(host).isNull().cast("string"), F.coalesce(F.col(host).cast("string"), F.lit(""))))
-    joined = salted_left(keyed, verdict, "__key")
+    joined = salted_left(keyed, verdict, "__key", by)
     m = F.col("__m")
     kept = ~base_failed(m) & ~(F.coalesce(F.col("bad_host"), F.lit(False)) & soft_failed(m))
     return joined.select(*keep, "__m", kept.alias("__kept"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import decontaminate, packing, quality
+from caseloom.llm import decontaminate, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": quality.op2,
         "op3_decontamination": decontaminate.op3,
+        "op8_simhash": simhash.op8,
         "op10_packing": packing.op10,
     }
 
