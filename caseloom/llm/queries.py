@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import decontaminate, packing, quality, simhash
+from caseloom.llm import decontaminate, packing, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_warc": warc.op1,
         "op2_quality_rules": quality.op2,
         "op3_decontamination": decontaminate.op3,
         "op8_simhash": simhash.op8,
