@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import decontaminate, html_text, packing, quality, simhash, warc
+from caseloom.llm import decontaminate, html_text, packing, quality, simhash, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_decontamination": decontaminate.op3,
         "op7_html_text": html_text.op7,
         "op8_simhash": simhash.op8,
+        "op9_substrings": substrings.op9,
         "op10_packing": packing.op10,
     }
 
