@@ -3,7 +3,7 @@
 The trie is a table with a row per context: its successors and their counts in
 the training texts, for contexts of ``order`` bytes and all their suffixes.  A
 byte is coded in its longest known context; if it is new there, an escape
-(method C: as often as there are distinct successors) leads to the next shorter
+(method D: half a count is kept back for each distinct successor) leads to the next shorter
 one, and successors already ruled out are excluded.  Below order zero all bytes
 left are equally likely.  Each text is coded with an end symbol.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm.common import LOWER, small_batches, stored, table
 
-ORDER = 4
+ORDER = 5
 CHUNK_BYTES = 16 << 20
 #: Bytes that are coded at once inside a chunk.
 STEP_BYTES = 4 << 20
@@ -168,9 +168,9 @@ class Model:
             live = {s: n for s, n in node.items() if s not in out} if node and out else node
             if not live:
                 continue
-            total = sum(live.values()) + len(live)
+            total = 2 * sum(live.values())
             if sym in live:
-                score += math.log10(live[sym] / total)
+                score += math.log10((2 * live[sym] - 1) / total)
                 break
             score += math.log10(len(live) / total)
             out |= live.keys()
