@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import decontaminate, html_text, lines, packing, ppm, quality, simhash, substrings, warc
+from caseloom.llm import decontaminate, html_text, lines, packing, personal, ppm, quality, simhash, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_quality_rules": quality.op2,
         "op3_decontamination": decontaminate.op3,
         "op4_ppm": ppm.op4,
+        "op5_personal": personal.op5,
         "op6_lines": lines.op6,
         "op7_html_text": html_text.op7,
         "op8_simhash": simhash.op8,
