@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import decontaminate, packing, quality
+from caseloom.llm import decontaminate, lines, packing, quality, simhash
 from caseloom.llm.common import stored
 
 STAGES = [
     ("quality_rules", quality.stage),
+    ("line_dedup", lines.stage),
+    ("simhash_near_dedup", simhash.stage),
     ("benchmark_decontamination", decontaminate.stage),
     ("packing", packing.stage),
 ]
