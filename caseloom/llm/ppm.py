@@ -22,27 +22,31 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import LOWER, small_batches, stored, table
 
 ORDER = 5
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 #: Bytes that are coded at once inside a chunk.
 STEP_BYTES = 4 << 20
 #: Neither byte occurs in UTF-8: one stands before a text, the other ends it.
 START, END = b"\xfe", b"\xff"
 #: The end token, which no word can be, as it is white space.
 END_TOKEN = b"\n"
-KEYS = "chunk bigint, gram boolean, key binary, n bigint"
-SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+#: First bytes of the keys of words and of contexts.
+WORD, CONTEXT = b"w", b"c"
+#: A word has one count; a context has the bytes that follow it and a count of each, eight bytes apiece.
+ROWS = "chunk bigint, key binary, syms binary, ns binary"
+#: What a chunk returns: a row per document, and one with the sums over the words that it heads.
+PARTS = "totals boolean, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -89,16 +93,34 @@ def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
     return key[inside], np.cumsum(lengths) - lengths
 
 
+def contexts(found: Counter, order: int = ORDER) -> Iterator[tuple[bytes, bytes, bytes]]:
+    """(context, successors, counts) of grams and of all their suffixes."""
+    gram = np.fromiter(found.keys(), np.int64, len(found))
+    n = np.fromiter(found.values(), np.int64, len(found))
+    for j in range(order, -1, -1):
+        gram, at = np.unique(gram & ((1 << (8 * (j + 1))) - 1), return_inverse=True)
+        n = np.bincount(at, n).astype(np.int64)
+        ctx, syms = gram >> 8, (gram & 255).astype(np.uint8).tobytes()
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))), len(ctx)).tolist() if len(ctx) else [0]
+        raw, ids = n.astype("<i8").tobytes(), ctx.tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield ids[a].to_bytes(j, "big"), syms[a:b], raw[8 * a : 8 * b]
+
+
 def counted(chunks: DataFrame, order: int = ORDER) -> DataFrame:
-    """``KEYS``: each chunk's words and grams with their training counts; those of held-out texts alone have none."""
+    """``ROWS``: each chunk's words and contexts with their training counts; those of held-out texts alone count nothing."""
 
     def rows(chunk: int, words: Counter, found: Counter) -> Iterator[pa.RecordBatch]:
-        for gram, counts in ((False, words), (True, found)):
-            keys, n = list(counts), list(counts.values())
-            for a in range(0, len(keys), 50_000):
-                part = keys[a : a + 50_000]
-                part = [k.to_bytes(order + 1, "big") for k in part] if gram else part
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array([gram] * len(part)), pa.array(part, pa.binary()), pa.array(n[a : a + 50_000], pa.int64())], names=["chunk", "gram", "key", "n"])
+        def each() -> Iterator[tuple[bytes, bytes, bytes]]:
+            for w, n in words.items():
+                yield WORD + w, b"", n.to_bytes(8, "little")
+            for ctx, syms, ns in contexts(found, order):
+                yield CONTEXT + ctx, syms, ns
+
+        every = each()
+        while part := list(islice(every, 50_000)):
+            keys, syms, ns = zip(*part)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), *[pa.array(c, pa.binary()) for c in (keys, syms, ns)]], names=["chunk", "key", "syms", "ns"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, found = None, Counter(), Counter()
@@ -128,27 +150,54 @@ def counted(chunks: DataFrame, order: int = ORDER) -> DataFrame:
         if now is not None:
             yield from rows(now, words, found)
 
-    return chunks.mapInArrow(run, KEYS).groupBy("chunk", "gram", "key").agg(F.sum("n").alias("n"))
+    return chunks.mapInArrow(run, ROWS)
 
 
-def totals(counts: DataFrame) -> DataFrame:
-    """``counts`` with the total over all chunks; one of a key's rows is its ``head``.  A key has at most a row per chunk."""
-    over = W.partitionBy("gram", "key").orderBy("chunk")
-    return stored(counts.select("chunk", "gram", "key", F.sum("n").over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"), (F.row_number().over(over) == 1).alias("head")), "totals")
+def merged(rows: DataFrame) -> DataFrame:
+    """``rows`` with the counts of all chunks in each: a key's rows, one per chunk that has it, meet in order of keys.
+
+    ``head`` marks one row of each key, so that sums over heads count a key once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, one, total = None, [], None, Counter()
+        out: list[list] = [[], [], [], [], []]
 
+        def fold(syms: bytes, ns: bytes) -> None:
+            for k, v in zip(syms or b"\0", memoryview(ns).cast("q")):
+                total[k] += v
 
-def suffixes(key: str, order: int) -> list:
-    """The contexts of a gram, longest first."""
-    return [F.substring(key, j + 1, order - j) for j in range(order + 1)]
+        def flush() -> None:
+            syms, ns = one or (b"" if now[:1] == WORD else bytes(total), np.fromiter(total.values(), "<i8", len(total)).tobytes())
+            for k, chunk in enumerate(dict.fromkeys(asked)):
+                for column, v in zip(out, (chunk, now, syms, ns, k == 0)):
+                    column.append(v)
 
+        def batch_out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["chunk", "key", "syms", "ns", "head"])
+            for column in out:
+                column.clear()
+            return made
+
+        for batch in batches:
+            for chunk, key, syms, ns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if now is not None:
+                        flush()
+                    now, asked, one = key, [chunk], (syms, ns)
+                    continue
+                if one:
+                    total.clear()
+                    fold(*one)
+                    one = None
+                fold(syms, ns)
+                asked.append(chunk)
+            yield batch_out()
+        if now is not None:
+            flush()
+        yield batch_out()
 
-def trie(keys: DataFrame, order: int = ORDER) -> DataFrame:
-    """``ctx, syms, ns``: a row per context, with its successors and their counts."""
-    seen = keys.where("gram and head and total > 0").select("key", "total")
-    nodes = seen.select(F.explode(F.array(*suffixes("key", order))).alias("ctx"), F.substring("key", order + 1, 1).alias("sym"), "total")
-    each = nodes.groupBy("ctx", "sym").agg(F.sum("total").alias("n"))
-    kids = each.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("sym", "n"))).alias("kids"))
-    return kids.select("ctx", F.col("kids.sym").alias("syms"), F.col("kids.n").alias("ns"))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"{ROWS}, head boolean")
 
 
 class Model:
@@ -190,39 +239,35 @@ class Model:
 
 
 def scored(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``SCORES`` of every row."""
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     chunks = chunked(docs, chunk_bytes)
-    keys = totals(counted(chunks, order))
-    n_train, n_distinct = (int(x or 0) for x in keys.where("not gram and head").agg(F.sum("total"), F.count_if(F.col("total") > 0)).first())
-    nodes = trie(keys, order)
-    wanted = keys.where("gram").select("chunk", F.explode(F.array(*suffixes("key", order))).alias("ctx")).distinct()
-    empty = F.array().cast("array<bigint>")
-    contexts = wanted.join(nodes, "ctx").select("chunk", F.lit(True).alias("gram"), F.col("ctx").alias("key"), F.lit(0).cast("long").alias("total"), "syms", "ns")
-    words = keys.where("not gram").select("chunk", "gram", "key", "total", F.array().cast("array<binary>").alias("syms"), empty.alias("ns"))
-    floor = n_train + n_distinct + 1
+    known = merged(counted(chunks, order))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        gram = right["gram"].to_numpy()
-        own = right.filter(pa.array(~gram))
-        total = dict(zip(own["key"].to_pylist(), own["total"].to_pylist(), strict=True))
-        held = right.filter(pa.array(gram))
-        nodes = {}
-        for ctx, syms, ns in zip(held["key"].to_pylist(), held["syms"].to_pylist(), held["ns"].to_pylist(), strict=True):
-            nodes[ctx] = {s[0]: n for s, n in zip(syms, ns, strict=True)}
-        log = {w: math.log10((c + 1) / floor) for w, c in total.items()}
-        known = {w: c > 0 for w, c in total.items()}
+        log, nodes, n_train, n_distinct = {}, {}, 0, 0
+        for key, syms, ns, head in zip(*(right[c].to_pylist() for c in ("key", "syms", "ns", "head")), strict=True):
+            if key[:1] == WORD:
+                n = int.from_bytes(ns, "little")
+                log[key[1:]] = math.log10(n + 1)
+                n_train += n * head
+                n_distinct += head and n > 0
+            else:
+                nodes[key[1:]] = {s: n for s, n in zip(syms, memoryview(ns).cast("q")) if n}
         texts = left["t"].to_pylist()
-        n_tokens, n_known, base = [], [], []
+        n_tokens, n_known, base = [n_train], [n_distinct], [0.0]
         for t in texts:
-            words = [*t.translate(LOWER).split(), END_TOKEN]
-            n_tokens.append(len(words))
-            n_known.append(sum(map(known.__getitem__, words)))
-            base.append(math.fsum(map(log.__getitem__, words)))
-        made = [left["doc_id"], left["held_out"], n_tokens, n_known, [n_train] * len(texts), base, Model(nodes, order).scores(texts)]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(made, kinds, strict=True)], names=[x.split()[0] for x in SCORES.split(", ")])
-
-    return chunks.groupBy("chunk").cogroup(words.unionByName(contexts).groupBy("chunk")).applyInArrow(score, SCORES)
+            each = [log[w] for w in t.translate(LOWER).split()] + [log[END_TOKEN]]
+            n_tokens.append(len(each))
+            n_known.append(sum(x > 0 for x in each))
+            base.append(math.fsum(each))
+        cols = [[True] + [False] * len(texts), [None, *left["doc_id"].to_pylist()], [None, *left["held_out"].to_pylist()], n_tokens, n_known, base, [0.0, *Model(nodes, order).scores(texts)]]
+        kinds = [pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
+
+    parts = stored(chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, PARTS), "scores")
+    n_train, n_distinct = (int(x or 0) for x in parts.where("totals").agg(F.sum("n_tokens"), F.sum("n_known")).first())
+    base = F.col("base") - F.col("n_tokens") * math.log10(n_train + n_distinct + 1)
+    return parts.where("not totals").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
