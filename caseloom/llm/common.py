@@ -40,7 +40,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,7 +49,7 @@ def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"t_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", shared_path(spark, name)).saveAsTable(name)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", shared_path(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 

@@ -6,7 +6,7 @@ a Jaccard similarity of at least 4/5 to it; both are judged on the input.
 
 Lines with equal word sets are one class, known by its first line.  The words
 of a class are ordered by rarity; only its prefix enters the inverted index,
-without words that no other line has.  Classes that meet there pass the length
+without words that no other line has, and under 32 bits of the words' hashes.  Classes that meet there pass the length
 filter, the positional filter and a bitmap bound on their difference; what is
 left is verified on whole word sets.  Rarity comes from a table of ``SLOTS``
 hashed counts, whose size is fixed: it sets the order only, never the result.
@@ -41,17 +41,19 @@ MIN_WORDS = 5
 SLOTS, SLICES = 1 << 25, 64
 BLOCK = 1024
 NEAR = 32
-CLASS = "s1 bigint, s2 bigint, doc bigint, line int, n int, b1 bigint, b2 bigint, words array<bigint>, ranks array<int>"
+CLASS = "s1 bigint, s2 bigint, doc bigint, line int, n int, b1 bigint, b2 bigint, words array<int>, ranks array<int>"
 
 
 class Lines:
     """The eligible lines of some texts: (text, line number, number of words) and their distinct words, hashed."""
 
-    def __init__(self, texts: list[bytes], min_words: int = MIN_WORDS):
+    def __init__(self, texts: list[bytes], min_words: int = MIN_WORDS, only: list[set[int]] | None = None):
         flat: list[bytes] = []
         sizes, doc, number = [], [], []
         for d, t in enumerate(texts):
             for k, x in enumerate(t.split(b"\n")):
+                if only is not None and k not in only[d]:
+                    continue
                 w = x.split()
                 if len(w) >= min_words:
                     flat += w
@@ -135,7 +137,7 @@ def classes(docs: DataFrame, scale: np.ndarray) -> DataFrame:
             "s1": signed(np.add.reduceat(mixed(h, 0x9E3779B97F4A7C15), x.first)), "s2": signed(np.add.reduceat(mixed(h, 0xC2B2AE3D27D4EB4F), x.first)),
             "doc": batch.column(0).to_numpy()[x.doc], "line": x.number, "n": x.n,
             "b1": signed(np.bitwise_or.reduceat(low, x.first)), "b2": signed(np.bitwise_or.reduceat(mask ^ low, x.first)),
-            "words": pa.ListArray.from_arrays(offsets, signed(h[pick].copy())), "ranks": pa.ListArray.from_arrays(offsets, rank[pick].astype(np.int32)),
+            "words": pa.ListArray.from_arrays(offsets, (h[pick] >> np.uint64(32)).astype(np.uint32).view(np.int32)), "ranks": pa.ListArray.from_arrays(offsets, rank[pick].astype(np.int32)),
         }
 
     every = map_rows(text_column(docs), CLASS, run)
@@ -199,12 +201,10 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ends = pairs.select("doc", "line").union(pairs.select("doc2", "line2")).groupBy("doc").agg(F.collect_set("line").alias("lines"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        x = Lines(batch.column(1).to_pylist())
-        wanted = [set(w) for w in batch.column(2).to_pylist()]
-        take = np.array([k in wanted[d] for d, k in zip(x.doc.tolist(), x.number.tolist(), strict=True)], bool)
-        if take.any():
-            offsets = np.concatenate(([0], np.cumsum(x.n[take]))).astype(np.int32)
-            yield {"doc": batch.column(0).to_numpy()[x.doc[take]], "line": x.number[take], "set": pa.ListArray.from_arrays(offsets, x.hash[take[x.line]].view(np.int64))}
+        x = Lines(batch.column(1).to_pylist(), only=[set(w) for w in batch.column(2).to_pylist()])
+        if len(x.n):
+            offsets = np.concatenate(([0], np.cumsum(x.n))).astype(np.int32)
+            yield {"doc": batch.column(0).to_numpy()[x.doc], "line": x.number, "set": pa.ListArray.from_arrays(offsets, x.hash.view(np.int64))}
 
     found = map_rows(text_column(docs).join(ends.withColumnRenamed("doc", "doc_id"), "doc_id"), "doc bigint, line int, set array<bigint>", run)
     found = stored(found.dropDuplicates(["doc", "line"]), "line-sets")
