@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Terms that are specific to a category, terms that need a context, and two patterns with a gap.
@@ -35,51 +35,65 @@ def pattern(category: str, keyword: str, gapped: Mapping = GAPPED) -> str:
     return "(?iU)" + gapped.get((category, keyword), r"\s*".join(map(re.escape, keyword)))
 
 
-def hit(text: Column, category: str, keyword: str, weight: int, gapped: Mapping, context: Mapping) -> Column:
-    """The first accepted occurrence as a struct, or null."""
-    p = pattern(category, keyword, gapped)
-    found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    pieces = F.split(text, p, -1)
-    start = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-    if (category, keyword) in context:
-        allow, deny = context[(category, keyword)]
-        each = F.transform(found, lambda m, i: F.struct(start(i).alias("start"), (start(i) + F.length(m)).alias("end")))
-        around = lambda s: F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, s["end"] + WINDOW - F.greatest(s["start"] - WINDOW, F.lit(0)))
-        place = F.get(F.filter(each, lambda s: around(s).rlike(f"(?i){allow}") & ~around(s).rlike(f"(?i){deny}")), 0)
-    else:
-        place = F.struct(F.length(pieces[0]).alias("start"), (F.length(pieces[0]) + F.length(found[0])).alias("end"))
-    made = F.struct(F.lit(category).alias("category"), F.lit(keyword).alias("keyword"), F.lit(weight).alias("weight"), place["start"].alias("start"), place["end"].alias("end"))
-    return F.when(text.rlike(p) & place["start"].isNotNull(), made)
-
-
-def hits(text: Column, catalogue: Mapping[str, Sequence[str]], specific: Mapping = SPECIFIC, gapped: Mapping = GAPPED, context: Mapping = CONTEXT) -> Column:
-    """Accepted hits, without those that a wider and heavier hit contains."""
-    every = []
+def first_place(text: Column, expression: str) -> Column:
+    """Start and end of the first match, or null."""
+    at = F.regexp_instr(text, F.lit(expression))
+    return F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(F.regexp_substr(text, F.lit(expression)))).alias("end")))
+
+
+def place_in_context(text: Column, expression: str, allow: str, deny: str) -> Column:
+    """Start and end of the first match whose surroundings match ``allow`` and not ``deny``, or null.
+
+    A match's place is the length of all pieces and matches before it.
+    """
+    found, pieces = F.regexp_extract_all(text, F.lit(expression), F.lit(0)), F.transform(F.split(text, expression, -1), F.length)
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    before = lambda i: total(F.slice(pieces, F.lit(1), i + 1)) + total(F.transform(F.slice(found, F.lit(1), i), F.length))
+    starts = F.transform(found, lambda m, i: F.struct(before(i).alias("start"), F.length(m).alias("n")))
+    around = F.transform(starts, lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["n"]).alias("end"), F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, s["n"] + WINDOW + F.least(s["start"], F.lit(WINDOW))).alias("seen")))
+    fit = F.get(F.filter(around, lambda s: s["seen"].rlike(f"(?i){allow}") & ~s["seen"].rlike(f"(?i){deny}")), 0)
+    return F.when(text.rlike(expression), fit)
+
+
+def hits(rows: DataFrame, text: str, catalogue: Mapping[str, Sequence[str]], specific: Mapping = SPECIFIC, gapped: Mapping = GAPPED, context: Mapping = CONTEXT) -> DataFrame:
+    """``rows`` with ``hits``: accepted hits, without those that a wider and heavier hit contains.
+
+    The hits become a column before they are compared with each other, so no
+    pattern is matched twice.
+    """
+    places, every, found = {}, [], rows
     for category, words in catalogue.items():
         for keyword in dict.fromkeys(re.sub(r"\s+", "", w) for w in words):
             if keyword:
-                every.append(hit(text, category, keyword, WEIGHT if keyword in specific.get(category, ()) else 1, gapped, context))
-    found = F.array_compact(F.array(*every))
-    inside = lambda h, o: (o["start"] <= h["start"]) & (o["end"] >= h["end"]) & ((o["start"] < h["start"]) | (o["end"] > h["end"])) & ((o["weight"] > h["weight"]) | ((o["category"] == h["category"]) & (o["weight"] >= h["weight"])))
-    return F.filter(found, lambda h: ~F.exists(found, lambda o: inside(h, o)))
+                p, name, t = pattern(category, keyword, gapped), f"__p{len(places)}", F.col(text)
+                places[name] = place_in_context(t, p, *context[(category, keyword)]) if (category, keyword) in context else first_place(t, p)
+                weight = WEIGHT if keyword in specific.get(category, ()) else 1
+                every.append(F.when(F.col(name).isNotNull(), F.struct(F.lit(category).alias("category"), F.lit(keyword).alias("keyword"), F.lit(weight).alias("weight"), F.col(name)["start"].alias("start"), F.col(name)["end"].alias("end"))))
+    heavier = lambda h, o: (o["weight"] > h["weight"]) | ((o["category"] == h["category"]) & (o["weight"] >= h["weight"]))
+    wider = lambda h, o: (o["start"] <= h["start"]) & (o["end"] >= h["end"]) & ((o["start"] < h["start"]) | (o["end"] > h["end"]))
+    found = found.withColumns(places).withColumn("__found", F.array_compact(F.array(*every))).drop(*places)
+    return found.withColumn("hits", F.filter("__found", lambda h: ~F.exists("__found", lambda o: wider(h, o) & heavier(h, o)))).drop("__found")
+
 
+def classified(rows: DataFrame, text: str, catalogue: Mapping[str, Sequence[str]], specific: Mapping = SPECIFIC, gapped: Mapping = GAPPED, context: Mapping = CONTEXT, other: str = OTHER, deposit: tuple[str, str] | None = ("보증금", r"(?U)(?:임대|전세)\s*보증금")) -> DataFrame:
+    """``rows`` with ``hits`` and ``rule``: category, top, margin, reasons, whether a model is needed, and confidence."""
 
-def decision(retained: Column, text: Column, catalogue: Mapping[str, Sequence[str]], other: str = OTHER, deposit: tuple[str, str] | None = ("보증금", r"(?U)(?:임대|전세)\s*보증금")) -> Column:
-    """category, top, margin, reasons, whether a model is needed, and confidence."""
     def score(category: str) -> Column:
-        return F.aggregate(F.filter(retained, lambda h: h["category"] == category), F.lit(0), lambda a, h: a + h["weight"])
+        return F.aggregate(F.filter("hits", lambda h: h["category"] == category), F.lit(0), lambda a, h: a + h["weight"])
 
     scores = F.array(*[F.struct(score(c).alias("score"), F.lit(-i).alias("place"), F.lit(c).alias("name")) for i, c in enumerate(catalogue)])
-    ranked = F.sort_array(scores, asc=False)
-    best, second = ranked[0]["score"], F.coalesce(F.get(ranked, 1)["score"], F.lit(0))
+    ranked = hits(rows, text, catalogue, specific, gapped, context).withColumn("__r", F.sort_array(scores, asc=False))
+    best, second = F.col("__r")[0]["score"], F.coalesce(F.get("__r", 1)["score"], F.lit(0))
     margin = best - second
-    vague = text.rlike(deposit[0]) & ~text.rlike(deposit[1]) if deposit else F.lit(False)
+    vague = F.col(text).rlike(deposit[0]) & ~F.col(text).rlike(deposit[1]) if deposit else F.lit(False)
     reasons = F.array_compact(F.array(
         F.when(best == 0, "no_keyword").when(best < STRONG, "weak_score"), F.when((best > 0) & (margin < CLEAR), F.when(margin == 0, "tie").otherwise("small_margin")), F.when(vague, "ambiguous_deposit"),
     ))
-    needs = F.size(F.array_remove(reasons, "no_keyword")) > 0
-    confidence = F.when(best == 0, 0.3).when(needs, 0.4).otherwise(0.85)
-    return F.struct(F.when(best > 0, ranked[0]["name"]).otherwise(other).alias("category"), best.alias("top"), margin.alias("margin"), reasons.alias("reasons"), needs.alias("needs_model"), confidence.alias("confidence"))
+    told = ranked.withColumn("__reasons", reasons).withColumn("__needs", F.size(F.array_remove("__reasons", "no_keyword")) > 0)
+    confidence = F.when(best == 0, 0.3).when(F.col("__needs"), 0.4).otherwise(0.85)
+    category = F.when(best > 0, F.col("__r")[0]["name"]).otherwise(other)
+    rule = F.struct(category.alias("category"), best.alias("top"), margin.alias("margin"), F.col("__reasons").alias("reasons"), F.col("__needs").alias("needs_model"), confidence.alias("confidence"))
+    return told.withColumn("rule", rule).drop("__r", "__reasons", "__needs")
 
 
 def wants_model(rule: Column, redacted: Column, enabled: bool = True, other: str = OTHER) -> Column:

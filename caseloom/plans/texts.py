@@ -82,23 +82,21 @@ def keyword_scores(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", k.alias("k")).select("doc_id", "k.category", C("k.score").cast("long").alias("score"), "k.confidence")
 
 
-RULES = "WITH k AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {i}, '{w}', {3 if w in SPECIFIC.get(c, []) else 1})" for i, (c, ws) in enumerate(CATALOGUE.items()) for w in ws) + ") v(category, place, word, weight)), h AS (SELECT doc_id, category, place, weight, position(word IN lower(text)) AS a, position(word IN lower(text)) + length(word) AS b FROM documents, k WHERE contains(lower(text), word)), r AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.a <= h.a AND o.b >= h.b AND (o.a < h.a OR o.b > h.b) AND (o.weight > h.weight OR (o.category = h.category AND o.weight >= h.weight)))), s AS (SELECT d.doc_id, c.category, c.place, CAST(coalesce(sum(r.weight), 0) AS BIGINT) AS score FROM documents d CROSS JOIN (SELECT DISTINCT category, place FROM k) c LEFT JOIN r ON r.doc_id = d.doc_id AND r.category = c.category GROUP BY 1, 2, 3), b AS (SELECT doc_id, list(score ORDER BY score DESC, place) AS l, list(category ORDER BY score DESC, place) AS names FROM s GROUP BY 1)"
+RULES = "WITH k AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {i}, '{w}', {3 if w in SPECIFIC.get(c, []) else 1})" for i, (c, ws) in enumerate(CATALOGUE.items()) for w in ws) + ") v(category, place, word, weight)), h AS (SELECT doc_id, category, place, weight, position(m IN lower(text)) AS a, position(m IN lower(text)) + length(m) AS b FROM (SELECT *, regexp_extract(lower(text), array_to_string(regexp_split_to_array(word, ''), '\\s*')) AS m FROM documents, k) WHERE m <> ''), r AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.a <= h.a AND o.b >= h.b AND (o.a < h.a OR o.b > h.b) AND (o.weight > h.weight OR (o.category = h.category AND o.weight >= h.weight)))), s AS (SELECT d.doc_id, c.category, c.place, CAST(coalesce(sum(r.weight), 0) AS BIGINT) AS score FROM documents d CROSS JOIN (SELECT DISTINCT category, place FROM k) c LEFT JOIN r ON r.doc_id = d.doc_id AND r.category = c.category GROUP BY 1, 2, 3), b AS (SELECT doc_id, list(score ORDER BY score DESC, place) AS l, list(category ORDER BY score DESC, place) AS names FROM s GROUP BY 1)"
 
 
 @query(RULES + " SELECT doc_id, CASE WHEN l[1] > 0 THEN names[1] ELSE 'other' END AS category, l[1] AS top, l[1] - l[2] AS margin, concat_ws(',', CASE WHEN l[1] = 0 THEN 'no_keyword' WHEN l[1] < 3 THEN 'weak_score' END, CASE WHEN l[1] > 0 AND l[1] - l[2] = 0 THEN 'tie' WHEN l[1] > 0 AND l[1] - l[2] < 2 THEN 'small_margin' END) AS reasons FROM b")
 def rule_classifier_scores(t: Tables) -> DataFrame:
     low = t.documents.select("doc_id", F.lower("text").alias("low"))
-    kept = low.select("doc_id", "low", rules.hits(C("low"), {c: w for c, w in CATALOGUE.items()}, SPECIFIC, {}, {}).alias("hits"))
-    d = kept.select("doc_id", rules.decision(C("hits"), C("low"), CATALOGUE, "other", None).alias("d"))
-    return d.select("doc_id", "d.category", C("d.top").cast("long").alias("top"), C("d.margin").cast("long").alias("margin"), F.array_join("d.reasons", ",").alias("reasons"))
+    d = rules.classified(low, "low", CATALOGUE, SPECIFIC, {}, {}, "other", None)
+    return d.select("doc_id", "rule.category", C("rule.top").cast("long").alias("top"), C("rule.margin").cast("long").alias("margin"), F.array_join("rule.reasons", ",").alias("reasons"))
 
 
 @query()
 def rule_classifier_in_context(t: Tables) -> DataFrame:
     """With allow and deny patterns around an ambiguous word; the gate for a model call and the merged decision."""
-    context = {("alpha", "tion"): ("the|ing", "heou")}
-    kept = t.documents.select("doc_id", "text", rules.hits(C("text"), CATALOGUE, SPECIFIC, {}, context).alias("hits"))
-    d = kept.select("doc_id", "text", rules.decision(C("hits"), C("text"), CATALOGUE, "other", None).alias("rule"))
+    context = {("beta", "heou"): ("the|ing", "tion")}
+    d = rules.classified(t.documents.select("doc_id", "text"), "text", CATALOGUE, SPECIFIC, {}, context, "other", None)
     model = F.struct(F.lit("beta").alias("category"), F.lit(0.9).alias("confidence"))
     outcome = F.when(~rules.wants_model(C("rule"), text.redact(C("text")), other="other"), "skipped").when(C("doc_id") % 3 == 0, "failed").otherwise("ok")
     return d.select("doc_id", "rule.category", "rule.needs_model", rules.merged(C("rule"), model, outcome).alias("m")).select("doc_id", C("category").alias("rule_category"), "needs_model", "m.category", "m.evidence")
