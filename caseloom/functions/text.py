@@ -144,7 +144,7 @@ def clean_ends(text: Column) -> Column:
 
 def date_in(text: Column) -> Column:
     """The first year-month-day in free text, if the calendar has it."""
-    p = r"(\d{4})\s*[-./년]\s*(\d{1,2})\s*[-./월]\s*(\d{1,2})"
+    p = r"(\d{4})\D{1,3}(\d{1,2})\D{1,3}(\d{1,2})"
     part = lambda i, n: F.lpad(F.regexp_extract(text, p, i), n, "0")
     return F.when(text.rlike(p), F.try_to_date(F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2)), "yyyy-MM-dd"))
 
