@@ -22,11 +22,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +41,10 @@ STEP_BYTES = 4 << 20
 START, END = b"\xfe", b"\xff"
 #: The end token, which no word can be, as it is white space.
 END_TOKEN = b"\n"
-#: First bytes of the keys of words and of contexts.
-WORD, CONTEXT = b"w", b"c"
-#: A word has one count; a context has the bytes that follow it and a count of each, eight bytes apiece.
-ROWS = "chunk bigint, key binary, syms binary, ns binary"
+#: The kind of a row of words; rows of grams have the length of their contexts.
+WORDS = -1
+#: Words are known by 64-bit hashes, grams by their bytes as a number; counts take eight bytes, too.
+ROWS = "chunk bigint, kind int, bucket int, keys binary, ns binary"
 #: What a chunk returns: a row per document, and one with the sums over the words that it heads.
 PARTS = "totals boolean, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
 
@@ -93,34 +93,44 @@ def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
     return key[inside], np.cumsum(lengths) - lengths
 
 
-def contexts(found: Counter, order: int = ORDER) -> Iterator[tuple[bytes, bytes, bytes]]:
-    """(context, successors, counts) of grams and of all their suffixes."""
-    gram = np.fromiter(found.keys(), np.int64, len(found))
-    n = np.fromiter(found.values(), np.int64, len(found))
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+
+
+def packed(kind: int, keys: np.ndarray, n: np.ndarray, by: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(kind, bucket, keys, counts) with keys in order within each bucket of ``by``."""
+    b = bucket_of(by, buckets)
+    order = np.lexsort((keys, b))
+    b, keys, n = b[order], keys[order], n[order]
+    cut = np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
+    for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        yield kind, k, keys[cut[k] : cut[k + 1]].astype("<i8").tobytes(), n[cut[k] : cut[k + 1]].astype("<i8").tobytes()
+
+
+def shorter(gram: np.ndarray, n: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(context length, grams, counts) from ``order`` down: grams of shorter contexts are sums over longer ones."""
     for j in range(order, -1, -1):
         gram, at = np.unique(gram & ((1 << (8 * (j + 1))) - 1), return_inverse=True)
-        n = np.bincount(at, n).astype(np.int64)
-        ctx, syms = gram >> 8, (gram & 255).astype(np.uint8).tobytes()
-        cuts = np.append(np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))), len(ctx)).tolist() if len(ctx) else [0]
-        raw, ids = n.astype("<i8").tobytes(), ctx.tolist()
-        for a, b in zip(cuts, cuts[1:]):
-            yield ids[a].to_bytes(j, "big"), syms[a:b], raw[8 * a : 8 * b]
+        n = np.bincount(at, n).astype(np.int64) if len(gram) else n
+        yield j, gram, n
 
 
-def counted(chunks: DataFrame, order: int = ORDER) -> DataFrame:
-    """``ROWS``: each chunk's words and contexts with their training counts; those of held-out texts alone count nothing."""
+def word_keys(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
-    def rows(chunk: int, words: Counter, found: Counter) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[bytes, bytes, bytes]]:
-            for w, n in words.items():
-                yield WORD + w, b"", n.to_bytes(8, "little")
-            for ctx, syms, ns in contexts(found, order):
-                yield CONTEXT + ctx, syms, ns
 
-        every = each()
-        while part := list(islice(every, 50_000)):
-            keys, syms, ns = zip(*part)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), *[pa.array(c, pa.binary()) for c in (keys, syms, ns)]], names=["chunk", "key", "syms", "ns"])
+def counted(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """``ROWS``: each chunk's words and grams, packed by bucket, with their training counts; held-out texts alone count nothing."""
+
+    def rows(chunk: int, words: Counter, found: Counter) -> pa.RecordBatch:
+        n = np.fromiter(words.values(), np.int64, len(words))
+        keys = word_keys(list(words))
+        every = list(packed(WORDS, keys, n, keys, buckets))
+        gram = np.fromiter(found.keys(), np.int64, len(found))
+        for j, g, m in shorter(gram, np.fromiter(found.values(), np.int64, len(found)), order):
+            every += packed(j, g, m, (g >> 8) + j, buckets)
+        cols = list(zip(*every))
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * len(every), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]], names=["chunk", "kind", "bucket", "keys", "ns"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, found = None, Counter(), Counter()
@@ -132,7 +142,7 @@ def counted(chunks: DataFrame, order: int = ORDER) -> DataFrame:
                     continue
                 if now != chunk[a]:
                     if now is not None:
-                        yield from rows(now, words, found)
+                        yield rows(now, words, found)
                     now, words, found = int(chunk[a]), Counter(), Counter()
                 for held in (False, True):
                     texts = [t for t, h in zip(batch.column(3)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), strict=True) if h == held]
@@ -148,73 +158,86 @@ def counted(chunks: DataFrame, order: int = ORDER) -> DataFrame:
                         sizes = np.zeros(len(distinct), np.int64) if held else np.bincount(codes)
                         found.update(dict(zip(distinct.tolist(), sizes.tolist(), strict=True)))
         if now is not None:
-            yield from rows(now, words, found)
+            yield rows(now, words, found)
 
     return chunks.mapInArrow(run, ROWS)
 
 
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<i8")
+
+
 def merged(rows: DataFrame) -> DataFrame:
-    """``rows`` with the counts of all chunks in each: a key's rows, one per chunk that has it, meet in order of keys.
+    """``rows`` with counts over all chunks: the rows of a bucket, one per chunk, meet and are sent back.
 
-    ``head`` marks one row of each key, so that sums over heads count a key once.
+    A chunk gets its words, and every gram whose context it has.  ``head`` is the
+    number of known words and their total for one chunk of the bucket.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, asked, one, total = None, [], None, Counter()
-        out: list[list] = [[], [], [], [], []]
-
-        def fold(syms: bytes, ns: bytes) -> None:
-            for k, v in zip(syms or b"\0", memoryview(ns).cast("q")):
-                total[k] += v
+    def own(kind: int, parts: list[tuple[int, bytes, bytes]]) -> Iterator[tuple]:
+        keys, at = np.unique(np.concatenate([unpacked(k) for _, k, _ in parts]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([unpacked(n) for _, _, n in parts])).astype(np.int64)
+        mine: dict[int, list[np.ndarray]] = {}
+        for chunk, k, _ in parts:
+            mine.setdefault(chunk, []).append(unpacked(k))
+        for i, (chunk, lists) in enumerate(mine.items()):
+            held = np.unique(np.concatenate(lists))
+            if kind == WORDS:
+                take = np.searchsorted(keys, held)
+            else:
+                take = np.flatnonzero((total > 0) & np.isin(keys >> 8, np.unique(held >> 8)))
+            head = [int((total > 0).sum()), int(total.sum())] if kind == WORDS and i == 0 else [0, 0]
+            yield chunk, kind, keys[take].tobytes(), total[take].tobytes(), *head
 
-        def flush() -> None:
-            syms, ns = one or (b"" if now[:1] == WORD else bytes(total), np.fromiter(total.values(), "<i8", len(total)).tobytes())
-            for k, chunk in enumerate(dict.fromkeys(asked)):
-                for column, v in zip(out, (chunk, now, syms, ns, k == 0)):
-                    column.append(v)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
 
-        def batch_out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["chunk", "key", "syms", "ns", "head"])
-            for column in out:
-                column.clear()
-            return made
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*own(now[0], parts)))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["chunk", "kind", "keys", "ns", "known", "total"])
 
         for batch in batches:
-            for chunk, key, syms, ns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now:
+            for chunk, kind, bucket, keys, ns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (kind, bucket) != now:
                     if now is not None:
-                        flush()
-                    now, asked, one = key, [chunk], (syms, ns)
-                    continue
-                if one:
-                    total.clear()
-                    fold(*one)
-                    one = None
-                fold(syms, ns)
-                asked.append(chunk)
-            yield batch_out()
+                        yield out()
+                    now, parts = (kind, bucket), []
+                parts.append((chunk, keys, ns))
         if now is not None:
-            flush()
-        yield batch_out()
+            yield out()
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"{ROWS}, head boolean")
+    return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(run, "chunk bigint, kind int, keys binary, ns binary, known bigint, total bigint")
 
 
 class Model:
-    """The part of the trie that a chunk needs."""
-
-    def __init__(self, nodes: dict[bytes, dict[int, int]], order: int = ORDER):
-        self.nodes, self.order, self.known = nodes, order, {}
+    """The part of the trie that a chunk needs: for each context length, grams in order and their counts."""
+
+    def __init__(self, levels: dict[int, tuple[np.ndarray, np.ndarray]], order: int = ORDER):
+        self.order, self.levels, self.nodes, self.known = order, levels, {}, {}
+
+    @classmethod
+    def of(cls, found: dict[int, int], order: int = ORDER) -> "Model":
+        """The model of counted grams."""
+        g, n = np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
+        return cls({j: (a[m > 0], m[m > 0]) for j, a, m in shorter(g, n, order)}, order)
+
+    def node(self, j: int, ctx: int) -> dict[int, int]:
+        """The successors of a context of ``j`` bytes with their counts."""
+        key = (j, ctx)
+        if key not in self.nodes:
+            grams, n = self.levels.get(j, (np.zeros(0, np.int64),) * 2)
+            a, b = np.searchsorted(grams, [ctx << 8, (ctx + 1) << 8])
+            self.nodes[key] = dict(zip((grams[a:b] & 255).tolist(), n[a:b].tolist(), strict=True))
+        return self.nodes[key]
 
     def code_length(self, gram: int) -> float:
         """log10 of the probability of the last byte of ``gram`` after the others."""
         if gram in self.known:
             return self.known[gram]
-        raw = gram.to_bytes(self.order + 1, "big")
-        sym, out, score = raw[-1], set(), 0.0
-        for j in range(self.order + 1):
-            node = self.nodes.get(raw[j:-1])
-            live = {s: n for s, n in node.items() if s not in out} if node and out else node
+        sym, ctx, out, score = gram & 255, gram >> 8, set(), 0.0
+        for j in range(self.order, -1, -1):
+            node = self.node(j, ctx & ((1 << (8 * j)) - 1))
+            live = {s: n for s, n in node.items() if s not in out} if out else node
             if not live:
                 continue
             total = 2 * sum(live.values())
@@ -228,39 +251,61 @@ class Model:
         self.known[gram] = score
         return score
 
+    def code_lengths(self, grams: np.ndarray) -> np.ndarray:
+        """Those of distinct grams; the ones known in their longest context are looked up together."""
+        have, n = self.levels.get(self.order, (np.zeros(0, np.int64),) * 2)
+        out = np.zeros(len(grams))
+        at = np.searchsorted(have, grams)
+        seen = np.zeros(len(grams), bool)
+        if len(have):
+            seen = have[np.minimum(at, len(have) - 1)] == grams
+            first = np.flatnonzero(np.concatenate(([True], (have[1:] >> 8) != (have[:-1] >> 8))))
+            total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(have))))
+            out[seen] = np.log10((2 * n[at[seen]] - 1) / (2 * total[at[seen]]))
+        out[~seen] = [self.code_length(k) for k in grams[~seen].tolist()]
+        return out
+
     def scores(self, texts: list[bytes]) -> list[float]:
         found: list[float] = []
         for a, b in steps(texts):
             key, first = grams(texts[a:b], self.order)
             codes, distinct = pd.factorize(key)
-            each = np.array([self.code_length(k) for k in distinct.tolist()])
-            found += np.add.reduceat(each[codes], first).tolist()
+            found += np.add.reduceat(self.code_lengths(distinct)[codes], first).tolist()
         return found
 
 
 def scored(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     chunks = chunked(docs, chunk_bytes)
-    known = merged(counted(chunks, order))
+    # as many buckets as keep one bucket's rows, from all chunks, at some megabytes
+    buckets = max(64, chunks.select("chunk").distinct().count() // 4)
+    known = merged(counted(chunks, order, buckets))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        log, nodes, n_train, n_distinct = {}, {}, 0, 0
-        for key, syms, ns, head in zip(*(right[c].to_pylist() for c in ("key", "syms", "ns", "head")), strict=True):
-            if key[:1] == WORD:
-                n = int.from_bytes(ns, "little")
-                log[key[1:]] = math.log10(n + 1)
-                n_train += n * head
-                n_distinct += head and n > 0
-            else:
-                nodes[key[1:]] = {s: n for s, n in zip(syms, memoryview(ns).cast("q")) if n}
+        lists: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for kind, keys, ns in zip(*(right[c].to_pylist() for c in ("kind", "keys", "ns")), strict=True):
+            lists.setdefault(kind, []).append((unpacked(keys), unpacked(ns)))
+        levels = {}
+        for kind, parts in lists.items():
+            keys, n = (np.concatenate(x) for x in zip(*parts))
+            order_ = np.argsort(keys, kind="stable")
+            levels[kind] = keys[order_], n[order_]
+        word, n = levels.pop(WORDS)
+        log = np.log10(n + 1.0)
         texts = left["t"].to_pylist()
-        n_tokens, n_known, base = [n_train], [n_distinct], [0.0]
-        for t in texts:
-            each = [log[w] for w in t.translate(LOWER).split()] + [log[END_TOKEN]]
-            n_tokens.append(len(each))
-            n_known.append(sum(x > 0 for x in each))
-            base.append(math.fsum(each))
-        cols = [[True] + [False] * len(texts), [None, *left["doc_id"].to_pylist()], [None, *left["held_out"].to_pylist()], n_tokens, n_known, base, [0.0, *Model(nodes, order).scores(texts)]]
+        n_tokens, n_known, base = [sum(right["total"].to_pylist())], [sum(right["known"].to_pylist())], [0.0]
+        for a, b in steps(texts):
+            lists_ = [[*t.translate(LOWER).split(), END_TOKEN] for t in texts[a:b]]
+            flat = np.empty(sum(map(len, lists_)), object)
+            flat[:] = [w for x in lists_ for w in x]
+            codes, distinct = pd.factorize(flat)
+            each = log[np.searchsorted(word, word_keys(distinct))][codes]
+            sizes = np.array(list(map(len, lists_)))
+            first = np.cumsum(sizes) - sizes
+            n_tokens += sizes.tolist()
+            n_known += np.add.reduceat((each > 0).astype(np.int64), first).tolist()
+            base += np.add.reduceat(each, first).tolist()
+        cols = [[True] + [False] * len(texts), [None, *left["doc_id"].to_pylist()], [None, *left["held_out"].to_pylist()], n_tokens, n_known, base, [0.0, *Model(levels, order).scores(texts)]]
         kinds = [pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
 
