@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OPEN_FENCE, CLOSE_FENCE = r"^\s*```[A-Za-z]*\s*\n?", r"\n?\s*```\s*$"
 
@@ -30,7 +31,7 @@ def tool_result(text: Column) -> Column:
     return F.coalesce(*[F.when(is_object(w), w) for w in (text, other)])
 
 
-@F.pandas_udf("struct<tool:string,arguments:string,text:string>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("tool", "arguments", "text")]))
 def tool_call(raw: pd.Series) -> pd.DataFrame:
     """A call with bare keys and guarded strings: its name, its arguments as JSON, and the text around it."""
     call = re.compile(r"<\|tool_call>\s*call:([\w.\-]+)\s*(\{.*?\})\s*<tool_call\|>", re.S)

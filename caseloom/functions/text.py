@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REDACTED = "[개인정보 제외]"
 # The three patterns of personal data.
@@ -51,7 +52,7 @@ def mask_inside(text: Column, pattern: str, symbol: str = "*") -> Column:
     return F.array_join(F.flatten(F.transform(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda z: F.array(z["p"], F.coalesce(z["m"], F.lit(""))))), "")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _space_places(texts: pd.Series) -> pd.Series:
     def places(text: str) -> list[int]:
         words, out, at = text.split(), [], 0
@@ -63,7 +64,7 @@ def _space_places(texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(places)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _wrap_places(texts: pd.Series) -> pd.Series:
     def places(text: str) -> list[int]:
         out, at = [], 0
