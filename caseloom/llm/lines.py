@@ -11,10 +11,12 @@ filter, the positional filter and a bitmap bound on their difference; what is
 left is verified on whole word sets.  Rarity comes from a table of ``SLOTS``
 hashed counts, whose size is fixed: it sets the order only, never the result.
 
-The first round verifies the nearest earlier candidate of each class, so a
-family of similar lines costs a pair per line and index word, not all pairs.
-Classes that this leaves open are verified against every candidate.  Long
-posting lists are split into blocks and compared block against block.
+The first round verifies the ``KEEP`` nearest earlier candidates of a class in
+each posting list, so a family of similar lines costs some pairs a line, not all
+pairs.  Classes with further candidates and no match so far go to a second
+round, where whole word sets meet in the posting lists and are compared there:
+what comes out is at most one row for each such class and list.  Long posting
+lists are split into blocks and compared block against block.
 
 Defined cases.  A null text has no lines and stays null; an empty text stays
 empty.  Shorter lines are kept as they are.  Rows that repeat a doc_id are one
@@ -40,7 +42,9 @@ MIN_WORDS = 5
 #: Hashed counts, one byte each when sent to the tasks: a bound of 32 MB.
 SLOTS, SLICES = 1 << 25, 64
 BLOCK = 1024
-NEAR = 32
+NEAR, KEEP = 32, 2
+#: A table of words of at most so many rows is sent to all tasks; a longer one is joined.
+SMALL = 200_000
 CLASS = "s1 bigint, s2 bigint, doc bigint, line int, n int, b1 bigint, b2 bigint, words array<int>, ranks array<int>"
 
 
@@ -155,7 +159,7 @@ def far(x: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each run of rows with equal ``word, lo, hi``, for each row the earlier row that differs least."""
+    """In each run of rows with equal ``word, lo, hi``, for each row the ``KEEP`` earlier rows that differ least, and whether there are more."""
     names = ["word", "lo", "hi", "doc", "line", "n", "rank", "b1", "b2"]
     held: list[np.ndarray] | None = None
 
@@ -165,22 +169,35 @@ def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = np.concatenate(([True], (x["word"][1:] != x["word"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])))
         start = np.maximum.accumulate(np.where(change, np.arange(m), 0))
         at = np.arange(m) - start
-        least, mate = np.full(m, 255), np.full(m, -1)
+        count = np.zeros(m, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def take(a: np.ndarray, b: np.ndarray) -> None:
+            d = far(x, a, b)
+            ok = d < 255
+            found.append((a[ok], b[ok], d[ok]))
+
         for o in range(1, min(NEAR, m)):
             a = np.flatnonzero(at >= o)
             if not len(a):
                 break
-            d = far(x, a, a - o)
-            better = a[d < least[a]]
-            least[better], mate[better] = d[d < least[a]], better - o
+            take(a, a - o)
+            count += np.bincount(found[-1][0], minlength=m)
         for r in np.flatnonzero(at >= NEAR).tolist():
-            d = far(x, np.full(at[r], r), np.arange(start[r], r))
-            k = int(d.argmin())
-            if d[k] < least[r]:
-                least[r], mate[r] = d[k], start[r] + k
-        got = np.flatnonzero(mate >= 0)
-        out = [x["doc"][got], x["line"][got], least[got].astype(np.int32), x["doc"][mate[got]], x["line"][mate[got]]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["doc", "line", "far", "doc2", "line2"])
+            b = np.arange(start[r], r - NEAR + 1)
+            take(np.full(len(b), r), b)
+            a, b, d = found[-1]
+            count[r] += len(a)
+            least = np.argsort(d, kind="stable")[:KEEP]
+            found[-1] = a[least], b[least], d[least]
+        a, b, d = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else [()] * 3))
+        order = np.lexsort((b, d, a))
+        a, b = a[order], b[order]
+        first = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.zeros(0, bool)
+        place = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0)) if len(a) else a
+        a, b = a[place < KEEP], b[place < KEEP]
+        out = [x["doc"][a], x["line"][a], x["doc"][b], x["line"][b], count[a] > KEEP]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["doc", "line", "doc2", "line2", "more"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -196,9 +213,9 @@ def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield best(held)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The ``pairs`` (doc, line, doc2, line2) whose word sets are as similar as 4/5, told from the texts."""
-    ends = pairs.select("doc", "line").union(pairs.select("doc2", "line2")).groupBy("doc").agg(F.collect_set("line").alias("lines"))
+def word_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc, line, set`` of the ``wanted`` lines (doc, line), told from the texts."""
+    by_doc = wanted.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("line").alias("lines"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         x = Lines(batch.column(1).to_pylist(), only=[set(w) for w in batch.column(2).to_pylist()])
@@ -206,36 +223,65 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum(x.n))).astype(np.int32)
             yield {"doc": batch.column(0).to_numpy()[x.doc], "line": x.number, "set": pa.ListArray.from_arrays(offsets, x.hash.view(np.int64))}
 
-    found = map_rows(text_column(docs).join(ends.withColumnRenamed("doc", "doc_id"), "doc_id"), "doc bigint, line int, set array<bigint>", run)
-    found = stored(found.dropDuplicates(["doc", "line"]), "line-sets")
+    found = map_rows(text_column(docs).join(by_doc, "doc_id"), "doc bigint, line int, set array<bigint>", run)
+    return stored(found.dropDuplicates(["doc", "line"]), "line-sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The ``pairs`` (doc, line, doc2, line2) whose word sets are as similar as 4/5."""
+    found = word_sets(pairs.select("doc", "line").union(pairs.select("doc2", "line2")), docs)
     other = found.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("set").alias("set2"))
     both = pairs.join(found, ["doc", "line"]).join(other, ["doc2", "line2"])
     return both.where(9 * F.size(F.array_intersect("set", "set2")) >= 4 * (F.size("set") + F.size("set2"))).select("doc", "line", "doc2", "line2")
 
 
+def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc, line`` of the open rows with a similar earlier row in their run of equal ``word, lo, hi``; rows come sorted."""
+    now, earlier = None, []
+    for batch in batches:
+        found = []
+        for word, lo, hi, doc, line, is_open, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != (word, lo, hi):
+                now, earlier = (word, lo, hi), []
+            own = frozenset(words)
+            n = len(own)
+            if is_open and any(5 * min(n, len(o)) >= 4 * max(n, len(o)) and 9 * len(own & o) >= 4 * (n + len(o)) for o in reversed(earlier)):
+                found.append((doc, line))
+            earlier.append(own)
+        cols = zip(*found) if found else [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32()), strict=True)], names=["doc", "line"])
+
+
+def few(words: DataFrame) -> DataFrame:
+    """A stored table of words, marked for sending to all tasks if a count shows it to be small."""
+    words = stored(words, "words")
+    return F.broadcast(words) if words.count() <= SMALL else words
+
+
+def in_blocks(index: DataFrame, long: DataFrame, *columns: str) -> DataFrame:
+    """``index`` rows dealt by word, those of ``long`` words once for each block that theirs is compared with; sorted."""
+    posted = index.join(long, "word", "left").withColumn("k", F.coalesce(F.ceil(F.col("count") / BLOCK).cast("int"), F.lit(1)))
+    posted = posted.withColumn("b", F.pmod(F.xxhash64("doc", "line"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = posted.select("word", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "doc", "line", *columns)
+    return dealt.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi", "doc", "line")
+
+
 def first_lines(docs: DataFrame) -> DataFrame:
     """``doc, line`` of the lines that have no similar line before them."""
     found = classes(docs, rarity(docs))
     index = found.select("doc", "line", "n", "b1", "b2", F.explode(F.arrays_zip("words", "ranks")).alias("w")).select(F.col("w.words").alias("word"), "doc", "line", "n", F.col("w.ranks").alias("rank"), "b1", "b2")
-    long = index.groupBy("word").count().where(F.col("count") > BLOCK)
-    posted = index.join(long, "word", "left").withColumn("k", F.coalesce(F.ceil(F.col("count") / BLOCK).cast("int"), F.lit(1)))
-    posted = posted.withColumn("b", F.pmod(F.xxhash64("doc", "line"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = posted.select("word", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "doc", "line", "n", "rank", "b1", "b2")
-    dealt = dealt.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi", "doc", "line")
-    near = dealt.mapInArrow(nearest, "doc bigint, line int, far int, doc2 bigint, line2 int")
-    best = stored(near.groupBy("doc", "line").agg(F.min(F.struct("far", "doc2", "line2")).alias("m")).select("doc", "line", "m.doc2", "m.line2"), "nearest-lines")
-    hit = stored(verified(best, docs).select("doc", "line"), "lines-hit")
-    open_ = best.select("doc", "line").join(hit, ["doc", "line"], "left_anti")
-    probe = index.join(open_, ["doc", "line"], "left_semi")
-    old = index.select("word", *[F.col(c).alias(f"{c}2") for c in ("doc", "line", "n", "rank", "b1", "b2")])
-    need = F.floor((4 * (F.col("n") + F.col("n2")) + 8) / 9)
-    passes = (
-        (F.struct("doc2", "line2") < F.struct("doc", "line")) & (5 * F.least("n", "n2") >= 4 * F.greatest("n", "n2")) & (F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) >= need)
-        & (F.bit_count(F.col("b1").bitwiseXOR(F.col("b12"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("b22"))) <= F.col("n") + F.col("n2") - 2 * need)
-    )
-    rest = stored(probe.join(old, "word").where(passes).select("doc", "line", "doc2", "line2").distinct(), "lines-open")
-    rest = rest.join(best, ["doc", "line", "doc2", "line2"], "left_anti")
-    hit = hit.union(verified(rest, docs).select("doc", "line")).distinct()
+    long = few(index.groupBy("word").count().where(F.col("count") > BLOCK))
+    near = in_blocks(index, long, "n", "rank", "b1", "b2").mapInArrow(nearest, "doc bigint, line int, doc2 bigint, line2 int, more boolean")
+    pairs = stored(near.groupBy("doc", "line", "doc2", "line2").agg(F.bool_or("more").alias("more")), "nearest-lines")
+    hit = stored(verified(pairs.drop("more"), docs).select("doc", "line").distinct(), "lines-hit")
+    left = stored(pairs.where("more").select("doc", "line").distinct().join(hit, ["doc", "line"], "left_anti"), "lines-left")
+    if not left.isEmpty():
+        asked = few(found.join(left, ["doc", "line"], "left_semi").select(F.explode("words").alias("word")).distinct())
+        posts = stored(index.join(asked, "word", "left_semi").select("word", "doc", "line"), "posts-left")
+        sets = word_sets(posts.select("doc", "line").distinct(), docs)
+        rows = posts.join(left.withColumn("is_open", F.lit(True)), ["doc", "line"], "left").join(sets, ["doc", "line"]).withColumn("is_open", F.col("is_open").isNotNull())
+        more = in_blocks(rows, long, "is_open", "set").mapInArrow(matched, "doc bigint, line int")
+        hit = hit.union(stored(more.distinct(), "lines-hit"))
     return found.select("doc", "line").join(hit, ["doc", "line"], "left_anti")
 
 
