@@ -134,9 +134,12 @@ def record_file_validation(t: Tables) -> DataFrame:
     return twice.union(t.documents.where(~C("lang").isin("en", "de", "fr")).agg(n().alias("n_rows")).select(F.lit("unknown split"), "n_rows"))
 
 
-@query("SELECT lang, count(*) AS picked FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY sha1(CAST(doc_id AS VARCHAR))) AS r FROM documents) WHERE r <= CASE lang WHEN 'es' THEN 106 WHEN 'de' THEN 129 ELSE 132 + CAST(lang = 'en' AS INT) END GROUP BY 1")
+QUOTA = "WITH z AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), l AS (SELECT max(v) AS level FROM range(0, 501) r(v) WHERE (SELECT sum(least(n, v)) FROM z) <= least(500, (SELECT sum(n) FROM z)) AND v <= (SELECT max(n) FROM z)), b AS (SELECT lang, least(n, level) AS base, n > level AS open, row_number() OVER (PARTITION BY n > level ORDER BY lang) AS place FROM z, l), q AS (SELECT lang, base + CAST(open AND place <= least(500, (SELECT sum(n) FROM z)) - (SELECT sum(base) FROM b) AS INT) AS share FROM b)"
+
+
+@query(QUOTA + " SELECT lang, count(*) AS picked FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY sha1(CAST(doc_id AS VARCHAR))) AS r FROM documents) JOIN q USING (lang) WHERE r <= share GROUP BY 1")
 def balanced_pick(t: Tables) -> DataFrame:
-    """500 documents, evenly by language; the two small languages give all they have."""
+    """500 documents, evenly by language; small languages give all they have."""
     return curation.pick_balanced(t.documents.select("doc_id", "lang"), "lang", "doc_id", 500).groupBy("lang").agg(n().alias("picked"))
 
 

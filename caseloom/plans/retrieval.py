@@ -62,7 +62,7 @@ def vector_topk(t: Tables) -> DataFrame:
     return evidence.top_k(q, t.embeddings, "query_id", "vec_id", "embedding", 5).select("query_id", "vec_id", F.round("score", 5).alias("score"))
 
 
-@query(f"SELECT q.vec_id AS query_id, r.vec_id AS vec_id, d.lang FROM embeddings q, embeddings r JOIN documents d ON d.doc_id = r.vec_id WHERE q.vec_id % 50 = 0 AND r.label < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, r.vec_id) <= 24")
+@query(f"SELECT query_id, vec_id, lang FROM (SELECT q.vec_id AS query_id, r.vec_id AS vec_id FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0 AND r.label < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, r.vec_id) <= 24) JOIN documents ON doc_id = vec_id")
 def eligible_topk_then_join(t: Tables) -> DataFrame:
     """Eligibility lies below the top-k, the joins above it."""
     q = t.embeddings.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), "embedding")
