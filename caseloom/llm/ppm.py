@@ -20,6 +20,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -97,6 +98,15 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
 
 
+def squeezed(keys: np.ndarray) -> bytes:
+    """Keys in order as their differences, deflated."""
+    return zlib.compress(np.diff(keys, prepend=np.int64(0)).astype("<i8").tobytes(), 1)
+
+
+def spread(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(b), "<i8"))
+
+
 def packed(kind: int, keys: np.ndarray, n: np.ndarray, by: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
     """(kind, bucket, keys, counts) with keys in order within each bucket of ``by``."""
     b = bucket_of(by, buckets)
@@ -104,7 +114,7 @@ def packed(kind: int, keys: np.ndarray, n: np.ndarray, by: np.ndarray, buckets:
     b, keys, n = b[order], keys[order], n[order]
     cut = np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
     for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-        yield kind, k, keys[cut[k] : cut[k + 1]].astype("<i8").tobytes(), n[cut[k] : cut[k + 1]].astype("<i8").tobytes()
+        yield kind, k, squeezed(keys[cut[k] : cut[k + 1]]), n[cut[k] : cut[k + 1]].astype("<i8").tobytes()
 
 
 def shorter(gram: np.ndarray, n: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -175,11 +185,11 @@ def merged(rows: DataFrame) -> DataFrame:
     """
 
     def own(kind: int, parts: list[tuple[int, bytes, bytes]]) -> Iterator[tuple]:
-        keys, at = np.unique(np.concatenate([unpacked(k) for _, k, _ in parts]), return_inverse=True)
+        keys, at = np.unique(np.concatenate([spread(k) for _, k, _ in parts]), return_inverse=True)
         total = np.bincount(at, np.concatenate([unpacked(n) for _, _, n in parts])).astype(np.int64)
         mine: dict[int, list[np.ndarray]] = {}
         for chunk, k, _ in parts:
-            mine.setdefault(chunk, []).append(unpacked(k))
+            mine.setdefault(chunk, []).append(spread(k))
         for i, (chunk, lists) in enumerate(mine.items()):
             held = np.unique(np.concatenate(lists))
             if kind == WORDS:
@@ -187,7 +197,7 @@ def merged(rows: DataFrame) -> DataFrame:
             else:
                 take = np.flatnonzero((total > 0) & np.isin(keys >> 8, np.unique(held >> 8)))
             head = [int((total > 0).sum()), int(total.sum())] if kind == WORDS and i == 0 else [0, 0]
-            yield chunk, kind, keys[take].tobytes(), total[take].tobytes(), *head
+            yield chunk, kind, squeezed(keys[take]), total[take].tobytes(), *head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -284,7 +294,7 @@ def scored(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES)
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         lists: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for kind, keys, ns in zip(*(right[c].to_pylist() for c in ("kind", "keys", "ns")), strict=True):
-            lists.setdefault(kind, []).append((unpacked(keys), unpacked(ns)))
+            lists.setdefault(kind, []).append((spread(keys), unpacked(ns)))
         levels = {}
         for kind, parts in lists.items():
             keys, n = (np.concatenate(x) for x in zip(*parts))
