@@ -14,9 +14,10 @@ hashed counts, whose size is fixed: it sets the order only, never the result.
 The first round verifies the ``KEEP`` nearest earlier candidates of a class in
 each posting list, so a family of similar lines costs some pairs a line, not all
 pairs.  Classes with further candidates and no match so far go to a second
-round, where whole word sets meet in the posting lists and are compared there:
-what comes out is at most one row for each such class and list.  Long posting
-lists are split into blocks and compared block against block.
+round: in posting lists of up to ``BLOCK`` all their candidates are verified; in
+longer ones whole word sets meet and are compared in place, so that at most one
+row comes out for each such class and list.  Long lists are split into blocks
+and compared block against block.
 
 Defined cases.  A null text has no lines and stays null; an empty text stays
 empty.  Shorter lines are kept as they are.  Rows that repeat a doc_id are one
@@ -266,6 +267,17 @@ def in_blocks(index: DataFrame, long: DataFrame, *columns: str) -> DataFrame:
     return dealt.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi", "doc", "line")
 
 
+def candidates(probe: DataFrame, index: DataFrame) -> DataFrame:
+    """Distinct pairs of a ``probe`` row and an earlier ``index`` row of the same word that pass all filters."""
+    old = index.select("word", *[F.col(c).alias(f"{c}2") for c in ("doc", "line", "n", "rank", "b1", "b2")])
+    need = F.floor((4 * (F.col("n") + F.col("n2")) + 8) / 9)
+    passes = (
+        (F.struct("doc2", "line2") < F.struct("doc", "line")) & (5 * F.least("n", "n2") >= 4 * F.greatest("n", "n2")) & (F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) >= need)
+        & (F.bit_count(F.col("b1").bitwiseXOR(F.col("b12"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("b22"))) <= F.col("n") + F.col("n2") - 2 * need)
+    )
+    return probe.join(old, "word").where(passes).select("doc", "line", "doc2", "line2").distinct()
+
+
 def first_lines(docs: DataFrame) -> DataFrame:
     """``doc, line`` of the lines that have no similar line before them."""
     found = classes(docs, rarity(docs))
@@ -277,11 +289,14 @@ def first_lines(docs: DataFrame) -> DataFrame:
     left = stored(pairs.where("more").select("doc", "line").distinct().join(hit, ["doc", "line"], "left_anti"), "lines-left")
     if not left.isEmpty():
         asked = few(found.join(left, ["doc", "line"], "left_semi").select(F.explode("words").alias("word")).distinct())
-        posts = stored(index.join(asked, "word", "left_semi").select("word", "doc", "line"), "posts-left")
-        sets = word_sets(posts.select("doc", "line").distinct(), docs)
-        rows = posts.join(left.withColumn("is_open", F.lit(True)), ["doc", "line"], "left").join(sets, ["doc", "line"]).withColumn("is_open", F.col("is_open").isNotNull())
-        more = in_blocks(rows, long, "is_open", "set").mapInArrow(matched, "doc bigint, line int")
-        hit = hit.union(stored(more.distinct(), "lines-hit"))
+        posts = stored(index.join(asked, "word", "left_semi"), "posts-left")
+        short = posts.join(long, "word", "left_anti")
+        rest = stored(candidates(short.join(left, ["doc", "line"], "left_semi"), short), "lines-open").join(pairs, ["doc", "line", "doc2", "line2"], "left_anti")
+        hit = hit.union(verified(rest, docs).select("doc", "line"))
+        hot = stored(posts.join(long, "word", "left_semi").select("word", "doc", "line"), "posts-hot")
+        sets = word_sets(hot.select("doc", "line").distinct(), docs)
+        rows = hot.join(left.withColumn("is_open", F.lit(True)), ["doc", "line"], "left").join(sets, ["doc", "line"]).withColumn("is_open", F.col("is_open").isNotNull())
+        hit = stored(hit.union(in_blocks(rows, long, "is_open", "set").mapInArrow(matched, "doc bigint, line int")).distinct(), "lines-hit")
     return found.select("doc", "line").join(hit, ["doc", "line"], "left_anti")
 
 
