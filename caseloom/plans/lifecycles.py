@@ -97,8 +97,8 @@ def sheet_header_rows(t: Tables) -> DataFrame:
 
 
 def cases(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("Heading\n사례 "), F.lpad(C("turn").cast("string"), 3, "0"), F.lit("\n신청원인 "), F.left("text", F.lit(50)), F.lit("\n피신청인 등의 주장 no"))
-    return t.conversations.select(C("conv_id").cast("string").alias("file"), C("turn").cast("int").alias("page"), F.when(C("conv_id") % 4 > 0, text).otherwise(F.left("text", F.lit(20))).alias("text"))
+    text = F.concat(F.lit("Heading\n사례 "), F.lpad(C("turn").cast("string"), 3, "0"), F.lit("\n신청원인 "), C("text"), F.lit("\n피신청인 등의 주장 no"))
+    return t.conversations.select(C("conv_id").cast("string").alias("file"), C("turn").cast("int").alias("page"), F.when(C("conv_id") % 4 > 0, text).otherwise(C("text")).alias("text"))
 
 
 CASES = r"SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn AS INT) AS row, lpad(CAST(turn AS VARCHAR), 3, '0') AS number, md5(regexp_replace(left(text, 50), '^\s+|\s+$', '', 'g')) AS body FROM conversations WHERE conv_id % 4 > 0 UNION ALL SELECT CAST(conv_id AS VARCHAR), 1, NULL, md5(string_agg(left(text, 20), chr(10) ORDER BY turn)) FROM conversations WHERE conv_id % 4 = 0 GROUP BY conv_id"
@@ -112,7 +112,7 @@ def case_pages(t: Tables) -> DataFrame:
 @query(r"SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn AS INT) + 1 AS row, lpad(CAST(turn AS VARCHAR), 3, '0') AS number FROM conversations")
 def case_text_blocks(t: Tables) -> DataFrame:
     """All turns of a conversation in one text, cut again at their headings."""
-    block = F.concat(F.lpad(C("turn").cast("string"), 2, "0"), F.lit(" part / 사례 "), F.lpad(C("turn").cast("string"), 3, "0"), F.lit("\ntitle\n신청원인 "), F.left("text", F.lit(30)))
+    block = F.concat(F.lpad(C("turn").cast("string"), 2, "0"), F.lit(" part / 사례 "), F.lpad(C("turn").cast("string"), 3, "0"), F.lit("\ntitle\n신청원인 "), "text")
     whole = t.conversations.groupBy(C("conv_id").cast("string").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda s: s["b"]), "\n").alias("text"))
     whole = whole.withColumn("text", F.concat(F.lit("front\n"), "text"))
     return files.case_blocks(whole, r"^\d{2} .+?/ ?사례\s*(\d{3,})").select("file", "row", "number")

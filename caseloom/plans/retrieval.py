@@ -14,12 +14,12 @@ C = F.col
 n = lambda c="*": F.count(c)
 
 
-def laws(t: Tables) -> DataFrame:
-    """Documents as laws: each line an article, some of which cite others, define a term or state an exception."""
+def laws(t: Tables, n_laws: int = 300) -> DataFrame:
+    """Documents as laws: each line an article, some of which cite others (of ``n_laws``), define a term or state an exception."""
     cites = F.transform(F.split("text", "\n"), lambda x, i: F.concat(
-        F.lit("제"), (i + 1).cast("string"), F.lit("조"), F.when(i == 0, "(정의)").otherwise("(내용)"), F.lit("\n"), F.when(i == 0, '"the"라 한다. ').otherwise(""), F.left(x, F.lit(120)),
+        F.lit("제"), (i + 1).cast("string"), F.lit("조"), F.when(i == 0, "(정의)").otherwise("(내용)"), F.lit("\n"), F.when(i == 0, '"the"라 한다. ').otherwise(""), x,
         F.when(i % 3 == 1, F.concat(F.lit(" 제"), (i + 2).cast("string"), F.lit("조에 따른다."))).otherwise(""),
-        F.when(i % 7 == 4, F.concat(F.lit(" 「law "), ((C("doc_id") * 7 + i) % 300).cast("string"), F.lit("」 제1조에 따른다."))).otherwise(""),
+        F.when(i % 7 == 4, F.concat(F.lit(" 「law "), ((C("doc_id") * 7 + i) % n_laws).cast("string"), F.lit("」 제1조에 따른다."))).otherwise(""),
         F.when(i % 11 == 6, F.concat(F.lit(" 다만, 제"), i.cast("string"), F.lit("조는 그러하지 아니하다."))).otherwise(""),
     ))
     return t.documents.select("doc_id", F.array_join(cites, "\n").alias("text"))
@@ -91,8 +91,8 @@ def exception_backlinks(t: Tables) -> DataFrame:
     return evidence.backlinks(evidence.clause_table(laws(t)))
 
 
-def parsed(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows = laws(t)
+def parsed(t: Tables, n_laws: int = 300) -> tuple[DataFrame, DataFrame]:
+    rows = laws(t, n_laws)
     clause_rows = stored(evidence.clause_table(rows), "clauses")
     bodies = clause_rows.join(rows, "doc_id").select("doc_id", "number", F.substring("text", C("start") + 1, C("end") - C("start")).alias("body"))
     return clause_rows, stored(bodies, "bodies")
@@ -112,8 +112,9 @@ def reference_resolution(t: Tables) -> DataFrame:
 
 @query()
 def citation_walk(t: Tables) -> DataFrame:
-    clause_rows, bodies = parsed(t)
-    titles = t.documents.where("doc_id < 300").select(F.concat(F.lit("law "), C("doc_id").cast("string")).alias("law"), "doc_id")
+    n_laws = (t.documents.agg(F.max("doc_id")).first()[0] or 0) + 1
+    clause_rows, bodies = parsed(t, n_laws)
+    titles = t.documents.select(F.concat(F.lit("law "), C("doc_id").cast("string")).alias("law"), "doc_id")
     seeds = t.documents.where("doc_id % 50 = 0").select(C("doc_id").alias("seed"), "doc_id", F.lit(4).alias("number"))
     out = evidence.walk(seeds.join(clause_rows.select("doc_id", "number"), ["doc_id", "number"], "left_semi").select("seed", "doc_id", "number"), clause_rows, bodies, titles)
     return out.select("seed", "complete", "n_clauses", "warnings", F.md5("content").alias("content"))

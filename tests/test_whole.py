@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 from caseloom.plans import catalog
@@ -38,3 +39,24 @@ def test_lines_past_the_thousandth_do_not_meet_the_next_document(spark, tmp_path
     got = run(spark, tmp_path, "benchmark_leakage", documents=(docs, "doc_id long, text string"), benchmark=([(7, "alpha beta gamma"), (8, "delta epsilon zeta eta")], "item_id long, text string"))
     assert sorted((r.item_id, r.shared, r.either) for r in got) == [(7, 3, 3), (8, 4, 4)]
     assert len({r.line_id for r in got}) == 2 and {r.line_id for r in got if r.item_id == 8} == {2005}
+
+
+def test_terms_late_in_a_line_are_supported(spark, tmp_path):
+    docs = [(1, "a title\n" + "x" * 150 + " the end\nnone here"), (400, "a title\nthe end")]
+    got = run(spark, tmp_path, "definition_support", documents=(docs, "doc_id long, text string"))
+    assert {(r.doc_id, r.number, r.by) for r in got} == {(1, 1, 0), (400, 1, 0)}
+
+
+def test_citations_reach_laws_past_the_300th(spark, tmp_path):
+    lines = [f"line {i}" for i in range(5)]
+    docs = [(d, "\n".join(lines)) for d in (50, 354, 400)]
+    got = {r.seed: r for r in run(spark, tmp_path, "citation_walk", documents=(docs, "doc_id long, text string"))}
+    # line 4 of document d cites law (7 d + 4) % 401: 354 for document 50, which cites 76 in turn
+    assert got[50].n_clauses > got[400].n_clauses
+
+
+def test_cases_keep_whole_turns(spark, tmp_path):
+    turns = [(1, 1, "user", "b" * 80), (4, 1, "user", "c" * 80), (4, 2, "user", "d" * 80)]
+    got = run(spark, tmp_path, "case_pages", conversations=(turns, "conv_id long, turn long, role string, text string"))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert {(r.file, r.number, r.body) for r in got} == {("1", "001", md5("b" * 80)), ("4", None, md5("c" * 80 + "\n" + "d" * 80))}
