@@ -303,7 +303,7 @@ def hash_order(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, n_chars > 4000 AS is_long FROM documents ORDER BY n_chars > 4000, doc_id LIMIT 950")
 def queue_order(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", (C("n_chars") > 4000).alias("is_long")).orderBy("is_long", "doc_id").limit(950)
+    return t.documents.select("doc_id", (C("n_chars") > 4000).alias("is_long")).orderBy("is_long", "doc_id")
 
 
 @query(f"SELECT doc_id, lexical FROM ({SCORES}) WHERE lexical >= 60")

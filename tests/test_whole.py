@@ -60,3 +60,9 @@ def test_cases_keep_whole_turns(spark, tmp_path):
     got = run(spark, tmp_path, "case_pages", conversations=(turns, "conv_id long, turn long, role string, text string"))
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     assert {(r.file, r.number, r.body) for r in got} == {("1", "001", md5("b" * 80)), ("4", None, md5("c" * 80 + "\n" + "d" * 80))}
+
+
+def test_the_queue_has_no_cap(spark, tmp_path):
+    docs = [(i, 5000 if i % 50 == 0 else 10) for i in range(2000)]
+    got = run(spark, tmp_path, "queue_order", documents=(docs, "doc_id long, n_chars long"))
+    assert [(r.doc_id, r.is_long) for r in got] == sorted(((d, n > 4000) for d, n in docs), key=lambda x: (x[1], x[0]))
