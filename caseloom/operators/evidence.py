@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,8 @@ from caseloom.sources.scratch import stored
 CLAUSES = "doc_id bigint, number int, key string, heading string, start int, end int, internal array<string>, external array<struct<law:string,key:string>>, exception boolean"
 #: Limits of one walk: clauses, sources, hops to other laws, look-ups of laws.
 MOST_CLAUSES, MOST_SOURCES, HOPS, LOOKUPS = 96, 16, 3, 32
+#: Queries of a block of the vector search, and rows that are scored against them at once.
+QUERIES, SLICE = 2000, 1000
 DEFINITION, TERM = r"\((?:정의|적용\s*범위|적용\s*제외)\)", r"[\"“]([^\"”]{1,50})[\"”]"
 
 
@@ -59,16 +62,8 @@ def span_proof(chunks: DataFrame, docs: DataFrame, text: str = "text") -> DataFr
     return joined.groupBy("doc_id").agg((F.bool_and(F.col("__gapless") & same) & (F.max("end") == F.max(F.length("__t")))).alias("proven"), F.count("*").alias("n_chunks"))
 
 
-def top_k(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vector: str, k: int) -> DataFrame:
-    """The ``k`` rows of greatest cosine for each query, exactly, in blocks.
-
-    Queries are a stated, small set: their number is checked, and they go to
-    every task as one array, so rows are neither shuffled nor paired up before
-    they are scored.  Each task keeps ``k`` rows a query.
-    """
-    found = queries.select(query_id, vectors.doubles(F.col(vector)).alias("v")).limit(2001).collect()
-    if len(found) > 2000:
-        raise ValueError("more than 2000 queries: split them into blocks")
+def nearest(found: list, query_id: str, row_id: str, k: int) -> Callable:
+    """A function over batches of rows that keeps the ``k`` nearest of each of the ``found`` queries."""
     import numpy as np
 
     ids = np.array([r[0] for r in found])
@@ -78,20 +73,46 @@ def top_k(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vecto
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
         for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.array(pdf["v"].tolist(), float)
-            s = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            each = pd.DataFrame({query_id: np.repeat(ids, len(pdf)), row_id: np.tile(pdf[row_id].to_numpy(), len(ids)), "score": s.ravel()})
-            best = each if best is None else pd.concat([best, each])
-            best = best.sort_values(["score", row_id], ascending=[False, True]).groupby(query_id, sort=False).head(k)
+            for a in range(0, len(pdf) if len(ids) else 0, SLICE):
+                part = pdf[a : a + SLICE].sort_values(row_id)
+                x = np.array(part["v"].tolist(), float)
+                s = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                each = pd.DataFrame({query_id: np.repeat(ids, at.shape[1]), row_id: part[row_id].to_numpy()[at].ravel(), "score": np.take_along_axis(s, at, 1).ravel()})
+                best = each if best is None else pd.concat([best, each])
+                best = best.sort_values(["score", row_id], ascending=[False, True]).groupby(query_id, sort=False).head(k)
         if best is not None:
             yield best
 
+    return run
+
+
+def top_k(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vector: str, k: int) -> DataFrame:
+    """The ``k`` rows of greatest cosine for each query, exactly, in blocks of at most ``QUERIES`` queries.
+
+    A block goes to every task as one array, so rows are neither shuffled nor
+    paired up before they are scored, and each task keeps ``k`` rows a query.
+    One block is answered lazily; of several, the driver holds one at a time and
+    stores its answers before it fetches the next.
+    """
     types = dict(queries.dtypes)[query_id], dict(rows.dtypes)[row_id]
-    near = rows.select(row_id, vectors.doubles(F.col(vector)).alias("v")).mapInPandas(run, f"{query_id} {types[0]}, {row_id} {types[1]}, score double")
+    vectors_of = rows.select(row_id, vectors.doubles(F.col(vector)).alias("v"))
+
+    def near(found: list) -> DataFrame:
+        run = nearest(found, query_id, row_id, k)
+        return vectors_of.mapInPandas(run, f"{query_id} {types[0]}, {row_id} {types[1]}, score double")
+
+    found = iter(queries.select(query_id, vectors.doubles(F.col(vector)).alias("v")).toLocalIterator())
+    block, ahead = list(islice(found, QUERIES)), list(islice(found, 1))
+    parts = []
+    while ahead:
+        parts.append(stored(near(block), "nearest"))
+        block, ahead = ahead + list(islice(found, QUERIES - 1)), list(islice(found, 1))
+    out = near(block)
+    for p in parts:
+        out = out.unionByName(p)
     place = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), row_id))
-    return near.withColumn("place", place).where(F.col("place") <= k)
+    return out.withColumn("place", place).where(F.col("place") <= k)
 
 
 def versions(rows: DataFrame, group: Column, key: str, day: Column, version: Column, as_of: Column) -> DataFrame:

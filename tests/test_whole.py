@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import defaultdict
 
+import numpy as np
+
+from caseloom.operators import evidence
 from caseloom.plans import catalog
 
 
@@ -66,3 +70,16 @@ def test_the_queue_has_no_cap(spark, tmp_path):
     docs = [(i, 5000 if i % 50 == 0 else 10) for i in range(2000)]
     got = run(spark, tmp_path, "queue_order", documents=(docs, "doc_id long, n_chars long"))
     assert [(r.doc_id, r.is_long) for r in got] == sorted(((d, n > 4000) for d, n in docs), key=lambda x: (x[1], x[0]))
+
+
+def test_any_number_of_queries_is_answered(spark):
+    r = np.random.default_rng(3)
+    rows = r.normal(size=(60, 4)).round(2)
+    asked = r.normal(size=(4500, 4)).round(2)
+    table = lambda x, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} long, embedding array<double>")
+    got = defaultdict(list)
+    for x in evidence.top_k(table(asked, "query_id"), table(rows, "vec_id"), "query_id", "vec_id", "embedding", 3).collect():
+        got[x.query_id].append((x.place, x.score))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = -np.sort(-(unit(asked) @ unit(rows).T), axis=1)[:, :3]
+    assert len(got) == 4500 and all(np.allclose([s for _, s in sorted(got[i])], want[i]) for i in range(4500))
