@@ -156,9 +156,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that of the smallest id; of repeated rows of it, one.
+    """One document of each component, that of the smallest id; of repeated rows of it, one for each of its texts.
 
-    Documents without an id can't be told apart by it and go.
+    Documents without an id can't be told apart by it and are all kept.
     """
     heads = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    kept = docs.join(heads, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 
+from caseloom.llm import simhash
 from caseloom.operators import evidence
 from caseloom.plans import catalog
 
@@ -83,3 +84,10 @@ def test_any_number_of_queries_is_answered(spark):
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     want = -np.sort(-(unit(asked) @ unit(rows).T), axis=1)[:, :3]
     assert len(got) == 4500 and all(np.allclose([s for _, s in sorted(got[i])], want[i]) for i in range(4500))
+
+
+def test_near_dedup_keeps_texts_that_ids_do_not_tell_apart(spark, tmp_path):
+    a, b, c = words(11, 40), words(12, 40), words(13, 40)
+    docs = spark.createDataFrame([(None, a), (None, a), (1, b), (1, c), (1, c), (2, b)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.stage(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(None, a), (None, a), (1, b), (1, c)], key=repr)
