@@ -136,8 +136,9 @@ def scanned(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     found_kind = to_arrow_schema(T.StructType.fromDDL(f"h {RANGES}")).field(0).type
     context = docs.sparkSession.sparkContext
     own, past, now = docs.columns, [], docs
-    every = list(blocks(items, item_id, item_text, width, max_pattern_bytes))
-    for block in every[:-1]:
+    every = blocks(items, item_id, item_text, width, max_pattern_bytes)
+    block = next(every, [])
+    for following in every:
         shared = context.broadcast(Scanner(block, width))
 
         def collect(texts: list[bytes], shared=shared) -> list:
@@ -147,7 +148,8 @@ def scanned(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
         past.append(f"__found{len(past)}")
         now = stored(add_columns(now, text, f"{past[-1]} {RANGES}", collect), "hits")
         shared.destroy()
-    last = context.broadcast(Scanner(every[-1] if every else [], width))
+        block = following
+    last = context.broadcast(Scanner(block, width))
     at = now.columns.index(text)
     earlier = [now.columns.index(x) for x in past]
 

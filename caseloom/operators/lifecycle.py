@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caseloom.operators.windows import folded
+
 # Moves between states that are allowed.
 MOVES = {"received": ["in progress", "cancelled"], "in progress": ["done", "cancelled", "received"], "done": [], "cancelled": []}
 
@@ -13,20 +15,15 @@ MOVES = {"received": ["in progress", "cancelled"], "in progress": ["done", "canc
 def fold(events: DataFrame, key: str, order: str, wanted: str, first: str = "received", moves: dict[str, list[str]] = MOVES) -> DataFrame:
     """State and number of rejected moves of each key, its events applied in order.
 
-    The history of one key is one array, so nothing but keys is shuffled.
+    Sorted rows pass by one at a time, so a history of any length takes no memory.
     """
-    allowed = F.lit(False)
-    history = F.transform(F.array_sort(F.collect_list(F.struct(order, wanted))), lambda s: s[wanted])
 
-    def step(a: Column, to: Column) -> Column:
-        ok = allowed
-        for state, nexts in moves.items():
-            if nexts:
-                ok = ok | ((a["state"] == state) & to.isin(nexts))
-        return F.struct(F.when(ok, to).otherwise(a["state"]).alias("state"), (a["rejected"] + F.when(ok, 0).otherwise(1)).alias("rejected"))
+    def step(a: tuple, at: object, to: str | None) -> tuple[tuple, tuple]:
+        state, rejected = a
+        a = (to, rejected) if to in moves.get(state, ()) else (state, rejected + 1)
+        return a, a
 
-    start = F.struct(F.lit(first).alias("state"), F.lit(0).alias("rejected"))
-    return events.groupBy(key).agg(F.aggregate(history, start, step).alias("f")).select(key, "f.state", F.col("f.rejected").cast("long").alias("rejected"))
+    return folded(events, key, [order, wanted], f"`{key}` {dict(events.dtypes)[key]}, state string, rejected bigint", lambda: (first, 0), step, each=False)
 
 
 def current_results(results: DataFrame, rows: DataFrame, key: str, revision: str) -> tuple[DataFrame, DataFrame]:
@@ -83,14 +80,14 @@ def compacted(turns: DataFrame, conversation: str, order: str, role: str, text:
 
 def with_breaker(rows: DataFrame, order: str, failed: Column, group: str, at: str, seconds: int) -> DataFrame:
     """Outcome of each call: skipped while less than ``seconds`` have passed since the last real failure."""
-    calls = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(order).alias("id"), failed.alias("bad"))))
+    types = dict(rows.dtypes)
+    flat = rows.select(F.col(group), F.col(at), F.col(order), failed.alias("__bad"))
 
-    def step(a: Column, c: Column) -> Column:
-        skip = c["at"] < a["until"]
-        until = F.when(skip, a["until"]).when(c["bad"], c["at"] + seconds).otherwise(a["until"])
-        outcome = F.when(skip, "skipped").when(c["bad"], "failed").otherwise("ok")
-        return F.struct(until.alias("until"), F.concat(a["out"], F.array(F.struct(c["id"].alias("id"), outcome.alias("outcome")))).alias("out"))
+    def step(until: int | None, now: int | None, call: object, bad: bool | None) -> tuple[int | None, tuple]:
+        if now is not None and until is not None and now < until:
+            return until, (call, "skipped")
+        if bad:
+            return None if now is None else now + seconds, (call, "failed")
+        return until, (call, "ok")
 
-    ids = dict(rows.dtypes)[order]
-    start = F.struct(F.lit(-1).cast("long").alias("until"), F.array().cast(f"array<struct<id:{ids},outcome:string>>").alias("out"))
-    return rows.groupBy(group).agg(F.aggregate(calls, start, step, lambda a: a["out"]).alias("o")).select(group, F.explode("o").alias("e")).select(group, F.col("e.id").alias(order), "e.outcome")
+    return folded(flat, group, [at, order, "__bad"], f"`{group}` {types[group]}, `{order}` {types[order]}, outcome string", lambda: -1, step, each=True)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -44,6 +49,49 @@ def length_buckets(rows: DataFrame, key: Column, length: str, chunk: int) -> Dat
     return spread.withColumn("place", F.row_number().over(W.partitionBy("chunk").orderBy(F.desc(length), key)))
 
 
+def folded(rows: DataFrame, key: str, order: list[str], schema: str, start: Callable, step: Callable, each: bool) -> DataFrame:
+    """Rows of each key run through ``step`` in the order of the columns, one key's state in memory at a time.
+
+    ``step(state, *values)`` gives the next state and a tuple to put out beside
+    the key: one of each row, or the last one of each key.  ``schema`` has the key first.
+    """
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, state, last = False, None, None, None
+        for batch in batches:
+            out = []
+            for k, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or k != now:
+                    if begun and not each:
+                        out.append((now, *last))
+                    begun, now, state = True, k, start()
+                state, last = step(state, *values)
+                if each:
+                    out.append((k, *last))
+            yield packed(out)
+        if begun and not each:
+            yield packed([(now, *last)])
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    columns = [key, *order]
+    return rows.select(*columns).repartition(key).sortWithinPartitions(*columns).mapInArrow(run, schema)
+
+
+def averaged(alpha: float) -> tuple[Callable, Callable]:
+    """Start and step of an exponential moving average over (order, value)."""
+
+    def step(state: tuple, at: object, x: float | None) -> tuple[tuple, tuple]:
+        begun, a = state
+        a = x if not begun else None if a is None or x is None else alpha * x + (1 - alpha) * a
+        return (True, a), (at, a)
+
+    return lambda: (False, None), step
+
+
 def moving_average(rows: DataFrame, key: str, order: str, value: str, alpha: float, into: str) -> DataFrame:
     """Exponential moving average of each key's values; a key's values are one array."""
     fold = lambda a, x: F.when(a.isNull(), x).otherwise(alpha * x + (1 - alpha) * a)
@@ -53,7 +101,6 @@ def moving_average(rows: DataFrame, key: str, order: str, value: str, alpha: flo
 
 def running_average(rows: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
     """The moving average after each row."""
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("__v"))
-    step = lambda a, s: F.concat(a, F.array(F.struct(s[order].alias(order), F.when(F.size(a) == 0, s[value]).otherwise(alpha * s[value] + (1 - alpha) * F.element_at(a, -1)["average"]).alias("average"))))
-    empty = F.array().cast(f"array<struct<{order}:{dict(rows.dtypes)[order]},average:double>>")
-    return lists.select(key, F.explode(F.aggregate("__v", empty, step)).alias("e")).select(key, f"e.{order}", "e.average")
+    types = dict(rows.dtypes)
+    flat = rows.withColumn(value, F.col(value).cast("double"))
+    return folded(flat, key, [order, value], f"`{key}` {types[key]}, `{order}` {types[order]}, average double", *averaged(alpha), each=True)

@@ -7,9 +7,10 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from caseloom.llm import simhash
-from caseloom.operators import evidence
+from caseloom.llm import decontaminate, simhash
+from caseloom.operators import evidence, lifecycle, windows
 from caseloom.plans import catalog
 
 
@@ -91,3 +92,41 @@ def test_near_dedup_keeps_texts_that_ids_do_not_tell_apart(spark, tmp_path):
     docs = spark.createDataFrame([(None, a), (None, a), (1, b), (1, c), (1, c), (2, b)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in simhash.stage(spark, docs, str(tmp_path)).collect()), key=repr)
     assert got == sorted([(None, a), (None, a), (1, b), (1, c)], key=repr)
+
+
+def test_histories_are_streamed(spark):
+    r = random.Random(5)
+    e = [(r.choice([1, 1, 1, 2, None]), i, r.random(), r.random() < 0.2, r.choice(["in progress", "done", "received", None])) for i in range(600)]
+    df = spark.createDataFrame(e, "k long, id long, v double, bad boolean, wanted string")
+    average, breaker, fold = windows.running_average(df, "k", "id", "v", 0.3), lifecycle.with_breaker(df, "id", F.col("bad"), "k", "id", 7), lifecycle.fold(df, "k", "id", "wanted")
+    for out in (average, breaker, fold):
+        assert "collect_list" not in out._jdf.queryExecution().toString()
+    want_average, want_breaker, want_fold, now, until = {}, {}, {}, {}, defaultdict(lambda: -1)
+    for k, i, v, bad, wanted in e:
+        now[k] = v if k not in now else 0.3 * v + 0.7 * now[k]
+        want_average[k, i] = now[k]
+        want_breaker[k, i] = "skipped" if i < until[k] else "failed" if bad else "ok"
+        until[k] = i + 7 if want_breaker[k, i] == "failed" else until[k]
+        state, rejected = want_fold.get(k, ("received", 0))
+        want_fold[k] = (wanted, rejected) if wanted in lifecycle.MOVES[state] else (state, rejected + 1)
+    got = {(x.k, x.id): x.average for x in average.collect()}
+    assert got.keys() == want_average.keys() and all(abs(got[x] - want_average[x]) < 1e-12 for x in got)
+    assert {(x.k, x.id): x.outcome for x in breaker.collect()} == want_breaker
+    assert {x.k: (x.state, x.rejected) for x in fold.collect()} == want_fold
+
+
+def test_blocks_of_the_benchmark_come_one_at_a_time(spark, monkeypatch):
+    seen, blocks, stored = [], decontaminate.blocks, decontaminate.stored
+
+    def watched(*a):
+        for b in blocks(*a):
+            seen.append("drawn")
+            yield b
+
+    monkeypatch.setattr(decontaminate, "blocks", watched)
+    monkeypatch.setattr(decontaminate, "stored", lambda *a: seen.append("stored") or stored(*a))
+    items = spark.createDataFrame([(i, words(20 + i, 14)) for i in range(3)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, words(20 + i, 14)) for i in range(4)], "doc_id long, text string")
+    got = {r.doc_id: r["__hit"]["items"] for r in decontaminate.scanned(docs, items, max_pattern_bytes=1).collect()}
+    assert got == {0: ["0"], 1: ["1"], 2: ["2"], 3: []}
+    assert seen == ["drawn", "drawn", "stored", "drawn", "stored"]
