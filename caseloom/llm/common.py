@@ -6,7 +6,6 @@ lost executor costs a re-read and never a re-run of the lineage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,55 +15,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from caseloom.sources.scratch import brief_shuffles, folder, stored
+
+__all__ = ["brief_shuffles", "folder", "stored"]
+
 #: Rows in one Arrow batch; texts are long, so a batch stays at some megabytes.
 BATCH_ROWS = 1000
+#: And this many bytes, a last row aside.
+BATCH_BYTES = 16 << 20
 #: ASCII white space: what parts words in every contract here.
 SPACES = b"\t\n\x0b\x0c\r "
 #: Lower-cases A-Z only.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="caseloom-")  # a single machine, as in tests
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+def bucketed(df: DataFrame, key: str, buckets: int | None = None, dealt: bool = False) -> DataFrame:
+    """``df`` stored in the shared folder, bucketed and sorted by ``key``: later joins on it do not move it.
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
-    """``df`` stored in the shared folder, bucketed and sorted by ``key``: later joins on it do not move it."""
+    ``dealt``: it lies in ``buckets`` partitions by ``key`` already.
+    """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"t_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", shared_path(spark, name)).saveAsTable(name)
+    with brief_shuffles(spark):
+        (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", folder(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`stored` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`stored` that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows, as whole texts are long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the Arrow batches by rows and bytes, as whole texts are long; the session keeps these bounds."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,118 +1,196 @@
 """Line deduplication: an exact set-similarity join over the words of lines.
 
-A line takes part if it has at least ``MIN_WORDS`` different words.  A line is
-removed if an earlier one (smaller doc_id, or the same document further up) has
-a Jaccard similarity of at least 4/5 to it; both are judged on the input.
+A line takes part if it has a word.  It is removed if an earlier one (smaller
+doc_id, or the same document further up) has a Jaccard similarity of at least
+4/5 to it; both are judged on the input.
 
 Lines with equal word sets are one class, known by its first line.  The words
 of a class are ordered by rarity; only its prefix enters the inverted index,
-without words that no other line has, and under 32 bits of the words' hashes.  Classes that meet there pass the length
-filter, the positional filter and a bitmap bound on their difference; what is
+without words that no other line has.  Postings travel as packed columns, one
+row for each bucket of words.  Classes that meet in a posting list pass the
+length filter (lists are sorted by size, and a class looks only as far as sizes
+allow), the positional filter and a bitmap bound on their difference; what is
 left is verified on whole word sets.  Rarity comes from a table of ``SLOTS``
 hashed counts, whose size is fixed: it sets the order only, never the result.
 
 The first round verifies the ``KEEP`` nearest earlier candidates of a class in
 each posting list, so a family of similar lines costs some pairs a line, not all
-pairs.  Classes with further candidates and no match so far go to a second
-round: in posting lists of up to ``BLOCK`` all their candidates are verified; in
-longer ones whole word sets meet and are compared in place, so that at most one
-row comes out for each such class and list.  Long lists are split into blocks
-and compared block against block.
+pairs.  Classes without a match that had further candidates go to a second
+round, where all their candidates are verified.  Words that more than ``BLOCK``
+lines may have are posted row by row; their lists are cut into blocks that are
+compared block against block in tasks of their own.
+
+Words are told apart by 48 bits of a hash, sets of words by 128.
 
 Defined cases.  A null text has no lines and stays null; an empty text stays
-empty.  Shorter lines are kept as they are.  Rows that repeat a doc_id are one
-document and keep the same lines.  Documents with a null doc_id are left alone.
-An empty table gives an empty result.
+empty.  Lines without words are kept.  Rows that repeat a doc_id and a text are
+one document and keep the same lines; different texts of one doc_id are documents
+of their own, in the order of their hashes.  Documents with a null doc_id are
+left alone.  Very long texts are hashed in steps; a line is held as a whole.
+Columns of the input travel in one struct, so their names can't clash.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import bucketed, map_rows, stored, table
+from caseloom.llm.common import bucketed, discard, map_rows, small_batches, stored, table
+from caseloom.llm.words import hashed
 
-MIN_WORDS = 5
 #: Hashed counts, one byte each when sent to the tasks: a bound of 32 MB.
-SLOTS, SLICES = 1 << 25, 64
-BLOCK = 1024
-NEAR, KEEP = 32, 2
+SLOTS, SLICES, PARTS = 1 << 25, 64, 16
+BLOCK = 4096
+KEEP = 2
+#: Words that are counted, and postings that are sent, at a time.
+COUNTED, POSTED = 1 << 22, 1 << 20
+#: Postings of a bucket, on average.
+BUCKET = 1 << 16
 #: A table of words of at most so many rows is sent to all tasks; a longer one is joined.
 SMALL = 200_000
-CLASS = "s1 bigint, s2 bigint, doc bigint, line int, n int, b1 bigint, b2 bigint, words array<int>, ranks array<int>"
+#: ASCII white space.
+BLANK = " \t\n\x0b\x0c\r"
+POSTINGS = ["word", "doc", "place", "n", "rank", "bits"]
+PACKED = "bucket int, size int, word binary, base bigint, doc binary, place binary, n binary, rank binary, bits binary, probe boolean"
+LOOSE = "word bigint, doc bigint, place bigint, n int, rank int, bits bigint"
+NEAR = "doc bigint, place bigint, doc2 bigint, place2 bigint, more boolean"
 
 
 class Lines:
-    """The eligible lines of some texts: (text, line number, number of words) and their distinct words, hashed."""
-
-    def __init__(self, texts: list[bytes], min_words: int = MIN_WORDS, only: list[set[int]] | None = None):
-        flat: list[bytes] = []
-        sizes, doc, number = [], [], []
-        for d, t in enumerate(texts):
-            for k, x in enumerate(t.split(b"\n")):
-                if only is not None and k not in only[d]:
-                    continue
-                w = x.split()
-                if len(w) >= min_words:
-                    flat += w
-                    sizes.append(len(w))
-                    doc.append(d)
-                    number.append(k)
-        words = np.empty(len(flat), object)
-        words[:] = flat
-        codes, distinct = pd.factorize(words) if flat else (np.zeros(0, np.int64), [])
-        pair = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(distinct)) + codes)
-        line, code = np.divmod(pair, max(1, len(distinct)))
-        n = np.bincount(line, minlength=len(sizes))
-        stay = n >= min_words
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
-        self.doc, self.number, self.n = np.array(doc, np.int64)[stay], np.array(number, np.int64)[stay], n[stay]
-        self.hash = hashes[code[stay[line]]] if len(line) else np.zeros(0, np.uint64)
-        self.first = np.cumsum(self.n) - self.n
-        self.line = np.repeat(np.arange(len(self.n)), self.n)
-
-
-def text_column(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """For each slot, how many lines have a word there, on a scale of one byte: 0, 1, then logarithmic."""
-    width = SLOTS // SLICES
+    """The lines with words of some texts: text, line number, and the distinct words of each in ascending order of their hashes."""
+
+    def __init__(self, texts: list[bytes]):
+        data = b"\n".join([*texts, b""])
+        at, h = hashed(data)
+        breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        line = np.searchsorted(breaks, at)
+        pieces = []
+        for low in range(0, len(breaks), 1 << 16):
+            a, b = np.searchsorted(line, [low, low + (1 << 16)])
+            key = np.sort(((line[a:b] - low).astype(np.uint64) << np.uint64(48)) | (h[a:b] >> np.uint64(16)))
+            if len(key):
+                key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+            pieces.append(((key >> np.uint64(48)).astype(np.int64) + low, key & np.uint64((1 << 48) - 1)))
+        line = np.concatenate([p[0] for p in pieces])
+        self.word = np.concatenate([p[1] for p in pieces])
+        self.full, self.first, self.n = np.unique(line, return_index=True, return_counts=True)
+        self.before = np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)])
+        self.doc = np.searchsorted(self.before, self.full, "right") - 1
+        self.number = self.full - self.before[self.doc]
+        self.line = np.repeat(np.arange(len(self.full)), self.n)
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(k)
+    return h ^ (h >> np.uint64(29))
+
+
+def deflated(slots: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending slots as differences, and their counts, by planes of bytes."""
+    both = np.concatenate((np.diff(slots, prepend=0), n)).astype("<u4")
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def inflated(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    half = len(both) // 2
+    return np.cumsum(both[:half], dtype=np.int64), both[half:]
+
+
+def places(batch: pa.RecordBatch, x: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line, its document and its place: the document's version, then the line's number."""
+    return batch.column(0).to_numpy()[x.doc], (batch.column(1).to_numpy()[x.doc].astype(np.int64) << 32) | x.number
+
+
+def chosen(batch: pa.RecordBatch, x: Lines) -> np.ndarray:
+    """Which lines are among the places in the batch's fourth column."""
+    lists = batch.column(3)
+    some, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    own = (some >> 32) == batch.column(1).to_numpy()[doc]
+    mark = np.zeros(x.before[-1], bool)
+    mark[x.before[doc[own]] + (some[own] & 0xFFFFFFFF)] = True
+    return mark[x.full]
 
-    def count(batch: pa.RecordBatch) -> Iterator[dict]:
-        slot, n = np.unique(Lines(batch.column(1).to_pylist()).hash % np.uint64(SLOTS), return_counts=True)
+
+def measured(docs: DataFrame) -> DataFrame:
+    """A stored table of two kinds of rows: ``s1, s2, doc, place`` of every line, and ``slice, counts`` of the words in hashed slots.
+
+    A word counts once for each word set among the lines that a task looks at together.
+    """
+    width = SLOTS // SLICES
+    schema = "s1 bigint, s2 bigint, doc bigint, place bigint, slice int, counts binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+
+    def counted(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        s, n, words = (np.concatenate(x) for x in zip(*held))
+        once = np.zeros(len(s), bool)
+        once[np.unique(s, return_index=True)[1]] = True
+        slot, count = np.unique(words[np.repeat(once, n)] % np.uint64(SLOTS), return_counts=True)
         cut = np.searchsorted(slot, np.arange(SLICES + 1) * width)
         rows = [k for k in range(SLICES) if cut[k] < cut[k + 1]]
-        yield {"slice": rows, "slots": [(slot[cut[k] : cut[k + 1]] - np.uint64(k * width)).astype("<u4").tobytes() for k in rows], "n": [n[cut[k] : cut[k + 1]].astype("<u4").tobytes() for k in rows]}
+        blobs = [deflated((slot[cut[k] : cut[k + 1]] - np.uint64(k * width)).astype(np.int64), count[cut[k] : cut[k + 1]]) for k in rows]
+        none = [pa.nulls(len(rows), pa.int64())] * 4
+        return pa.RecordBatch.from_arrays([*none, pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            x = Lines(batch.column(2).to_pylist())
+            if not len(x.n):
+                continue
+            s1, s2 = (np.add.reduceat(mixed(x.word, k), x.first) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (s1, s2)] + [pa.array(c) for c in places(batch, x)] + [pa.nulls(len(s1), k) for k in kinds[4:]], names=names)
+            held.append((s1, x.n, x.word))
+            size += len(x.word)
+            if size >= COUNTED:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
+
+    return stored(docs.mapInArrow(run, schema), "line-measures")
+
+
+def rarity(found: DataFrame) -> np.ndarray:
+    """For each slot, how many lines have a word there, on a scale of one byte: 0, 1, then logarithmic and rounded up."""
+    width = SLOTS // SLICES
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, slots, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = sums.setdefault(k, np.zeros(width, np.float32))
-                own[np.frombuffer(slots, "<u4")] += np.frombuffer(n, "<u4")
-        for k, own in sums.items():
-            scale = np.where(own < 2, own, np.minimum(255, 2 + 7 * np.log2(np.maximum(own, 2) - 1))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([scale.tobytes()], pa.binary())], names=["slice", "scale"])
-
-    parts = map_rows(text_column(docs), "slice int, slots binary, n binary", count)
+            for k, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                slots, n = inflated(counts)
+                sums.setdefault(k, np.zeros(width, np.int64))[slots] += n
+        return iter(sums.items())
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, own in summed(batches):
+            slots = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([deflated(slots, np.minimum(own[slots], (1 << 32) - 1))], pa.binary())], names=["slice", "counts"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, own in summed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([scaled(own).tobytes()], pa.binary())], names=["slice", "scale"])
+
+    counts = found.where("slice is not null").select("slice", "counts")
+    some = counts.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(PARTS))).repartition("slice", "part").select("slice", "counts").mapInArrow(part, "slice int, counts binary")
     out = np.zeros(SLOTS, np.uint8)
-    for row in parts.repartition(SLICES, "slice").mapInArrow(add, "slice int, scale binary").toLocalIterator():
+    for row in some.repartition(SLICES, "slice").mapInArrow(whole, "slice int, scale binary").collect():  # SLOTS bytes in all
         out[row[0] * width : (row[0] + 1) * width] = np.frombuffer(bytes(row[1]), np.uint8)
     return out
 
 
-def mixed(h: np.ndarray, k: int) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(k)
-    return h ^ (h >> np.uint64(29))
+def scaled(n: np.ndarray) -> np.ndarray:
+    return np.where(n < 2, n, np.minimum(255, 2 + np.ceil(7 * np.log2(np.maximum(n, 2) - 1)))).astype(np.uint8)
 
 
 def prefix(n: np.ndarray) -> np.ndarray:
@@ -120,137 +198,191 @@ def prefix(n: np.ndarray) -> np.ndarray:
     return n - (4 * n + 4) // 5 + 1
 
 
-def classes(docs: DataFrame, scale: np.ndarray) -> DataFrame:
-    """``CLASS``: one row per word set, with its first line, size, bitmap and the indexed words with their ranks."""
-    shared = docs.sparkSession.sparkContext.broadcast(scale)
+def narrow(a: np.ndarray) -> bytes:
+    """Non-negative numbers in as few bytes each as the largest needs."""
+    return a.astype(np.min_scalar_type(int(a.max()))).tobytes()
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        x = Lines(batch.column(1).to_pylist())
-        if not len(x.n):
+
+def wide(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // size}").astype(np.int64)
+
+
+def posted(docs: DataFrame, scale: object, hot: int, buckets: int, probe: bool) -> tuple[DataFrame, DataFrame]:
+    """The postings of the lines ``places`` of ``docs`` (doc_id, version, t, places): packed by bucket, and loose for words of which more than ``hot`` on the scale."""
+    packed, loose = T.StructType.fromDDL(PACKED), T.StructType.fromDDL(LOOSE)
+    names = [*packed.names, *[f"l_{c}" for c in loose.names]]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), *[pa.binary()] * 5, pa.bool_(), *[pa.int64()] * 3, pa.int32(), pa.int32(), pa.int64()]
+    schema = T.StructType([*packed.fields, *[T.StructField(f"l_{f.name}", f.dataType) for f in loose.fields]])
+
+    def sent(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        word, doc, place, n, rank, bits, often = (np.concatenate(x) for x in zip(*held))
+        at = np.flatnonzero(often)
+        if len(at):
+            cols = [word[at].view(np.int64), doc[at], place[at], n[at], rank[at], bits[at].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(at), k) for k in kinds[:10]], *[pa.array(c, k) for c, k in zip(cols, kinds[10:], strict=True)]], names=names)
+        bucket = (word % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        order = order[~often[order]]
+        if not len(order):
             return
-        rare = shared.value[x.hash % np.uint64(SLOTS)]
-        order = np.lexsort((x.hash, rare, x.line))
-        h, rare = x.hash[order], rare[order]
-        rank = np.arange(len(h)) - x.first[x.line]
-        pick = (rank < prefix(x.n)[x.line]) & (rare > 1)
-        bit = h >> np.uint64(57)
-        mask = np.uint64(1) << (bit & np.uint64(63))
-        low = np.where(bit < 64, mask, np.uint64(0))
-        offsets = np.concatenate(([0], np.cumsum(np.bincount(x.line[pick], minlength=len(x.n))))).astype(np.int32)
-        signed = lambda a: a.view(np.int64)
-        yield {
-            "s1": signed(np.add.reduceat(mixed(h, 0x9E3779B97F4A7C15), x.first)), "s2": signed(np.add.reduceat(mixed(h, 0xC2B2AE3D27D4EB4F), x.first)),
-            "doc": batch.column(0).to_numpy()[x.doc], "line": x.number, "n": x.n,
-            "b1": signed(np.bitwise_or.reduceat(low, x.first)), "b2": signed(np.bitwise_or.reduceat(mask ^ low, x.first)),
-            "words": pa.ListArray.from_arrays(offsets, (h[pick] >> np.uint64(32)).astype(np.uint32).view(np.int32)), "ranks": pa.ListArray.from_arrays(offsets, rank[pick].astype(np.int32)),
-        }
-
-    every = map_rows(text_column(docs), CLASS, run)
-    first = every.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line", "n", "b1", "b2", "words", "ranks")).alias("c"))
-    return stored(first.select("c.*"), "line-classes")
-
-
-def far(x: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits that differ between rows ``a`` and earlier rows ``b``, or 255 where a filter shows that they are not similar."""
-    na, nb = x["n"][a], x["n"][b]
-    need = (4 * (na + nb) + 8) // 9
-    diff = np.bitwise_count(x["b1"][a] ^ x["b1"][b]).astype(np.int64) + np.bitwise_count(x["b2"][a] ^ x["b2"][b])
-    fits = (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (np.minimum(na - x["rank"][a], nb - x["rank"][b]) >= need) & (diff <= na + nb - 2 * need)
-    return np.where(fits, diff, 255)
-
-
-def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each run of rows with equal ``word, lo, hi``, for each row the ``KEEP`` earlier rows that differ least, and whether there are more."""
-    names = ["word", "lo", "hi", "doc", "line", "n", "rank", "b1", "b2"]
-    held: list[np.ndarray] | None = None
-
-    def best(cols: list[np.ndarray]) -> pa.RecordBatch:
-        x = dict(zip(names, cols, strict=True)) | {"b1": cols[7].view(np.uint64), "b2": cols[8].view(np.uint64)}
-        m = len(x["word"])
-        change = np.concatenate(([True], (x["word"][1:] != x["word"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])))
-        start = np.maximum.accumulate(np.where(change, np.arange(m), 0))
-        at = np.arange(m) - start
-        count = np.zeros(m, np.int64)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def take(a: np.ndarray, b: np.ndarray) -> None:
-            d = far(x, a, b)
-            ok = d < 255
-            found.append((a[ok], b[ok], d[ok]))
-
-        for o in range(1, min(NEAR, m)):
-            a = np.flatnonzero(at >= o)
-            if not len(a):
-                break
-            take(a, a - o)
-            count += np.bincount(found[-1][0], minlength=m)
-        for r in np.flatnonzero(at >= NEAR).tolist():
-            b = np.arange(start[r], r - NEAR + 1)
-            take(np.full(len(b), r), b)
-            a, b, d = found[-1]
-            count[r] += len(a)
-            least = np.argsort(d, kind="stable")[:KEEP]
-            found[-1] = a[least], b[least], d[least]
-        a, b, d = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else [()] * 3))
-        order = np.lexsort((b, d, a))
-        a, b = a[order], b[order]
-        first = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.zeros(0, bool)
-        place = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0)) if len(a) else a
-        a, b = a[place < KEEP], b[place < KEEP]
-        out = [x["doc"][a], x["line"][a], x["doc"][b], x["line"][b], count[a] > KEEP]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["doc", "line", "doc2", "line2", "more"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        cols = cols if held is None else [np.concatenate(c) for c in zip(held, cols, strict=True)]
-        same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
-        last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if last:
-            yield best([c[:last] for c in cols])
-        held = [c[last:] for c in cols]
-    if held is not None:
-        yield best(held)
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
+        rows: list[list] = [[] for _ in kinds[:10]]
+        for a, b in zip(cut.tolist(), cut[1:].tolist()):
+            i = order[a:b]
+            base = int(doc[i].min())
+            cells = (int(bucket[i[0]]), b - a, (word[i] >> np.uint64(16)).astype("<u4").tobytes(), base, narrow((doc[i] - base).view(np.uint64)), narrow(place[i]), narrow(n[i]), narrow(rank[i]), bits[i].tobytes(), probe)
+            for r, x in zip(rows, cells, strict=True):
+                r.append(x)
+        yield pa.RecordBatch.from_arrays([*[pa.array(r, k) for r, k in zip(rows, kinds, strict=False)], *[pa.nulls(len(rows[0]), k) for k in kinds[10:]]], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            x = Lines(batch.column(2).to_pylist())
+            if not len(x.n):
+                continue
+            doc, place = places(batch, x)
+            wanted = chosen(batch, x)
+            rare = scale.value[x.word % np.uint64(SLOTS)]
+            order = np.lexsort((rare, x.line))
+            word, rare = x.word[order], rare[order]
+            rank = np.arange(len(word)) - x.first[x.line]
+            pick = (rank < prefix(x.n)[x.line]) & (rare > 1) & wanted[x.line]
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (mixed(x.word, 0x9E3779B97F4A7C15) >> np.uint64(58)), x.first)
+            line = x.line[pick]
+            held.append([word[pick], doc[line], place[line], x.n[line], rank[pick], bits[line], rare[pick] > hot])
+            size += len(line)
+            if size >= POSTED:
+                yield from sent(held)
+                held, size = [], 0
+        if size:
+            yield from sent(held)
+
+    every = stored(docs.mapInArrow(run, schema), "postings")
+    return every.where("bucket is not null").select(*packed.names), every.where("l_word is not null").select(*[F.col(f"l_{c}").alias(c) for c in loose.names])
+
+
+def met(x: dict[str, np.ndarray], group: np.ndarray, is_open: np.ndarray | None) -> pa.RecordBatch | None:
+    """Candidates within groups of equal words: of each row the ``KEEP`` nearest earlier ones, or of each open row all earlier ones."""
+    order = np.lexsort((x["n"], group))
+    group = group[order]
+    x = {k: v[order] for k, v in x.items()}
+    is_open = None if is_open is None else is_open[order]
+    m = len(group)
+    age = np.empty(m, np.int64)
+    by_age = np.lexsort((x["place"], x["doc"]))
+    age[by_age] = np.cumsum(np.concatenate(([0], (np.diff(x["doc"][by_age]) != 0) | (np.diff(x["place"][by_age]) != 0)))) if m else 0
+    start = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(m), 0))
+    depth = np.arange(m) - start
+    best, near, count = np.full((KEEP, m), 255, np.uint8), np.full((KEEP, m), -1, np.int64), np.zeros(m, np.int64)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    a, k = np.arange(m), 0
+    while True:
+        k += 1
+        a = a[depth[a] >= k]
+        a = a[5 * x["n"][a - k] >= 4 * x["n"][a]]
+        if not len(a):
+            break
+        b = a - k
+        both = x["n"][a] + x["n"][b]
+        need = (4 * both + 8) // 9
+        ok = np.minimum(x["n"][a] - x["rank"][a], x["n"][b] - x["rank"][b]) >= need
+        diff = np.bitwise_count(x["bits"][a] ^ x["bits"][b])
+        ok &= (diff <= both - 2 * need) & (age[a] != age[b])
+        u, v, d = a[ok], b[ok], diff[ok]
+        new = age[u] > age[v]
+        for later, earlier, far in ((u[new], v[new], d[new]), (v[~new], u[~new], d[~new])):
+            if is_open is not None:
+                keep = is_open[later]
+                pairs.append((later[keep], earlier[keep]))
+                continue
+            count[later] += 1
+            for j in range(KEEP):
+                nearer = far < best[j, later]
+                i = later[nearer]
+                old_far, old = best[j, i].copy(), near[j, i].copy()
+                best[j, i], near[j, i] = far[nearer], earlier[nearer]
+                stay = ~nearer
+                later, earlier, far = np.concatenate((later[stay], i)), np.concatenate((earlier[stay], old)), np.concatenate((far[stay], old_far))
+    if is_open is None:
+        pairs = [(np.flatnonzero(near[j] >= 0), near[j][near[j] >= 0]) for j in range(KEEP)]
+    u, v = (np.concatenate(c) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    if not len(u):
+        return None
+    cols = [x["doc"][u], x["place"][u], x["doc"][v], x["place"][v], count[u] > KEEP]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "place", "doc2", "place2", "more"])
+
+
+def in_buckets(only_open: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidates in packed postings; rows come sorted by bucket.  With ``only_open``, probes mark the open rows."""
+
+    def opened(rows: list[dict]) -> pa.RecordBatch | None:
+        cols: dict[str, list] = {c: [] for c in [*POSTINGS, "probe"]}
+        for r in rows:
+            k = r["size"]
+            cols["word"].append(np.frombuffer(r["word"], "<u4"))
+            cols["doc"].append(wide(r["doc"], k) + r["base"])
+            cols["bits"].append(np.frombuffer(r["bits"], "<u8"))
+            cols["probe"].append(np.full(k, r["probe"]))
+            for c in ("place", "n", "rank"):
+                cols[c].append(wide(r[c], k))
+        x = {c: np.concatenate(v) for c, v in cols.items()}
+        group, probe = x.pop("word"), x.pop("probe")
+        if not only_open:
+            return met(x, group, None)
+        return probed(x, group, probe) if probe.any() else None
 
-def word_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc, line, set`` of the ``wanted`` lines (doc, line), told from the texts."""
-    by_doc = wanted.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("line").alias("lines"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and held[0]["bucket"] != r["bucket"]:
+                    if (out := opened(held)) is not None:
+                        yield out
+                    held = []
+                held.append(r)
+        if held and (out := opened(held)) is not None:
+            yield out
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        x = Lines(batch.column(1).to_pylist(), only=[set(w) for w in batch.column(2).to_pylist()])
-        if len(x.n):
-            offsets = np.concatenate(([0], np.cumsum(x.n))).astype(np.int32)
-            yield {"doc": batch.column(0).to_numpy()[x.doc], "line": x.number, "set": pa.ListArray.from_arrays(offsets, x.hash.view(np.int64))}
+    return run
 
-    found = map_rows(text_column(docs).join(by_doc, "doc_id"), "doc bigint, line int, set array<bigint>", run)
-    return stored(found.dropDuplicates(["doc", "line"]), "line-sets")
 
+def probed(x: dict[str, np.ndarray], group: np.ndarray, probe: np.ndarray) -> pa.RecordBatch | None:
+    """:func:`met` for the rows that probes repeat."""
+    order = np.lexsort((probe, x["place"], x["doc"], group))
+    same = (np.diff(group[order]) == 0) & (np.diff(x["doc"][order]) == 0) & (np.diff(x["place"][order]) == 0)
+    mark = np.concatenate((same & probe[order][1:], [False]))
+    stay = ~probe[order]
+    return met({c: v[order][stay] for c, v in x.items()}, group[order][stay], mark[stay])
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The ``pairs`` (doc, line, doc2, line2) whose word sets are as similar as 4/5."""
-    found = word_sets(pairs.select("doc", "line").union(pairs.select("doc2", "line2")), docs)
-    other = found.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("set").alias("set2"))
-    both = pairs.join(found, ["doc", "line"]).join(other, ["doc2", "line2"])
-    return both.where(9 * F.size(F.array_intersect("set", "set2")) >= 4 * (F.size("set") + F.size("set2"))).select("doc", "line", "doc2", "line2")
-
-
-def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``doc, line`` of the open rows with a similar earlier row in their run of equal ``word, lo, hi``; rows come sorted."""
-    now, earlier = None, []
-    for batch in batches:
-        found = []
-        for word, lo, hi, doc, line, is_open, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if now != (word, lo, hi):
-                now, earlier = (word, lo, hi), []
-            own = frozenset(words)
-            n = len(own)
-            if is_open and any(5 * min(n, len(o)) >= 4 * max(n, len(o)) and 9 * len(own & o) >= 4 * (n + len(o)) for o in reversed(earlier)):
-                found.append((doc, line))
-            earlier.append(own)
-        cols = zip(*found) if found else [[]] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32()), strict=True)], names=["doc", "line"])
+
+def in_runs(only_open: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidates in loose postings; rows come sorted by ``word, lo, hi`` and a run of equal ones is a block against a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            change = np.concatenate(([False], np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)))
+            x = dict(zip(POSTINGS[1:], cols[3:8], strict=True))
+            found = met(x | {"bits": x["bits"].view(np.uint64), "n": x["n"].astype(np.int64)}, np.cumsum(change), cols[8] if only_open else None)
+            if found is not None:
+                yield found
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = cols if held is None else [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
+            last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if last:
+                yield from out([c[:last] for c in cols])
+            held = [c[last:] for c in cols]
+        if held is not None:
+            yield from out(held)
+
+    return run
 
 
 def few(words: DataFrame) -> DataFrame:
@@ -259,80 +391,130 @@ def few(words: DataFrame) -> DataFrame:
     return F.broadcast(words) if words.count() <= SMALL else words
 
 
-def in_blocks(index: DataFrame, long: DataFrame, *columns: str) -> DataFrame:
-    """``index`` rows dealt by word, those of ``long`` words once for each block that theirs is compared with; sorted."""
-    posted = index.join(long, "word", "left").withColumn("k", F.coalesce(F.ceil(F.col("count") / BLOCK).cast("int"), F.lit(1)))
-    posted = posted.withColumn("b", F.pmod(F.xxhash64("doc", "line"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = posted.select("word", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "doc", "line", *columns)
-    return dealt.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi", "doc", "line")
+def in_blocks(loose: DataFrame, long: DataFrame, is_open: DataFrame | None) -> DataFrame:
+    """Candidates in ``loose`` postings: rows dealt by word, those of ``long`` words once for each block that theirs is compared with."""
+    marked = loose.withColumn("is_open", F.lit(False)) if is_open is None else loose.join(is_open.withColumn("is_open", F.lit(True)), ["doc", "place"], "left").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
+    dealt = marked.join(long, "word", "left").withColumn("k", F.coalesce(F.ceil(F.col("count") / BLOCK).cast("int"), F.lit(1)))
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("doc", "place"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("word", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), *POSTINGS[1:], "is_open")
+    return dealt.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi").mapInArrow(in_runs(is_open is not None), NEAR)
 
 
-def candidates(probe: DataFrame, index: DataFrame) -> DataFrame:
-    """Distinct pairs of a ``probe`` row and an earlier ``index`` row of the same word that pass all filters."""
-    old = index.select("word", *[F.col(c).alias(f"{c}2") for c in ("doc", "line", "n", "rank", "b1", "b2")])
-    need = F.floor((4 * (F.col("n") + F.col("n2")) + 8) / 9)
-    passes = (
-        (F.struct("doc2", "line2") < F.struct("doc", "line")) & (5 * F.least("n", "n2") >= 4 * F.greatest("n", "n2")) & (F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) >= need)
-        & (F.bit_count(F.col("b1").bitwiseXOR(F.col("b12"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("b22"))) <= F.col("n") + F.col("n2") - 2 * need)
-    )
-    return probe.join(old, "word").where(passes).select("doc", "line", "doc2", "line2").distinct()
+def pairs_of(packed: DataFrame, loose: DataFrame, long: DataFrame, is_open: DataFrame | None = None) -> DataFrame:
+    """Distinct candidate pairs, with whether a posting list held more for the later line; stored."""
+    near = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(in_buckets(is_open is not None), NEAR)
+    near = near.unionByName(in_blocks(loose, long, is_open))
+    return stored(near.groupBy("doc", "place", "doc2", "place2").agg(F.bool_or("more").alias("more")), "line-pairs")
+
+
+def word_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc, place, set`` of the ``wanted`` lines (doc, place), told from the texts."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        x = Lines(batch.column(2).to_pylist())
+        if not len(x.n):
+            return
+        doc, place = places(batch, x)
+        take = chosen(batch, x)
+        n, words = x.n[take], x.word[take[x.line]]
+        ends = np.cumsum(n).tolist()
+        packed = words.astype("<u8").tobytes()
+        yield {"doc": doc[take], "place": place[take], "set": [packed[8 * a : 8 * b] for a, b in zip([0, *ends], ends)]}
+
+    found = map_rows(docs.join(by_doc(wanted), "doc_id"), "doc bigint, place bigint, set binary", run)
+    return stored(found.dropDuplicates(["doc", "place"]), "line-sets")
+
+
+def by_doc(lines: DataFrame) -> DataFrame:
+    """``doc_id, places``: one row per doc_id of ``lines``."""
+    return lines.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("place").alias("places"))
+
+
+def alike(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The pairs among rows (doc, place, doc2, place2, set, set2) with enough shared words."""
+    keep = []
+    for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+        own = np.sort(np.frombuffer(a + b, "<u8"))
+        keep.append(9 * int((own[1:] == own[:-1]).sum()) >= 4 * len(own))
+    keep = np.array(keep, bool)
+    yield {c: batch.column(k).to_numpy()[keep] for k, c in enumerate(("doc", "place"))}
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Stored ``doc, place`` of the later lines of ``pairs`` whose word sets are as similar as 4/5."""
+    found = word_sets(pairs.select("doc", "place").union(pairs.select("doc2", "place2")), docs)
+    other = found.select(F.col("doc").alias("doc2"), F.col("place").alias("place2"), F.col("set").alias("set2"))
+    both = pairs.select("doc", "place", "doc2", "place2").join(found, ["doc", "place"]).join(other, ["doc2", "place2"])
+    hit = stored(map_rows(both.select("doc", "place", "doc2", "place2", "set", "set2"), "doc bigint, place bigint", alike).distinct(), "lines-hit")
+    discard(found)
+    return hit
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """``doc, line`` of the lines that have no similar line before them."""
-    found = classes(docs, rarity(docs))
-    index = found.select("doc", "line", "n", "b1", "b2", F.explode(F.arrays_zip("words", "ranks")).alias("w")).select(F.col("w.words").alias("word"), "doc", "line", "n", F.col("w.ranks").alias("rank"), "b1", "b2")
-    long = few(index.groupBy("word").count().where(F.col("count") > BLOCK))
-    near = in_blocks(index, long, "n", "rank", "b1", "b2").mapInArrow(nearest, "doc bigint, line int, doc2 bigint, line2 int, more boolean")
-    pairs = stored(near.groupBy("doc", "line", "doc2", "line2").agg(F.bool_or("more").alias("more")), "nearest-lines")
-    hit = stored(verified(pairs.drop("more"), docs).select("doc", "line").distinct(), "lines-hit")
-    left = stored(pairs.where("more").select("doc", "line").distinct().join(hit, ["doc", "line"], "left_anti"), "lines-left")
+    """``doc, place`` of the lines of ``docs`` (doc_id, version, t; bucketed by doc_id) that have no similar line before them."""
+    found = measured(docs)
+    scale = docs.sparkSession.sparkContext.broadcast(rarity(found))
+    head = found.where("slice is null").groupBy("s1", "s2").agg(F.min(F.struct("doc", "place")).alias("c"))
+    heads = stored(head.select("c.*"), "line-heads")
+    discard(found)
+    buckets = max(1, heads.count() * 9 // BUCKET)
+    hot = int(scaled(np.array([BLOCK]))[0])
+    packed, loose = posted(docs.join(by_doc(heads), "doc_id"), scale, hot, buckets, False)
+    long = few(loose.groupBy("word").count().where(F.col("count") > BLOCK))
+    pairs = pairs_of(packed, loose, long)
+    hit = verified(pairs, docs)
+    left = stored(pairs.where("more").select("doc", "place").distinct().join(hit, ["doc", "place"], "left_anti"), "lines-left")
     if not left.isEmpty():
-        asked = few(found.join(left, ["doc", "line"], "left_semi").select(F.explode("words").alias("word")).distinct())
-        posts = stored(index.join(asked, "word", "left_semi"), "posts-left")
-        short = posts.join(long, "word", "left_anti")
-        rest = stored(candidates(short.join(left, ["doc", "line"], "left_semi"), short), "lines-open").join(pairs, ["doc", "line", "doc2", "line2"], "left_anti")
-        hit = hit.union(verified(rest, docs).select("doc", "line"))
-        hot = stored(posts.join(long, "word", "left_semi").select("word", "doc", "line"), "posts-hot")
-        sets = word_sets(hot.select("doc", "line").distinct(), docs)
-        rows = hot.join(left.withColumn("is_open", F.lit(True)), ["doc", "line"], "left").join(sets, ["doc", "line"]).withColumn("is_open", F.col("is_open").isNotNull())
-        hit = stored(hit.union(in_blocks(rows, long, "is_open", "set").mapInArrow(matched, "doc bigint, line int")).distinct(), "lines-hit")
-    return found.select("doc", "line").join(hit, ["doc", "line"], "left_anti")
-
-
-def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with its texts rid of later matches, and ``__n_lines``, ``__n_removed``."""
-    own = docs.columns
-    held = bucketed(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id")
-    slim = held.select(F.col("__id").alias("doc_id"), F.col(text).alias("text"))
-    keep = first_lines(slim).groupBy("doc").agg(F.collect_set("line").alias("__keep"))
-    joined = held.join(keep.withColumnRenamed("doc", "__id"), "__id", "left")
-    names = joined.columns
-    at, sel, who = names.index(text), names.index("__keep"), names.index("__id")
+        probes, asked = posted(docs.join(by_doc(left), "doc_id"), scale, hot, buckets, True)
+        some = loose.join(few(asked.select("word").distinct()), "word", "left_semi")
+        rest = pairs_of(packed.unionByName(probes), some, long, left)
+        hit = hit.union(verified(rest.join(pairs, ["doc", "place", "doc2", "place2"], "left_anti"), docs))
+    discard(pairs, packed)
+    return heads.join(hit, ["doc", "place"], "left_anti")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with its texts rid of later matches, and ``n_lines``, ``n_removed``: a struct ``row`` of the columns beside the two."""
+    small_batches(docs.sparkSession)
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
+    named = whole.where("doc_id is not null")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    body = F.coalesce(F.col("row")[text].cast("binary"), F.lit(b""))
+    version = F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.xxhash64(body))) - 1
+    held = bucketed(named.repartition(n, "doc_id").withColumn("version", version.cast("int")), "doc_id", n, dealt=True)
+    slim = held.select("doc_id", "version", body.alias("t"))
+    keep = by_doc(first_lines(slim))
+    joined = held.join(keep, "doc_id", "left").select("row", "version", "places")
+    alone = whole.where("doc_id is null").select("row", F.lit(None).cast("int").alias("version"), F.lit(None).cast("array<bigint>").alias("places"))
+    made = joined.unionByName(alone)
+    schema = T.StructType([made.schema["row"], *T.StructType.fromDDL("n_lines bigint, n_removed bigint").fields])
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            cells = batch.column(0).flatten()
             out, total, gone = [], [], []
-            for t, k, d in zip(batch.column(at).to_pylist(), batch.column(sel).to_pylist(), batch.column(who).to_pylist(), strict=True):
-                lines = (t or "").split("\n")
-                mine = {i for i, x in enumerate(lines) if len(set(x.encode().split())) >= MIN_WORDS}
-                drop = mine - set(k or ()) if d is not None else set()
-                out.append(t if t is None or not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop))
+            for t, v, some in zip(cells[at].to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                rows = (t or "").split("\n")
+                mine = [i for i, x in enumerate(rows) if x.strip(BLANK)]
+                stay = set(mine) if v is None else {p & 0xFFFFFFFF for p in some or () if p >> 32 == v}
+                drop = {i for i in mine if i not in stay}
+                out.append("\n".join(x for i, x in enumerate(rows) if i not in drop) if drop else t)
                 total.append(len(mine))
                 gone.append(len(drop))
-            cols = [pa.array(out, pa.string()) if c == text else batch.column(names.index(c)) for c in own]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*own, "__n_lines", "__n_removed"])
+            cells[at] = pa.array(out, cells[at].type)
+            row = pa.StructArray.from_arrays(cells, fields=list(batch.column(0).type))
+            yield pa.RecordBatch.from_arrays([row, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
 
-    added = T.StructType.fromDDL("__n_lines bigint, __n_removed bigint")
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+    return made.mapInArrow(run, schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; ``n_chars``, where there is one, follows the text."""
-    out = deduplicated(docs).select(*docs.columns)
+    out = deduplicated(docs).select("row.*").select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

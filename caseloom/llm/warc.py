@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import map_rows, shared_path, small_batches, stored, table
+from caseloom.llm.common import map_rows, folder, small_batches, stored, table
 
 MIN_REVISIT = 100
 #: An archive is closed at this size.
@@ -164,6 +164,6 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_path(spark, "warc")
-    index = write(table(spark, sf_dir, "pages"), folder)
-    return read(index, folder, payloads=False).drop("payload", "file")
+    place = folder(spark, "warc")
+    index = write(table(spark, sf_dir, "pages"), place)
+    return read(index, place, payloads=False).drop("payload", "file")
