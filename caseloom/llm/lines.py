@@ -13,10 +13,10 @@ allow), the positional filter and a bitmap bound on their difference; what is
 left is verified on whole word sets.  Rarity comes from a table of ``SLOTS``
 hashed counts, whose size is fixed: it sets the order only, never the result.
 
-The first round verifies the ``KEEP`` nearest earlier candidates of a class in
-each posting list, so a family of similar lines costs some pairs a line, not all
-pairs.  Classes without a match that had further candidates go to a second
-round, where all their candidates are verified.  Words that more than ``BLOCK``
+The first round verifies the nearest earlier candidate of each class, so a family
+of similar lines costs a pair a line, not all pairs.  Classes that it does not
+match and that had further candidates go to a second round, where all their
+candidates are verified.  Words that more than ``BLOCK``
 lines may have are posted row by row; their lists are cut into blocks that are
 compared block against block in tasks of their own.
 
@@ -49,7 +49,6 @@ from caseloom.llm.words import hashed
 #: Hashed counts, one byte each when sent to the tasks: a bound of 32 MB.
 SLOTS, SLICES, PARTS = 1 << 25, 64, 16
 BLOCK = 4096
-KEEP = 2
 #: Words that are counted, and postings that are sent, at a time.
 COUNTED, POSTED = 1 << 22, 1 << 20
 #: Postings of a bucket, on average.
@@ -58,10 +57,12 @@ BUCKET = 1 << 16
 SMALL = 200_000
 #: ASCII white space.
 BLANK = " \t\n\x0b\x0c\r"
+#: Turns six bytes into a number.
+BYTES = np.array([1 << (8 * k) for k in range(6)], np.int64)
 POSTINGS = ["word", "doc", "place", "n", "rank", "bits"]
 PACKED = "bucket int, size int, word binary, base bigint, doc binary, place binary, n binary, rank binary, bits binary, probe boolean"
 LOOSE = "word bigint, doc bigint, place bigint, n int, rank int, bits bigint"
-NEAR = "doc bigint, place bigint, doc2 bigint, place2 bigint, more boolean"
+NEAR = "doc bigint, place bigint, doc2 bigint, place2 bigint, far int, more boolean"
 
 
 class Lines:
@@ -263,7 +264,7 @@ def posted(docs: DataFrame, scale: object, hot: int, buckets: int, probe: bool)
 
 
 def met(x: dict[str, np.ndarray], group: np.ndarray, is_open: np.ndarray | None) -> pa.RecordBatch | None:
-    """Candidates within groups of equal words: of each row the ``KEEP`` nearest earlier ones, or of each open row all earlier ones."""
+    """Candidates within groups of equal words: of each row the nearest earlier one, or of each open row all earlier ones."""
     order = np.lexsort((x["n"], group))
     group = group[order]
     x = {k: v[order] for k, v in x.items()}
@@ -274,7 +275,7 @@ def met(x: dict[str, np.ndarray], group: np.ndarray, is_open: np.ndarray | None)
     age[by_age] = np.cumsum(np.concatenate(([0], (np.diff(x["doc"][by_age]) != 0) | (np.diff(x["place"][by_age]) != 0)))) if m else 0
     start = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(m), 0))
     depth = np.arange(m) - start
-    best, near, count = np.full((KEEP, m), 255, np.uint8), np.full((KEEP, m), -1, np.int64), np.zeros(m, np.int64)
+    best, near, count = np.full(m, 255, np.uint8), np.full(m, -1, np.int64), np.zeros(m, np.int64)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     a, k = np.arange(m), 0
     while True:
@@ -297,20 +298,15 @@ def met(x: dict[str, np.ndarray], group: np.ndarray, is_open: np.ndarray | None)
                 pairs.append((later[keep], earlier[keep]))
                 continue
             count[later] += 1
-            for j in range(KEEP):
-                nearer = far < best[j, later]
-                i = later[nearer]
-                old_far, old = best[j, i].copy(), near[j, i].copy()
-                best[j, i], near[j, i] = far[nearer], earlier[nearer]
-                stay = ~nearer
-                later, earlier, far = np.concatenate((later[stay], i)), np.concatenate((earlier[stay], old)), np.concatenate((far[stay], old_far))
+            nearer = (far < best[later]) | ((far == best[later]) & (age[earlier] < age[near[later]]))
+            best[later[nearer]], near[later[nearer]] = far[nearer], earlier[nearer]
     if is_open is None:
-        pairs = [(np.flatnonzero(near[j] >= 0), near[j][near[j] >= 0]) for j in range(KEEP)]
+        pairs = [(np.flatnonzero(near >= 0), near[near >= 0])]
     u, v = (np.concatenate(c) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
     if not len(u):
         return None
-    cols = [x["doc"][u], x["place"][u], x["doc"][v], x["place"][v], count[u] > KEEP]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "place", "doc2", "place2", "more"])
+    cols = [x["doc"][u], x["place"][u], x["doc"][v], x["place"][v], best[u].astype(np.int32), count[u] > 1]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "place", "doc2", "place2", "far", "more"])
 
 
 def in_buckets(only_open: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -400,11 +396,9 @@ def in_blocks(loose: DataFrame, long: DataFrame, is_open: DataFrame | None) -> D
     return dealt.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi").mapInArrow(in_runs(is_open is not None), NEAR)
 
 
-def pairs_of(packed: DataFrame, loose: DataFrame, long: DataFrame, is_open: DataFrame | None = None) -> DataFrame:
-    """Distinct candidate pairs, with whether a posting list held more for the later line; stored."""
+def candidates(packed: DataFrame, loose: DataFrame, long: DataFrame, is_open: DataFrame | None = None) -> DataFrame:
     near = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(in_buckets(is_open is not None), NEAR)
-    near = near.unionByName(in_blocks(loose, long, is_open))
-    return stored(near.groupBy("doc", "place", "doc2", "place2").agg(F.bool_or("more").alias("more")), "line-pairs")
+    return near.unionByName(in_blocks(loose, long, is_open))
 
 
 def word_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -418,8 +412,8 @@ def word_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
         take = chosen(batch, x)
         n, words = x.n[take], x.word[take[x.line]]
         ends = np.cumsum(n).tolist()
-        packed = words.astype("<u8").tobytes()
-        yield {"doc": doc[take], "place": place[take], "set": [packed[8 * a : 8 * b] for a, b in zip([0, *ends], ends)]}
+        packed = np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+        yield {"doc": doc[take], "place": place[take], "set": [packed[6 * a : 6 * b] for a, b in zip([0, *ends], ends)]}
 
     found = map_rows(docs.join(by_doc(wanted), "doc_id"), "doc bigint, place bigint, set binary", run)
     return stored(found.dropDuplicates(["doc", "place"]), "line-sets")
@@ -430,22 +424,32 @@ def by_doc(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("place").alias("places"))
 
 
-def alike(batch: pa.RecordBatch) -> Iterator[dict]:
-    """The pairs among rows (doc, place, doc2, place2, set, set2) with enough shared words."""
-    keep = []
-    for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-        own = np.sort(np.frombuffer(a + b, "<u8"))
-        keep.append(9 * int((own[1:] == own[:-1]).sum()) >= 4 * len(own))
-    keep = np.array(keep, bool)
-    yield {c: batch.column(k).to_numpy()[keep] for k, c in enumerate(("doc", "place"))}
+def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc, place`` of lines with enough shared words with one of their candidates; rows come sorted by line, its own set first."""
+    now, own = None, b""
+    for batch in batches:
+        found = []
+        for doc, place, is_own, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if is_own:
+                now, own = (doc, place), words
+            elif now is not None:
+                both = np.sort(np.frombuffer(own + words, "V6").view(np.uint8).reshape(-1, 6) @ BYTES)
+                if 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both):
+                    found.append(now)
+                    now = None  # the rest can't add to it
+        cols = zip(*found) if found else [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "place"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Stored ``doc, place`` of the later lines of ``pairs`` whose word sets are as similar as 4/5."""
-    found = word_sets(pairs.select("doc", "place").union(pairs.select("doc2", "place2")), docs)
-    other = found.select(F.col("doc").alias("doc2"), F.col("place").alias("place2"), F.col("set").alias("set2"))
-    both = pairs.select("doc", "place", "doc2", "place2").join(found, ["doc", "place"]).join(other, ["doc2", "place2"])
-    hit = stored(map_rows(both.select("doc", "place", "doc2", "place2", "set", "set2"), "doc bigint, place bigint", alike).distinct(), "lines-hit")
+    """Stored ``doc, place`` of the later lines of ``pairs`` (doc, place, doc2, place2) whose word sets are as similar as 4/5."""
+    asked = pairs.select("doc", "place").distinct()
+    found = word_sets(asked.union(pairs.select("doc2", "place2")), docs)
+    other = found.select(F.col("doc").alias("doc2"), F.col("place").alias("place2"), "set")
+    rows = pairs.join(other, ["doc2", "place2"]).select("doc", "place", F.lit(False).alias("own"), "set")
+    rows = rows.unionByName(found.join(asked, ["doc", "place"], "left_semi").withColumn("own", F.lit(True)))
+    met = rows.repartition("doc", "place").sortWithinPartitions("doc", "place", F.desc("own")).select("doc", "place", "own", "set")
+    hit = stored(met.mapInArrow(alike, "doc bigint, place bigint"), "lines-hit")
     discard(found)
     return hit
 
@@ -461,15 +465,18 @@ def first_lines(docs: DataFrame) -> DataFrame:
     hot = int(scaled(np.array([BLOCK]))[0])
     packed, loose = posted(docs.join(by_doc(heads), "doc_id"), scale, hot, buckets, False)
     long = few(loose.groupBy("word").count().where(F.col("count") > BLOCK))
-    pairs = pairs_of(packed, loose, long)
-    hit = verified(pairs, docs)
-    left = stored(pairs.where("more").select("doc", "place").distinct().join(hit, ["doc", "place"], "left_anti"), "lines-left")
+    which = F.struct("far", "doc2", "place2")
+    near = candidates(packed, loose, long).groupBy("doc", "place").agg(F.min(which).alias("c"), (F.bool_or("more") | (F.min(which) < F.max(which))).alias("more"))
+    pairs = stored(near.select("doc", "place", "c.doc2", "c.place2", "more"), "line-pairs")
+    hit = verified(pairs.drop("more"), docs)
+    left = stored(pairs.where("more").select("doc", "place").join(hit, ["doc", "place"], "left_anti"), "lines-left")
     if not left.isEmpty():
         probes, asked = posted(docs.join(by_doc(left), "doc_id"), scale, hot, buckets, True)
         some = loose.join(few(asked.select("word").distinct()), "word", "left_semi")
-        rest = pairs_of(packed.unionByName(probes), some, long, left)
-        hit = hit.union(verified(rest.join(pairs, ["doc", "place", "doc2", "place2"], "left_anti"), docs))
-    discard(pairs, packed)
+        every = candidates(packed.unionByName(probes), some, long, left).select("doc", "place", "doc2", "place2").distinct()
+        rest = stored(every.join(pairs, ["doc", "place", "doc2", "place2"], "left_anti"), "line-pairs")
+        discard(packed, probes)
+        hit = hit.union(verified(rest, docs))
     return heads.join(hit, ["doc", "place"], "left_anti")
 
 
