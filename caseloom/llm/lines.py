@@ -9,7 +9,7 @@ of a class are ordered by rarity; only its prefix enters the inverted index,
 without words that no other line has.  Postings travel as packed columns, one
 row for each bucket of words.  Classes that meet in a posting list pass the
 length filter (lists are sorted by size, and a class looks only as far as sizes
-allow), the positional filter and a bitmap bound on their difference; what is
+allow), the positional filter and a bound on their difference by bits of parity; what is
 left is verified on whole word sets.  Rarity comes from a table of ``SLOTS``
 hashed counts, whose size is fixed: it sets the order only, never the result.
 
@@ -53,15 +53,17 @@ BLOCK = 4096
 COUNTED, POSTED = 1 << 22, 1 << 20
 #: Postings of a bucket, on average.
 BUCKET = 1 << 16
+#: Lines of more words have a bitmap of twice the bits.
+LARGE = 32
 #: A table of words of at most so many rows is sent to all tasks; a longer one is joined.
 SMALL = 200_000
 #: ASCII white space.
 BLANK = " \t\n\x0b\x0c\r"
 #: Turns six bytes into a number.
 BYTES = np.array([1 << (8 * k) for k in range(6)], np.int64)
-POSTINGS = ["word", "doc", "place", "n", "rank", "bits"]
-PACKED = "bucket int, size int, word binary, base bigint, doc binary, place binary, n binary, rank binary, bits binary, probe boolean"
-LOOSE = "word bigint, doc bigint, place bigint, n int, rank int, bits bigint"
+POSTINGS = ["word", "doc", "place", "n", "rank", "bits", "bits2"]
+PACKED = "bucket int, size int, word binary, base bigint, doc binary, place binary, n binary, rank binary, bits binary, bits2 binary, probe boolean"
+LOOSE = "word bigint, doc bigint, place bigint, n int, rank int, bits bigint, bits2 bigint"
 NEAR = "doc bigint, place bigint, doc2 bigint, place2 bigint, far int, more boolean"
 
 
@@ -111,14 +113,18 @@ def places(batch: pa.RecordBatch, x: Lines) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy()[x.doc], (batch.column(1).to_numpy()[x.doc].astype(np.int64) << 32) | x.number
 
 
-def chosen(batch: pa.RecordBatch, x: Lines) -> np.ndarray:
-    """Which lines are among the places in the batch's fourth column."""
-    lists = batch.column(3)
-    some, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    own = (some >> 32) == batch.column(1).to_numpy()[doc]
-    mark = np.zeros(x.before[-1], bool)
-    mark[x.before[doc[own]] + (some[own] & 0xFFFFFFFF)] = True
-    return mark[x.full]
+def picked(batch: pa.RecordBatch) -> tuple[Lines, np.ndarray, np.ndarray]:
+    """The lines named in the batch's fourth column, with their documents and places."""
+    texts, doc, place = [], [], []
+    for d, v, t, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        own = [p for p in some if p >> 32 == v]
+        if own:
+            rows = t.split(b"\n")
+            texts += [rows[p & 0xFFFFFFFF] for p in own]
+            doc += [d] * len(own)
+            place += own
+    x = Lines(texts)
+    return x, np.array(doc, np.int64)[x.doc], np.array(place, np.int64)[x.doc]
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -194,6 +200,17 @@ def scaled(n: np.ndarray) -> np.ndarray:
     return np.where(n < 2, n, np.minimum(255, 2 + np.ceil(7 * np.log2(np.maximum(n, 2) - 1)))).astype(np.uint8)
 
 
+def parities(x: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """For each line, how many of its words fall on each of 64 bits, odd or even; of large lines, on each of 128.
+
+    Sets that differ in d words differ in at most d bits.  The exclusive or of the two halves is what 64 bits give.
+    """
+    h = mixed(x.word, 0x9E3779B97F4A7C15)
+    bit = np.uint64(1) << (h >> np.uint64(58))
+    high = (x.n > LARGE)[x.line] & ((h >> np.uint64(57)) & np.uint64(1)).astype(bool)
+    return np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), x.first), np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), x.first)
+
+
 def prefix(n: np.ndarray) -> np.ndarray:
     """How many of ``n`` ordered words two sets must share one of, to be as similar as 4/5."""
     return n - (4 * n + 4) // 5 + 1
@@ -212,46 +229,44 @@ def posted(docs: DataFrame, scale: object, hot: int, buckets: int, probe: bool)
     """The postings of the lines ``places`` of ``docs`` (doc_id, version, t, places): packed by bucket, and loose for words of which more than ``hot`` on the scale."""
     packed, loose = T.StructType.fromDDL(PACKED), T.StructType.fromDDL(LOOSE)
     names = [*packed.names, *[f"l_{c}" for c in loose.names]]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), *[pa.binary()] * 5, pa.bool_(), *[pa.int64()] * 3, pa.int32(), pa.int32(), pa.int64()]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), *[pa.binary()] * 6, pa.bool_(), *[pa.int64()] * 3, pa.int32(), pa.int32(), *[pa.int64()] * 2]
     schema = T.StructType([*packed.fields, *[T.StructField(f"l_{f.name}", f.dataType) for f in loose.fields]])
 
     def sent(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        word, doc, place, n, rank, bits, often = (np.concatenate(x) for x in zip(*held))
+        word, doc, place, n, rank, bits, more, often = (np.concatenate(x) for x in zip(*held))
         at = np.flatnonzero(often)
         if len(at):
-            cols = [word[at].view(np.int64), doc[at], place[at], n[at], rank[at], bits[at].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(at), k) for k in kinds[:10]], *[pa.array(c, k) for c, k in zip(cols, kinds[10:], strict=True)]], names=names)
+            cols = [word[at].view(np.int64), doc[at], place[at], n[at], rank[at], bits[at].view(np.int64), more[at].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(at), k) for k in kinds[:11]], *[pa.array(c, k) for c, k in zip(cols, kinds[11:], strict=True)]], names=names)
         bucket = (word % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         order = order[~often[order]]
         if not len(order):
             return
         cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
-        rows: list[list] = [[] for _ in kinds[:10]]
+        rows: list[list] = [[] for _ in kinds[:11]]
         for a, b in zip(cut.tolist(), cut[1:].tolist()):
             i = order[a:b]
             base = int(doc[i].min())
-            cells = (int(bucket[i[0]]), b - a, (word[i] >> np.uint64(16)).astype("<u4").tobytes(), base, narrow((doc[i] - base).view(np.uint64)), narrow(place[i]), narrow(n[i]), narrow(rank[i]), bits[i].tobytes(), probe)
+            cells = (int(bucket[i[0]]), b - a, (word[i] >> np.uint64(16)).astype("<u4").tobytes(), base, narrow((doc[i] - base).view(np.uint64)), narrow(place[i]), narrow(n[i]), narrow(rank[i]), bits[i].tobytes(), more[i].tobytes(), probe)
             for r, x in zip(rows, cells, strict=True):
                 r.append(x)
-        yield pa.RecordBatch.from_arrays([*[pa.array(r, k) for r, k in zip(rows, kinds, strict=False)], *[pa.nulls(len(rows[0]), k) for k in kinds[10:]]], names=names)
+        yield pa.RecordBatch.from_arrays([*[pa.array(r, k) for r, k in zip(rows, kinds, strict=False)], *[pa.nulls(len(rows[0]), k) for k in kinds[11:]]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            x = Lines(batch.column(2).to_pylist())
+            x, doc, place = picked(batch)
             if not len(x.n):
                 continue
-            doc, place = places(batch, x)
-            wanted = chosen(batch, x)
             rare = scale.value[x.word % np.uint64(SLOTS)]
             order = np.lexsort((rare, x.line))
             word, rare = x.word[order], rare[order]
             rank = np.arange(len(word)) - x.first[x.line]
-            pick = (rank < prefix(x.n)[x.line]) & (rare > 1) & wanted[x.line]
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (mixed(x.word, 0x9E3779B97F4A7C15) >> np.uint64(58)), x.first)
+            pick = (rank < prefix(x.n)[x.line]) & (rare > 1)
+            bits, more = parities(x)
             line = x.line[pick]
-            held.append([word[pick], doc[line], place[line], x.n[line], rank[pick], bits[line], rare[pick] > hot])
+            held.append([word[pick], doc[line], place[line], x.n[line], rank[pick], bits[line], more[line], rare[pick] > hot])
             size += len(line)
             if size >= POSTED:
                 yield from sent(held)
@@ -288,7 +303,8 @@ def met(x: dict[str, np.ndarray], group: np.ndarray, is_open: np.ndarray | None)
         both = x["n"][a] + x["n"][b]
         need = (4 * both + 8) // 9
         ok = np.minimum(x["n"][a] - x["rank"][a], x["n"][b] - x["rank"][b]) >= need
-        diff = np.bitwise_count(x["bits"][a] ^ x["bits"][b])
+        low, high = x["bits"][a] ^ x["bits"][b], x["bits2"][a] ^ x["bits2"][b]
+        diff = np.where(x["n"][b] > LARGE, np.bitwise_count(low) + np.bitwise_count(high), np.bitwise_count(low ^ high))
         ok &= (diff <= both - 2 * need) & (age[a] != age[b])
         u, v, d = a[ok], b[ok], diff[ok]
         new = age[u] > age[v]
@@ -318,7 +334,8 @@ def in_buckets(only_open: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             k = r["size"]
             cols["word"].append(np.frombuffer(r["word"], "<u4"))
             cols["doc"].append(wide(r["doc"], k) + r["base"])
-            cols["bits"].append(np.frombuffer(r["bits"], "<u8"))
+            for c in ("bits", "bits2"):
+                cols[c].append(np.frombuffer(r[c], "<u8"))
             cols["probe"].append(np.full(k, r["probe"]))
             for c in ("place", "n", "rank"):
                 cols[c].append(wide(r[c], k))
@@ -360,8 +377,8 @@ def in_runs(only_open: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
         def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             change = np.concatenate(([False], np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)))
-            x = dict(zip(POSTINGS[1:], cols[3:8], strict=True))
-            found = met(x | {"bits": x["bits"].view(np.uint64), "n": x["n"].astype(np.int64)}, np.cumsum(change), cols[8] if only_open else None)
+            x = dict(zip(POSTINGS[1:], cols[3:9], strict=True))
+            found = met(x | {"bits": x["bits"].view(np.uint64), "bits2": x["bits2"].view(np.uint64), "n": x["n"].astype(np.int64)}, np.cumsum(change), cols[9] if only_open else None)
             if found is not None:
                 yield found
 
@@ -405,17 +422,12 @@ def word_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """``doc, place, set`` of the ``wanted`` lines (doc, place), told from the texts."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        x = Lines(batch.column(2).to_pylist())
-        if not len(x.n):
-            return
-        doc, place = places(batch, x)
-        take = chosen(batch, x)
-        n, words = x.n[take], x.word[take[x.line]]
-        ends = np.cumsum(n).tolist()
-        packed = np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-        yield {"doc": doc[take], "place": place[take], "set": [packed[6 * a : 6 * b] for a, b in zip([0, *ends], ends)]}
-
-    found = map_rows(docs.join(by_doc(wanted), "doc_id"), "doc bigint, place bigint, set binary", run)
+        x, doc, place = picked(batch)
+        ends = np.cumsum(x.n).tolist()
+        packed = np.ascontiguousarray(x.word.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+        yield {"doc": doc, "place": place, "set": [packed[6 * a : 6 * b] for a, b in zip([0, *ends], ends)]}
+
+    found = map_rows(named(docs, wanted), "doc bigint, place bigint, set binary", run)
     return stored(found.dropDuplicates(["doc", "place"]), "line-sets")
 
 
@@ -424,6 +436,11 @@ def by_doc(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("place").alias("places"))
 
 
+def named(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have some of ``lines``, with ``places``; the lists are hashed, so that texts are not sorted."""
+    return docs.join(by_doc(lines).hint("shuffle_hash"), "doc_id")
+
+
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``doc, place`` of lines with enough shared words with one of their candidates; rows come sorted by line, its own set first."""
     now, own = None, b""
@@ -463,7 +480,7 @@ def first_lines(docs: DataFrame) -> DataFrame:
     discard(found)
     buckets = max(1, heads.count() * 9 // BUCKET)
     hot = int(scaled(np.array([BLOCK]))[0])
-    packed, loose = posted(docs.join(by_doc(heads), "doc_id"), scale, hot, buckets, False)
+    packed, loose = posted(named(docs, heads), scale, hot, buckets, False)
     long = few(loose.groupBy("word").count().where(F.col("count") > BLOCK))
     which = F.struct("far", "doc2", "place2")
     near = candidates(packed, loose, long).groupBy("doc", "place").agg(F.min(which).alias("c"), (F.bool_or("more") | (F.min(which) < F.max(which))).alias("more"))
@@ -471,7 +488,7 @@ def first_lines(docs: DataFrame) -> DataFrame:
     hit = verified(pairs.drop("more"), docs)
     left = stored(pairs.where("more").select("doc", "place").join(hit, ["doc", "place"], "left_anti"), "lines-left")
     if not left.isEmpty():
-        probes, asked = posted(docs.join(by_doc(left), "doc_id"), scale, hot, buckets, True)
+        probes, asked = posted(named(docs, left), scale, hot, buckets, True)
         some = loose.join(few(asked.select("word").distinct()), "word", "left_semi")
         every = candidates(packed.unionByName(probes), some, long, left).select("doc", "place", "doc2", "place2").distinct()
         rest = stored(every.join(pairs, ["doc", "place", "doc2", "place2"], "left_anti"), "line-pairs")
@@ -484,13 +501,13 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """``docs`` with its texts rid of later matches, and ``n_lines``, ``n_removed``: a struct ``row`` of the columns beside the two."""
     small_batches(docs.sparkSession)
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
-    named = whole.where("doc_id is not null")
+    numbered = whole.where("doc_id is not null")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col("row")[text].cast("binary"), F.lit(b""))
     version = F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.xxhash64(body))) - 1
-    held = bucketed(named.repartition(n, "doc_id").withColumn("version", version.cast("int")), "doc_id", n, dealt=True)
+    held = bucketed(numbered.repartition(n, "doc_id").withColumn("version", version.cast("int")), "doc_id", n, dealt=True)
     slim = held.select("doc_id", "version", body.alias("t"))
-    keep = by_doc(first_lines(slim))
+    keep = by_doc(first_lines(slim)).hint("shuffle_hash")
     joined = held.join(keep, "doc_id", "left").select("row", "version", "places")
     alone = whole.where("doc_id is null").select("row", F.lit(None).cast("int").alias("version"), F.lit(None).cast("array<bigint>").alias("places"))
     made = joined.unionByName(alone)
