@@ -101,7 +101,7 @@ def cases(t: Tables) -> DataFrame:
     return t.conversations.select(C("conv_id").cast("string").alias("file"), C("turn").cast("int").alias("page"), F.when(C("conv_id") % 4 > 0, text).otherwise(C("text")).alias("text"))
 
 
-CASES = r"SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn AS INT) AS row, lpad(CAST(turn AS VARCHAR), 3, '0') AS number, md5(regexp_replace(left(text, 50), '^\s+|\s+$', '', 'g')) AS body FROM conversations WHERE conv_id % 4 > 0 UNION ALL SELECT CAST(conv_id AS VARCHAR), 1, NULL, md5(string_agg(left(text, 20), chr(10) ORDER BY turn)) FROM conversations WHERE conv_id % 4 = 0 GROUP BY conv_id"
+CASES = r"SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn AS INT) AS row, lpad(CAST(turn AS VARCHAR), 3, '0') AS number, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body FROM conversations WHERE conv_id % 4 > 0 UNION ALL SELECT CAST(conv_id AS VARCHAR), 1, NULL, md5(string_agg(text, chr(10) ORDER BY turn)) FROM conversations WHERE conv_id % 4 = 0 GROUP BY conv_id"
 
 
 @query(CASES)

@@ -67,14 +67,20 @@ def greeting_variants_removed(t: Tables) -> DataFrame:
     return t.documents.groupBy(bare).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-GRAMS = r"SELECT {k} AS k, list_distinct(list_transform(range(1, greatest(length(c) - 2, 1) + 1), lambda i: substr(c, i, 3))) AS g FROM (SELECT *, trim(regexp_replace(left(text, 400), '\s+', ' ', 'g')) AS c FROM {t})"
+NEAR = r"""
+WITH g AS (SELECT doc_id AS k, list_sort(list_distinct(list_transform(range(1, greatest(length(c) - 2, 1) + 1), lambda i: substr(c, i, 3)))) AS g
+           FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)),
+     h AS (SELECT k, g, len(g) AS m, min(k) OVER (PARTITION BY g) AS head FROM g),
+     e AS (SELECT k, m, unnest(g) AS x FROM h WHERE k = head),
+     p AS (SELECT a.k AS a, b.k AS b, count(*) AS shared, any_value(a.m + b.m) AS s FROM e a JOIN e b ON a.x = b.x AND a.k < b.k GROUP BY 1, 2)
+SELECT a, b, shared, s - shared AS either FROM p WHERE shared * 100 >= (s - shared) * 72
+UNION ALL SELECT head, k, CAST(m AS BIGINT), CAST(m AS BIGINT) FROM h WHERE k <> head"""
 
 
-@query("WITH g AS (" + GRAMS.format(k="doc_id", t="documents") + "), e AS (SELECT k, len(g) AS m, unnest(g) AS x FROM g), p AS (SELECT a.k AS a, b.k AS b, count(*) AS shared, any_value(a.m + b.m) AS s FROM e a JOIN e b ON a.x = b.x AND a.k < b.k GROUP BY 1, 2) SELECT a, b, shared, s - shared AS either FROM p WHERE shared * 100 >= (s - shared) * 72")
+@query(NEAR)
 def near_duplicate_pairs(t: Tables) -> DataFrame:
-    """Documents whose whole texts share 72 of a hundred character grams; the SQL still reads 400 characters."""
-    c = t.documents.select(C("doc_id").alias("a"), dedup.grams("text").alias("g"))
-    return dedup.similar(c, c.withColumnRenamed("a", "b"), "a", "b", "g", 72, 100).where("a < b")
+    """Documents whose whole texts share 72 of a hundred character grams, a class of equal sets by its first document."""
+    return dedup.near_pairs(t.documents, "doc_id", "text", 72, 100)
 
 
 @query("WITH g AS (SELECT doc_id AS k, list_distinct(string_split(lower(x), ' ')) AS g FROM (SELECT doc_id * 1000 + generate_subscripts(ls, 1) AS doc_id, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))), h AS (SELECT item_id AS k, list_distinct(string_split(lower(text), ' ')) AS g FROM benchmark), p AS (SELECT a.k AS line_id, b.k AS item_id, count(*) AS shared, any_value(a.m + b.m) AS s FROM (SELECT k, len(g) AS m, unnest(g) AS x FROM g) a JOIN (SELECT k, len(g) AS m, unnest(g) AS x FROM h) b USING (x) GROUP BY 1, 2) SELECT line_id, item_id, shared, s - shared AS either FROM p WHERE shared * 2 >= (s - shared) * 1 AND shared * 10 >= (s - shared) * 5")

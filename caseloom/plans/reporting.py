@@ -301,7 +301,7 @@ def hash_order(t: Tables) -> DataFrame:
     return t.documents.where("lang = 'de'").select("doc_id", h.alias("place")).orderBy("place", "doc_id")
 
 
-@query("SELECT doc_id, n_chars > 4000 AS is_long FROM documents ORDER BY n_chars > 4000, doc_id LIMIT 950")
+@query("SELECT doc_id, n_chars > 4000 AS is_long FROM documents ORDER BY n_chars > 4000, doc_id")
 def queue_order(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", (C("n_chars") > 4000).alias("is_long")).orderBy("is_long", "doc_id")
 

@@ -98,7 +98,7 @@ def parsed(t: Tables, n_laws: int = 300) -> tuple[DataFrame, DataFrame]:
     return clause_rows, stored(bodies, "bodies")
 
 
-@query("SELECT doc_id, CAST(i AS INT) AS number, 0 AS by FROM (SELECT doc_id, ls[i + 1] AS x, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE contains(left(x, 120), 'the')")
+@query("SELECT doc_id, CAST(i AS INT) AS number, 0 AS by FROM (SELECT doc_id, ls[i + 1] AS x, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE contains(x, 'the')")
 def definition_support(t: Tables) -> DataFrame:
     return evidence.definitions(*parsed(t)).select("doc_id", "number", "by")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 
 import numpy as np
 import pandas as pd
@@ -196,3 +197,17 @@ def test_results_do_not_depend_on_partitions(spark):
     rows = spark.range(500).select("id", (F.col("id") * 37 % 101).cast("double").alias("score"), F.lit("g").alias("g"))
     fuse = lambda n: sorted((r.id, round(r.fused, 9)) for r in windows.reciprocal_rank_fusion({"a": rows.repartition(n), "b": rows.where("id < 90").repartition(n)}, "id", "score", ["g"]).collect())
     assert fuse(1) == fuse(7)
+
+
+def test_chunks_take_the_target_less_two_tokens():
+    """From the first token to the one ``target - 3`` after it."""
+    got = [n for _, _, n in fc.spans(" ".join(["가"] * 50), 20, fc.word_spans)]
+    assert got == [18, 18, 14]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet='ab"\\\n\t\x01가é😀', max_size=120), st.integers(12, 40))
+def test_byte_pieces_fit_and_are_as_long_as_they_can_be(t, most):
+    size = lambda x: len(json.dumps(x, ensure_ascii=False).encode()) - 2
+    pieces = list(fc.byte_pieces(t, most))
+    assert all(size(p) <= most for p in pieces) and all(size(p + q[0]) > most for p, q in zip(pieces, pieces[1:]))

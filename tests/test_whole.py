@@ -9,7 +9,6 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from caseloom.llm import decontaminate, simhash
 from caseloom.operators import evidence, lifecycle, windows
 from caseloom.plans import catalog
 
@@ -87,13 +86,6 @@ def test_any_number_of_queries_is_answered(spark):
     assert len(got) == 4500 and all(np.allclose([s for _, s in sorted(got[i])], want[i]) for i in range(4500))
 
 
-def test_near_dedup_keeps_texts_that_ids_do_not_tell_apart(spark, tmp_path):
-    a, b, c = words(11, 40), words(12, 40), words(13, 40)
-    docs = spark.createDataFrame([(None, a), (None, a), (1, b), (1, c), (1, c), (2, b)], "doc_id long, text string")
-    got = sorted(((r.doc_id, r.text) for r in simhash.stage(spark, docs, str(tmp_path)).collect()), key=repr)
-    assert got == sorted([(None, a), (None, a), (1, b), (1, c)], key=repr)
-
-
 def test_histories_are_streamed(spark):
     r = random.Random(5)
     e = [(r.choice([1, 1, 1, 2, None]), i, r.random(), r.random() < 0.2, r.choice(["in progress", "done", "received", None])) for i in range(600)]
@@ -113,20 +105,3 @@ def test_histories_are_streamed(spark):
     assert got.keys() == want_average.keys() and all(abs(got[x] - want_average[x]) < 1e-12 for x in got)
     assert {(x.k, x.id): x.outcome for x in breaker.collect()} == want_breaker
     assert {x.k: (x.state, x.rejected) for x in fold.collect()} == want_fold
-
-
-def test_blocks_of_the_benchmark_come_one_at_a_time(spark, monkeypatch):
-    seen, blocks, stored = [], decontaminate.blocks, decontaminate.stored
-
-    def watched(*a):
-        for b in blocks(*a):
-            seen.append("drawn")
-            yield b
-
-    monkeypatch.setattr(decontaminate, "blocks", watched)
-    monkeypatch.setattr(decontaminate, "stored", lambda *a: seen.append("stored") or stored(*a))
-    items = spark.createDataFrame([(i, words(20 + i, 14)) for i in range(3)], "item_id long, text string")
-    docs = spark.createDataFrame([(i, words(20 + i, 14)) for i in range(4)], "doc_id long, text string")
-    got = {r.doc_id: r["__hit"]["items"] for r in decontaminate.scanned(docs, items, max_pattern_bytes=1).collect()}
-    assert got == {0: ["0"], 1: ["1"], 2: ["2"], 3: []}
-    assert seen == ["drawn", "drawn", "stored", "drawn", "stored"]
