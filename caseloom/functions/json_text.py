@@ -10,7 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OPEN_FENCE, CLOSE_FENCE = r"^\s*```[A-Za-z]*\s*\n?", r"\n?\s*```\s*$"
+# How code fences, tool calls, and thoughts are written.
+FENCE = r"^\s*```[A-Za-z]*\s*\n?|\n?\s*```\s*$"
+CALL = re.compile(r"<\|tool_call>\s*call:([\w.\-]+)\s*(\{.*?\})\s*<tool_call\|>", re.DOTALL)
+THOUGHT = re.compile(r"<\|channel>.*?<channel\|>", re.DOTALL)
 
 
 def is_object(text: Column) -> Column:
@@ -19,7 +22,7 @@ def is_object(text: Column) -> Column:
 
 def object_in(text: Column) -> Column:
     """The first reading that is an object: as it is, without a fence, or from the first to the last brace."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, OPEN_FENCE, ""), CLOSE_FENCE, ""))
+    bare = F.trim(F.regexp_replace(text, FENCE, ""))
     inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
     ways = [text, bare, inner]
     return F.coalesce(*[F.when(is_object(w), w) for w in ways])
@@ -34,13 +37,10 @@ def tool_result(text: Column) -> Column:
 @F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("tool", "arguments", "text")]))
 def tool_call(raw: pd.Series) -> pd.DataFrame:
     """A call with bare keys and guarded strings: its name, its arguments as JSON, and the text around it."""
-    call = re.compile(r"<\|tool_call>\s*call:([\w.\-]+)\s*(\{.*?\})\s*<tool_call\|>", re.S)
-    thought = re.compile(r"<\|channel>.*?<channel\|>", re.S)
-
     def read(text: str | None) -> tuple:
-        text = thought.sub("", text or "")
-        m = call.search(text)
-        rest = call.sub("", text).strip()
+        text = THOUGHT.sub("", text or "")
+        m = CALL.search(text)
+        rest = CALL.sub("", text).strip()
         if not m:
             return None, None, rest
         # every other part lies inside a pair of guards, where nothing is a key
