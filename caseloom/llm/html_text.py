@@ -13,7 +13,11 @@ sidebars, footers and comments whose labels are known; every page is scored.
 
 Defined cases.  A null or empty html, or one without article text, gives an
 empty text.  Unclosed and stray tags are repaired as browsers do for
-paragraphs, list items and table cells.  Repeated rows are each extracted.
+paragraphs, list items and table cells; malformed declarations are comments.
+Repeated rows are each extracted, and rows that tie in their id each stay.  A
+page is parsed as a whole in time and memory in proportion to its length, at any
+depth.  Only the three named columns are read, so others may have any names.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,6 +67,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.words, self.text, self.linked = ["html"], [-1], [()], [""], [0]
         self.open, self.parts, self.link = [0], [], 0
+        self.owner, self.at = [0], {}  # of each open element the block that it is in; of each tag its places among the open ones
         self.unseen = self.anchors = 0
         self.feed(html)
         self.close()
@@ -72,10 +77,13 @@ class Tree(HTMLParser):
         """Line numbers are not wanted."""
         return j
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...`` is a comment up to the next ``>``, as in browsers."""
+        return self.rawdata.find(">", i) + 1 or -1
+
     def add(self, tag: str, words: tuple = (), text: str = "", linked: int = 0) -> int:
-        owner = next((n for n in reversed(self.open) if self.tag[n] not in INLINE), 0)
         self.tag.append(tag)
-        self.parent.append(self.open[-1] if tag != "#text" else owner)
+        self.parent.append(self.open[-1] if tag != "#text" else self.owner[-1])
         self.words.append(words)
         self.text.append(text)
         self.linked.append(linked)
@@ -95,16 +103,22 @@ class Tree(HTMLParser):
         for n in self.open[to:]:
             self.unseen -= self.tag[n] in UNSEEN
             self.anchors -= self.tag[n] == "a"
-        del self.open[to:]
+            self.at[self.tag[n]].pop()
+        del self.open[to:], self.owner[to:]
+
+    def push(self, tag: str, words: tuple) -> None:
+        node = self.add(tag, words)
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append(node)
+        self.owner.append(self.owner[-1] if tag in INLINE else node)
+        self.unseen += tag in UNSEEN
+        self.anchors += tag == "a"
 
     def find(self, names: set[str], walls: set[str]) -> int:
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.tag[self.open[k]]
-            if tag in names:
-                return k
-            if tag in walls:
-                return 0
-        return 0
+        """Stack place of the innermost open element of ``names``; 0 if there is none or a wall stands before it."""
+        last = lambda tags: max((self.at[x][-1] for x in tags if self.at.get(x)), default=0)
+        found = last(names)
+        return found if found >= last(walls) else 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
@@ -120,9 +134,7 @@ class Tree(HTMLParser):
         if attrs and (tag not in INLINE or tag == "a"):
             said = " ".join(f"{v}" for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label"))
             words = tuple(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", said).lower()) if w)
-        self.open.append(self.add(tag, words))
-        self.unseen += tag in UNSEEN
-        self.anchors += tag == "a"
+        self.push(tag, words)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)

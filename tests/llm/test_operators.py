@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from caseloom.llm import common, decontaminate, html_text, lines, packing, personal, ppm, quality, queries, simhash, substrings, warc
 
@@ -438,3 +441,28 @@ def test_first_fit_decreasing_by_tournament():
         want[i] = (k, 2048 - room[k])
         room[k] -= sizes[i]
     assert {i: (int(bins[i]), int(offset[i])) for i in want} == want
+
+
+@pytest.mark.parametrize("html", ["<p>a<![foo[bar]]>b</p>", "<![", "<![CDATA[x]]><p>y", "<!", "<!>", "<!->", "<!---><p>z</p>", "<?x", "</>", "</ x><p>q", "&#xZ; &#99999999; &bogus;", "<p a='", "<" * 2000, "<!DOCTYPE [<!ENTITY x>]><p>k"])
+def test_malformed_markup_does_not_end_the_job(html):
+    html_text.Tree(html)
+    assert isinstance(html_text.texts([html], html_text.trained([]))[0], str)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<", "<!", "<![", "]]>", "--", ">", "<p", "</p>", "<b>", "a", " ", "&", "&#", ";", '"', "<table>", "<td>", "<script>", "</", "<!--", "<?", "\x00", "é"]), max_size=40))
+def test_any_markup_makes_a_tree(parts):
+    tree = html_text.Tree("".join(parts))
+    assert all(p < i for i, p in enumerate(tree.parent))
+
+
+def test_deep_pages_take_time_in_proportion():
+    began = time.perf_counter()
+    for html in ("<font>" * 100_000 + "x", "<div>" * 20_000 + "x", "<b><p>x" * 50_000):
+        html_text.Tree(html)
+    assert time.perf_counter() - began < 30
+
+
+def test_pages_with_extra_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>Some text of an article that goes on for a while.</p></article>", "t", 5, "r")], "page_id long, url string, html string, text string, n_chars long, row string")
+    assert html_text.extracted(pages).columns == ["page_id", "url", "text", "n_chars"] and html_text.extracted(pages.limit(0)).count() == 0
