@@ -1,8 +1,8 @@
 """Host-level quality rules.
 
 Every document is measured; rule failures are counted by host; host rates are
-shrunk with a beta prior that is fitted to all hosts; the verdict of a host
-goes back to its documents.
+shrunk with a beta prior that is fitted to all hosts, and judged against it;
+the verdict of a host goes back to its documents.
 
 Defined cases.  A null or empty text has no words, so the base rules fail it.
 A null host is a host of its own.  Repeated rows count as often as they occur.
@@ -13,6 +13,7 @@ them, because measures are held in one struct until the end.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +24,10 @@ from caseloom.llm.common import SPACES, add_columns, salted_left, stored, table
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-#: A host is bad from this shrunk failure rate on.
-HOST_RATE = 0.5
+#: How many times likelier each failed soft rule makes it that a document is junk.
+EVIDENCE = 8.0
+#: The most documents that the prior can weigh as much as, where hosts do not differ beyond chance.
+HEAVIEST = 1e6
 
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
@@ -68,54 +71,59 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
 
 
-def soft_failed(m: Column) -> Column:
-    """Rules that reject a document only together with its host's verdict."""
-    return (10 * m["n_symbols"] > m["n_words"]) | (10 * m["n_dup_lines"] > 3 * m["n_lines"]) | (m["word_chars"] > 15 * m["n_words"]) | (m["word_chars"] < 2 * m["n_words"])
+def soft_failures(m: Column) -> Column:
+    """How many rules are failed that reject a document only together with its host's verdict."""
+    rules = (10 * m["n_symbols"] > m["n_words"], 10 * m["n_dup_lines"] > 3 * m["n_lines"], (m["word_chars"] > 15 * m["n_words"]) | (m["word_chars"] < 2 * m["n_words"]))
+    return sum((r.cast("int") for r in rules), F.lit(0))
 
 
-def host_verdicts(measured: DataFrame, host: str = "source", m: str = "__m", rate: float = HOST_RATE) -> DataFrame:
-    """One row per host: documents, failures, shrunk failure rate and verdict.
+def host_verdicts(measured: DataFrame, host: str = "source", m: str = "__m") -> DataFrame:
+    """One row per host: documents, failures, shrunk failure rate, and how many soft rules its documents may fail.
 
-    The prior is beta(a, b), by moments over the hosts' rates; with fewer than
-    two hosts, or no spread between them, it is the overall rate with the
-    weight of one document.
+    The prior beta(a, b) has the mean of all documents and the variance of the
+    hosts' rates less what chance alone gives hosts of their sizes.  The shrunk
+    rate gives the odds that a document of the host is junk; a document goes if
+    its failed rules, each worth ``EVIDENCE``, turn these odds to one or more.
     """
     by_host = measured.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__host"), F.col(host).isNull().alias("__no_host")).agg(
-        F.count("*").alias("n_docs"), F.count_if(base_failed(F.col(m)) | soft_failed(F.col(m))).alias("n_failed")
+        F.count("*").alias("n_docs"), F.count_if(base_failed(F.col(m)) | (soft_failures(F.col(m)) > 0)).alias("n_failed")
     )
     by_host = stored(by_host, "hosts")
-    p = F.col("n_failed") / F.col("n_docs")
-    row = by_host.agg(F.sum("n_docs"), F.sum("n_failed"), F.avg(p), F.var_samp(p)).first()
-    docs, failed, mean, spread = (float(x) if x is not None else 0.0 for x in row)
-    weight = mean * (1 - mean) / spread - 1 if spread > 0 else 1.0
-    weight = max(weight, 1.0)
-    overall = failed / docs if docs else 0.0
-    shrunk = (F.col("n_failed") + F.lit(overall * weight)) / (F.col("n_docs") + F.lit(weight))
-    return by_host.withColumn("rate", shrunk).withColumn("bad_host", F.col("rate") >= rate)
-
-
-def judged(docs: DataFrame, text: str = "text", host: str = "source", by: str = "doc_id", keep: list[str] | None = None, measured: DataFrame | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default), the measures ``__m``, and ``__kept``; ``by`` spreads a hot host's rows."""
-    keep = docs.columns if keep is None else keep
-    first = measured if measured is not None else with_measures(docs.select(*dict.fromkeys([*keep, host, by, text])), text)
-    slim = measured if measured is not None else with_measures(docs.select(text, host), text)
-    verdict = host_verdicts(slim, host).select(F.concat(F.col("__no_host").cast("string"), "__host").alias("__key"), "bad_host")
-    keyed = first.withColumn("__key", F.concat(F.col(host).isNull().cast("string"), F.coalesce(F.col(host).cast("string"), F.lit(""))))
-    joined = salted_left(keyed, verdict, "__key", by)
-    m = F.col("__m")
-    kept = ~base_failed(m) & ~(F.coalesce(F.col("bad_host"), F.lit(False)) & soft_failed(m))
-    return joined.select(*keep, "__m", kept.alias("__kept"))
+    row = by_host.agg(F.sum("n_docs"), F.sum("n_failed"), F.var_samp(F.col("n_failed") / F.col("n_docs")), F.avg(1 / F.col("n_docs"))).first()
+    docs, failed, spread, inverse = (float(x) if x is not None else 0.0 for x in row)
+    mean, weight = prior(docs, failed, spread, inverse)
+    rate = (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n_docs") + F.lit(weight))
+    allowed = F.when(rate > 0, F.greatest(F.lit(0.0), F.ceil(F.log((1 - rate) / rate) / F.lit(math.log(EVIDENCE)) - 1e-9) - 1)).otherwise(3.0)
+    return by_host.withColumn("rate", rate).withColumn("allowed", allowed.cast("int"))
+
+
+def prior(docs: float, failed: float, spread: float, inverse: float) -> tuple[float, float]:
+    """Mean and weight (a + b) of the prior, from sums over hosts, the variance of their rates and the mean of one over their sizes."""
+    mean = failed / docs if docs else 0.0
+    chance = mean * (1 - mean)
+    between = spread - chance * inverse
+    return mean, min(max(chance / between - 1, 1.0), HEAVIEST) if between > 0 else HEAVIEST
+
+
+def judged(measured: DataFrame, host: str = "source", by: str = "doc_id", m: str = "__m") -> DataFrame:
+    """``measured`` with ``__kept``; ``by`` spreads a hot host's rows."""
+    verdict = host_verdicts(measured, host, m).select(F.concat(F.col("__no_host").cast("string"), "__host").alias("__key"), "allowed")
+    keyed = measured.withColumn("__key", F.concat(F.col(host).isNull().cast("string"), F.coalesce(F.col(host).cast("string"), F.lit(""))))
+    kept = ~base_failed(F.col(m)) & (soft_failures(F.col(m)) <= F.col("allowed"))
+    return salted_left(keyed, verdict, "__key", by).withColumn("__kept", kept).drop("__key", "allowed")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     measured = stored(with_measures(docs).select("doc_id", "source", "__m"), "measures")
     m = F.col("__m")
-    return judged(docs, keep=["doc_id"], measured=measured).select(
+    return judged(measured).select(
         "doc_id", *[m[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed(m).alias("base_failed"), F.col("__kept").alias("kept")
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with the columns they came with."""
-    return judged(docs).where("__kept").drop("__m", "__kept")
+    """Documents that the rules keep, with the columns they came with; texts are measured once and travel in one struct with the rest."""
+    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text", F.col("source").alias("host"), F.col("doc_id").alias("by"))
+    measured = stored(with_measures(row).drop("text"), "measured-documents")
+    return judged(measured, "host", "by").where("__kept").select("row.*")

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -149,10 +150,36 @@ def test_bad_hosts_lose_doubtful_documents_only(spark):
     good = " ".join(f"fine{i}" for i in range(40))
     doubtful = " ".join(f"odd{i} ##" for i in range(40))
     docs = [(i, good if i % 10 == 0 else doubtful, "bad") for i in range(40)] + [(100 + i, doubtful if i == 0 else good, "good") for i in range(40)]
-    out = {r.doc_id: r["__kept"] for r in quality.judged(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    out = {r.doc_id: r["__kept"] for r in quality.judged(quality.with_measures(spark.createDataFrame(docs, "doc_id long, text string, source string"))).collect()}
     assert all(out[i] == (i % 10 == 0) for i in range(40)) and all(out[100 + i] for i in range(40))
 
 
+def test_kept_documents_by_brute_force(spark):
+    """Hosts of a given corpus, with the prior, the rates and the verdicts worked out in plain numbers."""
+    docs = [(r["doc_id"], r["text"] or "", r["source"]) for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()]
+    docs += [(10_000 + i, "tail " * 3 + "## " * 40 + t if i % 4 else t, "spam") for i, (_, t, _) in enumerate(docs[:80])]
+    docs += [(20_000 + i, t, f"tiny{i}") for i, (_, t, _) in enumerate(docs[80:120])]
+    state, hosts = {}, defaultdict(list)
+    for d, t, h in docs:
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        chars, symbols, dup = sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines))
+        base = len(words) < 20 or 100 * quality.repeated_words([w.encode() for w in words]) > 30 * len(words)
+        soft = (10 * symbols > len(words)) + (10 * dup > 3 * len(lines)) + (chars > 15 * len(words) or chars < 2 * len(words))
+        state[d] = base, soft, h
+        hosts[h].append(base or soft > 0)
+    rates = [sum(x) / len(x) for x in hosts.values()]
+    mean = sum(map(sum, hosts.values())) / len(docs)
+    between = np.var(rates, ddof=1) - mean * (1 - mean) * np.mean([1 / len(x) for x in hosts.values()])
+    weight = min(max(mean * (1 - mean) / between - 1, 1), quality.HEAVIEST) if between > 0 else quality.HEAVIEST
+    want = {}
+    for d, (base, soft, h) in state.items():
+        rate = (sum(hosts[h]) + mean * weight) / (len(hosts[h]) + weight)
+        want[d] = not base and (soft == 0 or rate / (1 - rate) * quality.EVIDENCE**soft < 1)
+    out = {r.doc_id: r["__kept"] for r in quality.judged(quality.with_measures(spark.createDataFrame(docs, "doc_id long, text string, source string"))).collect()}
+    assert out == want
+    assert {k for d, k in want.items() if state[d][1] and not state[d][0]} == {False, True}
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -466,3 +493,13 @@ def test_deep_pages_take_time_in_proportion():
 def test_pages_with_extra_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Some text of an article that goes on for a while.</p></article>", "t", 5, "r")], "page_id long, url string, html string, text string, n_chars long, row string")
     assert html_text.extracted(pages).columns == ["page_id", "url", "text", "n_chars"] and html_text.extracted(pages.limit(0)).count() == 0
+
+
+def test_main_text_of_given_pages():
+    """Against labels from the pages' own article elements: all words of them, and no others."""
+    pages = [p["html"] for p in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    found = html_text.texts(pages, html_text.trained(pages[:100]))
+    want = [Counter(unescape(re.sub(r"<[^>]*>", " ", re.search(r"(?s)<article>(.*?)</article>", p)[1])).split()) for p in pages]
+    got = [Counter(x.split()) for x in found]
+    shared = sum(sum((a & b).values()) for a, b in zip(want, got, strict=True))
+    assert shared >= 0.99 * sum(c.total() for c in want) and shared >= 0.99 * sum(c.total() for c in got)
