@@ -9,8 +9,11 @@ benchmark is scanned in blocks of items, each with an automaton of its own, and
 the hits of all blocks are united, so nothing is left out at any size.
 
 Defined cases.  A null or empty text has no words and no hits.  Items without
-words match nothing.  Repeated items each count.  An empty benchmark leaves
-every document clean.  Overlapping occurrences all count.
+words match nothing.  Rows that repeat an item_id are one item with the windows
+of all of them; items without an id are one item with an empty one.  Repeated
+documents are each judged.  An empty benchmark leaves every document clean.
+Overlapping occurrences all count.  A text is scanned as a whole.  ``__hit`` may
+not be a column of the documents; all other names may.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from caseloom.llm.common import add_columns, small_batches, stored, table
 
 WIDTH = 13
-#: Bound of what is sent to every task at once.
-MAX_PATTERN_BYTES = 32 << 20
+#: Pattern bytes of one block; an automaton takes some forty times as much, in each worker.
+MAX_PATTERN_BYTES = 2 << 20
 #: Letters to lower case; everything ASCII that is neither letter nor digit to a space.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 

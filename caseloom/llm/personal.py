@@ -1,11 +1,12 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Base entities (e-mail, IP, card, phone) are the seeds.  The words beside seeds
-are lexical patterns; a pattern's confidence is the score of what stands beside
-its word, over all occurrences of that word in the corpus.  Other tokens with
-digits get their score from the patterns they stand beside, and patterns are
-scored anew from them, for a few rounds over the pattern-instance graph.  Tokens
-beside a pattern of high confidence become spans of the pattern's kind.
+Base entities (e-mail, IP, card, phone) are the seeds.  The one or two words
+before a match, those after it, and the words on both sides are its lexical
+patterns.  In each round a pattern's confidence for a kind is the weight of the
+seeds among the distinct values that it stands beside; a value's score is that
+at least one of its patterns is right; values that score well become seeds, and
+so bring in patterns of their own in the next round.  Tokens beside a pattern of
+high confidence become spans of the pattern's kind.
 
 Places come from cutting each text at its matches: lengths of what lies between
 are added up by a window over the matches of one text, so a text with many
@@ -38,11 +39,13 @@ BASE = {
 KINDS = list(BASE)
 #: What a text must hold for an expression to be worth trying.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: A token with a digit: what patterns can discover.
-TOKEN = r"(?<!\S)\S*[0-9]\S*+"
+#: A token with a digit or a sign or word for "at": what patterns can discover.
+TOKEN = r"(?<!\S)\S*?(?:[0-9@]|[\[({]at[\])}])\S*+"
 #: Characters beside a match in which its neighbouring words are looked for.
 BESIDE = 60
-MIN_SEEDS, ROUNDS, CONFIDENT, MIN_LENGTH = 3, 3, 0.5, 5
+MIN_SEEDS, ROUNDS, MIN_LENGTH = 3, 3, 5
+#: Confidence from which a pattern counts in a round, score from which a value becomes a seed, and confidence from which a pattern makes spans.
+WORTH, PROMOTED, CONFIDENT = 0.3, 0.6, 0.7
 
 
 def cut(text: Column, kind: str, pattern: str) -> Column:
@@ -83,8 +86,8 @@ def placed(rows: DataFrame) -> DataFrame:
         each.append(e.select("rid", F.lit(kind).alias("kind"), "i", F.col("x.m").alias("m"), F.col("x.pre.n").alias("n"), F.col("x.pre.tail").alias("tail"), F.col("x.post.head").alias("head")))
     every = reduce(DataFrame.unionByName, each)
     end = F.sum(F.col("n") + F.length("m")).over(W.partitionBy("rid", "kind").orderBy("i"))
-    word = lambda c, p: F.lower(F.regexp_extract(c, p, 1))
-    return every.select("rid", "kind", "m", (end - F.length("m")).alias("start"), end.alias("end"), word("tail", r"(\S++)\s*+$").alias("left"), word("head", r"^\s*+(\S++)").alias("right"))
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    return every.select("rid", "kind", "m", (end - F.length("m")).alias("start"), end.alias("end"), F.slice(F.reverse(words("tail")), 1, 2).alias("left"), F.slice(words("head"), 1, 2).alias("right"))
 
 
 def trimmed(tokens: DataFrame) -> DataFrame:
@@ -106,29 +109,28 @@ def free(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def beside(matches: DataFrame) -> DataFrame:
-    """A row per match and side on which a word stands."""
-    sides = F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))
-    return matches.select("rid", "kind", F.lower("m").alias("value"), "start", "end", F.explode(sides).alias("p")).select("rid", "kind", "value", "start", "end", "p.side", "p.word").where("word <> ''")
-
-
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select(F.explode(F.split(F.lower(F.col(text).cast("string")), r"[\x20\x09-\x0D]+")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-
-
-def patterns(docs: DataFrame, seeds: DataFrame, tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``side, word, kind, confidence`` of every pattern with enough seeds, after ``rounds`` of scoring."""
-    at = seeds.groupBy("side", "word", "kind", "value").agg(F.count("*").alias("n"))
-    support = at.groupBy("side", "word", "kind").agg(F.count("*").alias("values"), F.sum("n").alias("hits")).where(F.col("values") >= MIN_SEEDS)
-    support = stored(support.join(word_counts(docs), "word"), "pii-patterns")
-    links = stored(tokens.groupBy("side", "word", "value").agg(F.count("*").alias("n")).join(support.select("side", "word", "kind"), ["side", "word"]), "pii-links")
-    base = F.col("hits") / (F.col("freq") + 2)
-    scored = support.select("side", "word", "kind", base.alias("confidence"))
-    for _ in range(rounds - 1):
-        doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
-        values = links.join(scored, ["side", "word", "kind"]).groupBy("kind", "value").agg((1 - F.exp(doubt)).alias("score"))
-        gained = links.join(values, ["kind", "value"]).groupBy("side", "word", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("more"))
-        joined = support.join(gained, ["side", "word", "kind"], "left")
-        scored = stored(joined.select("side", "word", "kind", F.least(F.lit(1.0), (F.col("hits") + F.coalesce("more", F.lit(0.0))) / (F.col("freq") + 2)).alias("confidence")), "pii-scores")
+    """A row per match and lexical pattern ``p``, told by 64 bits of a hash."""
+    side = lambda name, words: F.when(F.size(words) == int(name[1]), F.xxhash64(F.lit(name), F.array_join(words, " ")))
+    one = lambda c: F.slice(c, 1, 1)
+    both = F.when((F.size("left") > 0) & (F.size("right") > 0), F.xxhash64(F.lit("B"), F.col("left")[0], F.col("right")[0]))
+    each = F.array(side("L1", one("left")), side("L2", F.col("left")), side("R1", one("right")), side("R2", F.col("right")), both)
+    return matches.select("rid", "kind", F.lower("m").alias("value"), "start", "end", F.explode(F.array_compact(each)).alias("p"))
+
+
+def patterns(seeds: DataFrame, tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``p, kind, confidence`` of the patterns after ``rounds`` of scoring, from the rows beside seeds and beside other tokens."""
+    known = stored(seeds.select("p", "kind", "value").distinct(), "pii-seeds")
+    links = stored(tokens.select("p", "value").distinct(), "pii-links")
+    total = stored(known.select("p", "value").union(links).groupBy("p").agg(F.count("*").alias("n_values")), "pii-totals")
+    labelled = known.select("p", "kind", "value", F.lit(1.0).alias("w"))
+    for k in range(rounds):
+        held = labelled.groupBy("p", "kind").agg(F.count("*").alias("n"), F.sum("w").alias("weight")).where(F.col("n") >= MIN_SEEDS).join(total, "p")
+        scored = stored(held.select("p", "kind", (F.col("weight") / (F.col("n_values") + 1)).alias("confidence")).where(F.col("confidence") >= WORTH), "pii-patterns")
+        if k + 1 < rounds:
+            doubt = F.sum(F.log(1 - F.col("confidence")))  # below one, as the divisor is above the weight
+            values = links.join(scored, "p").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("w")).where(F.col("w") >= PROMOTED)
+            values = values.groupBy("value").agg(F.max_by(F.struct("kind", "w"), F.struct("w", "kind")).alias("b")).select("value", "b.*")
+            labelled = known.select("p", "kind", "value", F.lit(1.0).alias("w")).unionByName(links.join(values, "value").select("p", "kind", "value", "w"))
     return scored
 
 
@@ -139,9 +141,9 @@ def found(docs: DataFrame, text: str = "text") -> DataFrame:
     base = every.where((F.col("kind") != "token") & valid(F.col("kind"), F.col("m")))
     tokens = stored(free(trimmed(every.where("kind = 'token'")), base), "pii-tokens")
     near = beside(tokens)
-    sure = patterns(docs, beside(base), near).where(F.col("confidence") >= CONFIDENT)
+    sure = patterns(beside(base), near).where(F.col("confidence") >= CONFIDENT)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    new = near.drop("kind").join(sure, ["side", "word"]).groupBy("rid", "start", "end").agg(F.max_by("kind", F.struct("confidence", -rank)).alias("kind"))
+    new = near.drop("kind").join(sure, "p").groupBy("rid", "start", "end").agg(F.max_by("kind", F.struct("confidence", -rank)).alias("kind"))
     both = base.select("rid", "start", "end", "kind", F.lit(True).alias("is_base")).unionByName(new.withColumn("is_base", F.lit(False)))
     span = F.struct("start", rank.alias("rank"), "kind", "end")
     lists = both.groupBy("rid").agg(F.array_sort(F.collect_list(F.when(F.col("is_base"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))

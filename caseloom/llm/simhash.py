@@ -3,9 +3,10 @@
 Two 64-bit fingerprints that differ in at most three bits differ in at most
 three of their eight bytes, so at least five positional bytes are shared.  The
 index holds every fingerprint under sets of four byte positions, chosen so
-that any three positions miss one set entirely; pairs that meet in the index
-are tallied by shared positional bytes, pairs below the guaranteed five are
-dropped, and the rest are verified bit by bit.
+that any three positions miss one set entirely.  So pairs that meet share four bytes
+by their key; the other positions are tallied, pairs below the guaranteed five
+are dropped, and the rest are verified bit by bit.  Lists of single bytes would
+each hold a 256th of all fingerprints, and their pairs grow with the square.
 
 A posting list of any length is compared in blocks of ``BLOCK`` fingerprints,
 block against block, in tasks of their own, and each comparison returns a
@@ -13,7 +14,9 @@ spanning forest of its links, never all pairs.  Equal fingerprints are one
 entry of the index.
 
 Defined cases.  A null or empty text has no words and the fingerprint zero,
-which links like any other.  Fewer than three words are one shingle.  Repeated
+which links like any other.  Ties in the least id can't be told apart and need not be.
+Very long texts are shingled as a whole.  Only the two named columns are read,
+so others may have any names.  Fewer than three words are one shingle.  Repeated
 shingles count each time.  Repeated rows fall into one component.  An empty
 table gives an empty result.
 """
@@ -68,10 +71,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def close(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
-    """Where the tally of shared positional bytes reaches five and the bits differ in three places at most."""
+    """Where the tally of shared positional bytes reaches the guaranteed five; only of those the bits are compared."""
     diff = x ^ y
-    shared = (diff.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    return (shared >= 8 - BITS) & (np.bitwise_count(diff) <= BITS)
+    near = (diff.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - BITS
+    near[near] = np.bitwise_count(diff[near]) <= BITS
+    return near
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:

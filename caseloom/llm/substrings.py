@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import bucketed, map_rows, folder, small_batches, stored, table
+from caseloom.llm.common import brief_shuffles, bucketed, folder, map_rows, small_batches, stored, table
 
 WIDTH, INNER = 20, 8
 FAN_OUT = 4
@@ -182,7 +182,8 @@ class SubstringIndex:
         """An immutable run, bucketed and sorted by fingerprint."""
         name = f"run_{uuid.uuid4().hex}"
         path = folder(self.spark, "run")
-        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd").option("path", path).saveAsTable(name)
+        with brief_shuffles(self.spark):
+            rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd").option("path", path).saveAsTable(name)
         return name
 
     def compact(self) -> None:

@@ -29,20 +29,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import map_rows, folder, small_batches, stored, table
+from caseloom.llm.common import folder, map_rows, small_batches, stored, table
 
 MIN_REVISIT = 100
 #: An archive is closed at this size.
 ROLL = 1 << 30
 #: Neighbours this near are fetched together, up to so many bytes at once.
 GAP, MOST = 64 << 10, 8 << 20
-#: Index rows of one stretch of a file are read by one task.
-STRETCH = 64 << 20
+#: Index rows of one stretch of a file are read by one task, and there are as many tasks as stretches.
+STRETCH = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id bigint, url string, digest string, record_type string, file string, offset bigint, length bigint"
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string, offset bigint, length bigint, payload binary"
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder, and the path in it; Hadoop's names for S3 are known too."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One gzip member that holds one WARC record."""
     uri = re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url or "")
@@ -87,8 +92,8 @@ def parsed(member: bytes) -> dict:
 def with_roles(pages: DataFrame) -> DataFrame:
     """``page_id, url, html (binary), digest, refers_to``: the last is null for responses.
 
-    Only ids and digests meet in the search for equal payloads; the texts stay
-    where they are unless many are revisits.
+    Only ids and digests meet in the search for equal payloads.  The texts are
+    then dealt by id and digest, unless the revisits are few enough to be sent.
     """
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html")).withColumn("digest", F.sha2("html", 256))
@@ -100,11 +105,11 @@ def with_roles(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
     """Write a record per row under ``folder`` and return the stored index."""
-    store, base = fs.FileSystem.from_uri(folder)
+    store, base = opened(folder)
     store.create_dir(base, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = opened(folder)
         out, name, at = None, "", 0
         for batch in batches:
             rows = []
@@ -145,10 +150,12 @@ def ranges(rows: list[tuple[str, int, int]], gap: int = GAP, most: int = MOST) -
 
 def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of the selected index rows; revisits have no payload of their own."""
-    dealt = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    stretch = F.floor(F.col("offset") / STRETCH)
+    dealt = index.select("file", "offset", "length").repartition(1 + total // STRETCH, "file", stretch).sortWithinPartitions("file", "offset")
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = opened(folder)
         rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for file, start, end, own in ranges(rows):
             with store.open_input_file(file) as f:
@@ -166,4 +173,4 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = folder(spark, "warc")
     index = write(table(spark, sf_dir, "pages"), place)
-    return read(index, place, payloads=False).drop("payload", "file")
+    return read(index, place, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "offset", "length")

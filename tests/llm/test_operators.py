@@ -111,7 +111,7 @@ def test_warc_round_trip(spark, folder):
 
 
 def test_warc_reads_only_what_is_selected(spark, folder):
-    path = common.shared_path(spark, "warc-test")
+    path = common.folder(spark, "warc-test")
     index = warc.write(common.table(spark, folder, "pages"), path)
     back = warc.read(index.where("page_id = 7"), path).collect()
     assert [(r.page_id, bytes(r.payload).decode()) for r in back] == [(7, PAGES[7]["html"])]
@@ -302,6 +302,16 @@ def test_patterns_discover_identifiers(spark):
     assert out[100] == [("email", 15, 37)] and out[101] == []
 
 
+def test_discovered_identifiers_bring_in_patterns(spark):
+    """Seeds give away "contact:", what stands there gives away "or via", and that an identifier like no seed."""
+    docs = [(i, f"some text contact: user{i}@site{i}.example.com end of it") for i in range(30)]
+    docs += [(100 + i, f"some text contact: handle{i}[at]site or via handle{i}[at]site now") for i in range(12)]
+    docs += [(200, "some text or via zz9-hidden now"), (201, "of the year 2031x in rome"), (202, "of the item 77777 in rome")]
+    out = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in personal.found(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[105] == [("email", 19, 34), ("email", 42, 57)]
+    assert out[200] == [("email", 17, 27)] and out[201] == out[202] == []
+
+
 def test_line_deduplication(spark, folder):
     got = by_id(lines.op6(spark, folder))
     every, seen = [], set()
@@ -503,3 +513,17 @@ def test_main_text_of_given_pages():
     got = [Counter(x.split()) for x in found]
     shared = sum(sum((a & b).values()) for a, b in zip(want, got, strict=True))
     assert shared >= 0.99 * sum(c.total() for c in want) and shared >= 0.99 * sum(c.total() for c in got)
+
+
+def test_rows_that_repeat_an_item_are_one_item(spark):
+    items = spark.createDataFrame([(1, "alpha beta"), (1, "gamma delta"), (None, "epsilon zeta"), (None, "eta theta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha beta and gamma delta"), (2, "epsilon zeta eta theta")], "doc_id long, text string")
+    assert {r.doc_id: (r["__hit"]["items"], r["__hit"].n_hit) for r in decontaminate.scanned(docs, items).collect()} == {1: (["1"], 4), 2: ([""], 4)}
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "STRETCH", 500)
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 40) for i in range(60)], "page_id long, url string, html string")
+    index = warc.write(pages, str(tmp_path / "warc"))
+    back = warc.read(index, str(tmp_path / "warc"))
+    assert back.rdd.getNumPartitions() > 10 and {(r.page_id, bytes(r.payload)) for r in back.collect()} == {(i, f"<p>{i}</p>".encode() * 40) for i in range(60)}
