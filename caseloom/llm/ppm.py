@@ -10,6 +10,9 @@ left are equally likely.  Each text is coded with an end symbol.
 No part of the model goes to the driver or to every task.  Documents lie in
 chunks of about ``chunk_bytes``; each chunk is sent the contexts and words that
 occur in it, with their counts over all chunks, and scores its own documents.
+Counts meet in levels: at each one, groups of ``FAN`` times as many chunks
+settle ``FAN`` times narrower ranges of hashes, so every node hears of about
+``FAN`` others, and rows grow with the chunks times the number of levels.
 
 Defined cases.  A null or empty text is its end alone.  A null doc_id trains.
 Repeated rows train as often as they occur and are each scored.  With no
@@ -44,8 +47,13 @@ START, END = b"\xfe", b"\xff"
 END_TOKEN = b"\n"
 #: The kind of a row of words; rows of grams have the length of their contexts.
 WORDS = -1
+#: A node of one level hears of so many of the level below: a power of two, as buckets are leading bits of a hash.
+FAN = 64
+HASH_BITS = 31
 #: Words are known by 64-bit hashes, grams by their bytes as a number; counts take eight bytes, too.
-ROWS = "chunk bigint, kind int, bucket int, keys binary, ns binary"
+#: ``src`` is the chunk, or the group of chunks, that a row comes from or goes to.
+ROWS = "src bigint, kind int, bucket bigint, keys binary, ns binary"
+TOTALS = "src bigint, kind int, bucket bigint, keys binary, ns binary, known bigint, total bigint"
 #: What a chunk returns: a row per document, and one with the sums over the words that it heads.
 PARTS = "totals boolean, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
 
@@ -94,8 +102,9 @@ def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
     return key[inside], np.cumsum(lengths) - lengths
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` of a hash: buckets of more bits lie within those of fewer."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)) >> np.uint64(HASH_BITS - bits)
 
 
 def squeezed(keys: np.ndarray) -> bytes:
@@ -107,14 +116,14 @@ def spread(b: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(b), "<i8"))
 
 
-def packed(kind: int, keys: np.ndarray, n: np.ndarray, by: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """(kind, bucket, keys, counts) with keys in order within each bucket of ``by``."""
-    b = bucket_of(by, buckets)
+def packed(kind: int, keys: np.ndarray, n: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(kind, bucket, keys, counts) with keys in order within each bucket; grams of one context lie in one bucket."""
+    b = bucket_of(keys if kind == WORDS else (keys >> 8) + kind, bits)
     order = np.lexsort((keys, b))
     b, keys, n = b[order], keys[order], n[order]
-    cut = np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
-    for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-        yield kind, k, squeezed(keys[cut[k] : cut[k + 1]]), n[cut[k] : cut[k + 1]].astype("<i8").tobytes()
+    cuts = [*np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))).tolist(), len(b)] if len(b) else [0]
+    for x, y in zip(cuts, cuts[1:]):
+        yield kind, int(b[x]), squeezed(keys[x:y]), n[x:y].astype("<i8").tobytes()
 
 
 def shorter(gram: np.ndarray, n: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -129,18 +138,25 @@ def word_keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
-def counted(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
+def batch_of(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch of columns that are all ``bigint``, ``int`` or ``binary``."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in ddl.split(", ")]
+    cols = zip(*rows) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def counted(chunks: DataFrame, order: int, bits: int) -> DataFrame:
     """``ROWS``: each chunk's words and grams, packed by bucket, with their training counts; held-out texts alone count nothing."""
 
     def rows(chunk: int, words: Counter, found: Counter) -> pa.RecordBatch:
         n = np.fromiter(words.values(), np.int64, len(words))
         keys = word_keys(list(words))
-        every = list(packed(WORDS, keys, n, keys, buckets))
+        every = list(packed(WORDS, keys, n, bits))
         gram = np.fromiter(found.keys(), np.int64, len(found))
         for j, g, m in shorter(gram, np.fromiter(found.values(), np.int64, len(found)), order):
-            every += packed(j, g, m, (g >> 8) + j, buckets)
-        cols = list(zip(*every))
-        return pa.RecordBatch.from_arrays([pa.array([chunk] * len(every), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]], names=["chunk", "kind", "bucket", "keys", "ns"])
+            every += packed(j, g, m, bits)
+        return batch_of(ROWS, [(chunk, *x) for x in every])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, found = None, Counter(), Counter()
@@ -177,46 +193,84 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<i8")
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """``rows`` with counts over all chunks: the rows of a bucket, one per chunk, meet and are sent back.
+Part = tuple[int, bytes, bytes]
 
-    A chunk gets its words, and every gram whose context it has.  ``head`` is the
-    number of known words and their total for one chunk of the bucket.
-    """
 
-    def own(kind: int, parts: list[tuple[int, bytes, bytes]]) -> Iterator[tuple]:
-        keys, at = np.unique(np.concatenate([spread(k) for _, k, _ in parts]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([unpacked(n) for _, _, n in parts])).astype(np.int64)
-        mine: dict[int, list[np.ndarray]] = {}
-        for chunk, k, _ in parts:
-            mine.setdefault(chunk, []).append(spread(k))
-        for i, (chunk, lists) in enumerate(mine.items()):
-            held = np.unique(np.concatenate(lists))
-            if kind == WORDS:
-                take = np.searchsorted(keys, held)
-            else:
-                take = np.flatnonzero((total > 0) & np.isin(keys >> 8, np.unique(held >> 8)))
-            head = [int((total > 0).sum()), int(total.sum())] if kind == WORDS and i == 0 else [0, 0]
-            yield chunk, kind, squeezed(keys[take]), total[take].tobytes(), *head
+def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[Part]]]:
+    """((group, kind, bucket), its parts (src, keys, counts)) of rows sorted so."""
+    now, parts = None, []
+    for batch in batches:
+        for group, src, kind, bucket, keys, ns in zip(*(batch.column(c).to_pylist() for c in ("group", "src", "kind", "bucket", "keys", "ns")), strict=True):
+            if (group, kind, bucket) != now:
+                if now is not None:
+                    yield now, parts
+                now, parts = (group, kind, bucket), []
+            parts.append((src, keys, ns))
+    if now is not None:
+        yield now, parts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
 
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*own(now[0], parts)))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["chunk", "kind", "keys", "ns", "known", "total"])
+def summed(parts: list[Part]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their counts over all parts."""
+    keys, at = np.unique(np.concatenate([spread(k) for _, k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([unpacked(n) for _, _, n in parts])).astype(np.int64)
 
-        for batch in batches:
-            for chunk, kind, bucket, keys, ns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (kind, bucket) != now:
-                    if now is not None:
-                        yield out()
-                    now, parts = (kind, bucket), []
-                parts.append((chunk, keys, ns))
-        if now is not None:
-            yield out()
 
-    return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(run, "chunk bigint, kind int, keys binary, ns binary, known bigint, total bigint")
+def answers(kind: int, parts: list[Part], keys: np.ndarray, total: np.ndarray, head: list[int]) -> Iterator[tuple]:
+    """(src, keys, counts, known, total): each part gets its words, and every gram whose context it has; the first gets ``head``."""
+    mine: dict[int, list[np.ndarray]] = {}
+    for src, k, _ in parts:
+        mine.setdefault(src, []).append(spread(k))
+    for src, lists in mine.items():
+        held = np.unique(np.concatenate(lists))
+        take = np.searchsorted(keys, held) if kind == WORDS else np.flatnonzero((total > 0) & np.isin(keys >> 8, np.unique(held >> 8)))
+        yield src, squeezed(keys[take]), total[take].tobytes(), *head
+        head = [0, 0]
+
+
+def merged(rows: DataFrame, levels: int, bits: int) -> DataFrame:
+    """``rows`` with counts over all chunks, sent back to them (``TOTALS``).
+
+    On the way up, a node sums what it hears and passes it on, split into narrower buckets;
+    the highest level has all counts.  On the way down, each node deals what it is
+    sent to those that it heard.  ``known`` and ``total`` tell a bucket's known
+    words and their sum to one chunk.
+    """
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("group", "kind", "bucket").sortWithinPartitions("group", "kind", "bucket", "src")
+
+    def pass_on(level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (group, kind, _), parts in nodes(batches):
+                yield batch_of(ROWS, [(group, *x) for x in packed(kind, *summed(parts), bits * (level + 1))])
+
+        return run
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, kind, bucket), parts in nodes(batches):
+            keys, total = summed(parts)
+            head = [int((total > 0).sum()), int(total.sum())] if kind == WORDS else [0, 0]
+            yield batch_of(TOTALS, [(src, kind, bucket >> bits, *rest) for src, *rest in answers(kind, parts, keys, total, head)])
+
+    def pass_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind, bucket = left["kind"][0].as_py(), left["bucket"][0].as_py()
+        parts = list(zip(*(left[c].to_pylist() for c in ("src", "keys", "ns")), strict=True))
+        keys = np.concatenate([spread(k) for k in right["keys"].to_pylist()])
+        total = np.concatenate([unpacked(n) for n in right["ns"].to_pylist()])
+        order = np.argsort(keys)
+        head = [sum(right[c].to_pylist()) for c in ("known", "total")]
+        return pa.Table.from_batches([batch_of(TOTALS, [(src, kind, bucket >> bits, *rest) for src, *rest in answers(kind, parts, keys[order], total[order], head)])])
+
+    slot = F.pmod(F.xxhash64("src"), F.lit(1 << (bits * levels)))
+    heard, rows = [], rows.withColumn("group", F.shiftright(slot, bits))
+    for level in range(1, levels):
+        heard.append(stored(rows, "counts"))
+        rows = dealt(heard[-1]).mapInArrow(pass_on(level), ROWS).withColumn("group", F.shiftright("src", bits))
+    totals = dealt(rows).mapInArrow(settle, TOTALS)
+    for rows in reversed(heard):
+        totals = rows.groupBy("group", "kind", "bucket").cogroup(totals.groupBy("src", "kind", "bucket")).applyInArrow(pass_back, TOTALS)
+    return totals
 
 
 class Model:
@@ -284,12 +338,13 @@ class Model:
         return found
 
 
-def scored(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def scored(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, fan: int = FAN) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     chunks = chunked(docs, chunk_bytes)
-    # as many buckets as keep one bucket's rows, from all chunks, at some megabytes
-    buckets = max(64, chunks.select("chunk").distinct().count() // 4)
-    known = merged(counted(chunks, order, buckets))
+    n_chunks, bits, levels = chunks.select("chunk").distinct().count(), fan.bit_length() - 1, 1
+    while fan**levels < n_chunks:
+        levels += 1
+    known = merged(counted(chunks, order, bits), levels, bits)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         lists: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -319,7 +374,7 @@ def scored(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES)
         kinds = [pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
 
-    parts = stored(chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, PARTS), "scores")
+    parts = stored(chunks.groupBy("chunk").cogroup(known.groupBy("src")).applyInArrow(score, PARTS), "scores")
     n_train, n_distinct = (int(x or 0) for x in parts.where("totals").agg(F.sum("n_tokens"), F.sum("n_known")).first())
     base = F.col("base") - F.col("n_tokens") * math.log10(n_train + n_distinct + 1)
     return parts.where("not totals").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

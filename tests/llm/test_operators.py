@@ -265,6 +265,15 @@ def test_language_model_does_not_depend_on_chunks(spark, folder):
     assert one == many
 
 
+@pytest.mark.parametrize("fan", [2, 4])
+def test_language_model_does_not_depend_on_levels(spark, folder, fan):
+    """Chunks whose counts meet in several levels, words and the sums of training tokens included."""
+    docs = common.table(spark, folder, "documents")
+    assert 4 < ppm.chunked(docs, 20_000).select("chunk").distinct().count()
+    flat, deep = (sorted((r.doc_id is not None, r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in ppm.scored(docs, chunk_bytes=20_000, fan=f).collect()) for f in (64, fan))
+    assert flat == deep
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
