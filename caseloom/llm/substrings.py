@@ -34,15 +34,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import brief_shuffles, bucketed, folder, map_rows, small_batches, stored, table
+from caseloom.llm.common import brief_shuffles, discard, folder, map_rows, small_batches, stored, table
 
 WIDTH, INNER = 20, 8
-FAN_OUT = 4
+#: Two runs of a level become one of the next.
+FAN_OUT = 1
 BATCHES = 2
 #: A fingerprint of more documents than this is dealt to so many parts.
 HOT, SPREAD = 5000, 64
 
 
+MANIFEST = "version bigint, place int, kind string, path string, level int, buckets int, width int"
+ENTRIES, TEXTS = "h bigint, doc_id bigint, n int", "doc_id bigint, text string"
+STARTS = "array<struct<low:int,high:int>>"
+
+
 def split_batch(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray]:
     """The words of each text, and where each text's words start when all are in one row."""
     words = [(t or b"").split() for t in texts]
@@ -107,7 +113,7 @@ def entries(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFram
         first = np.flatnonzero(new)
         yield {"h": h[first].view(np.int64), "doc_id": batch.column(0).to_numpy()[doc[first]] if len(first) else [], "n": np.diff(np.append(first, len(doc)))}
 
-    return map_rows(docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("t")), "h bigint, doc_id bigint, n int", run)
+    return map_rows(docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("t")), ENTRIES, run)
 
 
 def windows(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFrame:
@@ -170,51 +176,104 @@ def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SubstringIndex:
-    """The runs so far and the texts they came from."""
+    """Runs of fingerprints and the texts they came from, in one folder.
+
+    Every change appends a version of the manifest, a row for each table in use;
+    a table that no version after the last names is never read.  One job at a time may add.
+    """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, width: int = WIDTH, fan_out: int = FAN_OUT):
+    def __init__(self, spark: SparkSession, place: str | None = None, buckets: int | None = None, width: int = WIDTH, fan_out: int = FAN_OUT):
         self.spark, self.width, self.fan_out = spark, width, fan_out
+        self.place = place or folder(spark, "substrings")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-        self.texts: list[DataFrame] = []
-
-    def save(self, rows: DataFrame) -> str:
-        """An immutable run, bucketed and sorted by fingerprint."""
-        name = f"run_{uuid.uuid4().hex}"
-        path = folder(self.spark, "run")
+        self.version = 0
+        #: Paths of the runs with their levels, and of the texts.
+        self.runs: list[tuple[str, int]] = []
+        self.texts: list[str] = []
+        self.names: dict[str, str] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, place: str, fan_out: int = FAN_OUT) -> "SubstringIndex":
+        """The index that an earlier job left in ``place``."""
+        every = spark.read.schema(MANIFEST).json(f"{place}/manifest")
+        rows = every.join(every.agg(F.max("version").alias("version")), "version").orderBy("place").collect()
+        if not rows:
+            raise ValueError(f"no index in {place}")
+        index = cls(spark, place, rows[0].buckets, rows[0].width, fan_out)
+        index.version = rows[0].version
+        index.runs = [(r.path, r.level) for r in rows if r.kind == "run"]
+        index.texts = [r.path for r in rows if r.kind == "text"]
+        return index
+
+    def commit(self) -> None:
+        """Append a version of the manifest."""
+        self.version += 1
+        rows = [("run", p, level) for p, level in self.runs] + [("text", p, 0) for p in self.texts]
+        self.spark.createDataFrame([(self.version, i, *r, self.buckets, self.width) for i, r in enumerate(rows)], MANIFEST).coalesce(1).write.mode("append").json(f"{self.place}/manifest")
+
+    def save(self, rows: DataFrame, key: str, dealt: bool = False) -> str:
+        """An immutable table, bucketed and sorted by ``key``; ``dealt``: its buckets are the partitions of ``rows`` already."""
+        name = f"t_{uuid.uuid4().hex}"
+        path = f"{self.place}/{name}"
         with brief_shuffles(self.spark):
-            rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd").option("path", path).saveAsTable(name)
-        return name
+            (rows if dealt else rows.repartition(self.buckets, key)).write.bucketBy(self.buckets, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(name)
+        self.names[path] = name
+        return path
+
+    def table(self, path: str, key: str, columns: str) -> DataFrame:
+        """A table of the index; those of earlier jobs are made known to this session's catalog."""
+        if path not in self.names:
+            self.names[path] = f"t_{uuid.uuid4().hex}"
+            quoted = path.replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(f"create table {self.names[path]} ({columns}) using parquet clustered by ({key}) sorted by ({key}) into {self.buckets} buckets location '{quoted}'")
+        return self.spark.table(self.names[path])
+
+    def run(self, path: str) -> DataFrame:
+        return self.table(path, "h", ENTRIES)
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        old = self.runs
-        self.runs = [self.save(reduce(DataFrame.unionByName, map(self.spark.table, old)))]
-        for name in old:
-            self.spark.sql(f"drop table {name}")
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Index ``doc_id, text`` and return ``doc_id, starts``: stretches of window starts of the batch that are earlier in the index."""
-        if len(self.runs) > self.fan_out:
-            self.compact()
-        name = self.save(entries(docs, self.width))
-        new = self.spark.table(name)
+        """Merge the runs of each level that has too many; buckets meet where they lie."""
+        level = 0
+        while level <= max((at for _, at in self.runs), default=-1):
+            old = [p for p, at in self.runs if at == level]
+            if len(old) > self.fan_out:
+                both = reduce(DataFrame.unionByName, map(self.run, old)).groupBy("h", "doc_id").agg(F.sum("n").cast("int").alias("n"))
+                self.runs = [(p, at) for p, at in self.runs if at != level] + [(self.save(both, "h", dealt=True), level + 1)]
+                self.commit()
+                for path in old:
+                    discard(self.run(path))
+                    self.spark.sql(f"drop table {self.names.pop(path)}")
+            level += 1
+
+    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Index ``doc_id, text`` of ids above all earlier ones.
+
+        Returns the stored texts, and ``doc_id, starts``: stretches of window starts of the batch that are earlier in the index.
+        """
+        text = self.save(docs, "doc_id")
+        own_texts = self.table(text, "doc_id", TEXTS)
+        path = self.save(entries(own_texts, self.width), "h")
+        new, runs = self.run(path), [self.run(p) for p, _ in self.runs]
         own = new.groupBy("h").agg(F.sum("n").alias("n"))
-        past = [self.spark.table(r).join(own.select("h"), "h", "left_semi").select("h", "doc_id") for r in self.runs]
+        past = [r.join(own.select("h"), "h", "left_semi").select("h", "doc_id", F.lit(False).alias("is_new")) for r in runs]
         again = own.where("n > 1").select("h")
-        for r in self.runs:
-            again = again.unionByName(own.select("h").join(self.spark.table(r).select("h"), "h", "left_semi"))
-        held = stored(reduce(DataFrame.unionByName, [new.join(again.distinct(), "h", "left_semi").select("h", "doc_id", F.lit(True).alias("is_new")), *[p.withColumn("is_new", F.lit(False)) for p in past]]), "held")
+        for r in runs:
+            again = again.unionByName(own.select("h").join(r.select("h"), "h", "left_semi"))
+        held = stored(reduce(DataFrame.unionByName, [new.join(again.distinct(), "h", "left_semi").select("h", "doc_id", F.lit(True).alias("is_new")), *past]), "held")
+        self.runs.append((path, 0))
+        self.texts.append(text)
+        self.commit()
+        self.compact()
         often = held.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("often"))
         marked = held.join(often, "h", "left")
         wanted = marked.groupBy("doc_id").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("often"), F.col("h"))).alias("hot"), F.bool_or("is_new").alias("is_new"))
-        self.texts.append(docs)
-        texts = reduce(DataFrame.unionByName, self.texts)
+        texts = reduce(DataFrame.unionByName, [self.table(p, "doc_id", TEXTS) for p in self.texts])
         found = windows(texts.join(wanted, "doc_id").select("doc_id", F.col("text").cast("binary").alias("t"), "hs", "hot", "is_new"), self.width)
         order = ["h", "part", "doc_id", "start"]
         repeated = found.repartition("h", "part").sortWithinPartitions(*order).select(*order, "digests", "is_new").mapInArrow(later, "doc_id bigint, low int, high int")
-        self.runs.append(name)
-        return repeated.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("starts"))
+        starts = stored(repeated.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("starts")), "starts")
+        discard(held)
+        return own_texts, starts
 
 
 def kept(docs: DataFrame, starts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -241,18 +300,19 @@ def kept(docs: DataFrame, starts: DataFrame, width: int = WIDTH) -> DataFrame:
     return map_rows(joined, "doc_id bigint, n_words bigint, n_removed bigint, kept_text binary", run)
 
 
-def deduplicated(docs: DataFrame, batches: int = BATCHES, width: int = WIDTH, fan_out: int = FAN_OUT) -> DataFrame:
-    """All of ``docs`` (doc_id, text) through a fresh index, a batch of ascending ids at a time."""
-    docs = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
+def deduplicated(docs: DataFrame, batches: int = BATCHES, width: int = WIDTH, fan_out: int = FAN_OUT, index: SubstringIndex | None = None) -> DataFrame:
+    """All of ``docs`` (doc_id, text) through ``index``, or a fresh one, a batch of ascending ids at a time."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small_batches(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
-    index = SubstringIndex(docs.sparkSession, width=width, fan_out=fan_out)
-    starts = []
+    index = index or SubstringIndex(docs.sparkSession, width=width, fan_out=fan_out)
+    whole = docs.where("doc_id is null")
+    done = [kept(whole, docs.sparkSession.createDataFrame([], f"doc_id bigint, starts {STARTS}"), index.width)]
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = docs.where("doc_id is not null") if low is None else docs.where(F.col("doc_id") > low)
         part = part if high is None else part.where(F.col("doc_id") <= high)
-        starts.append(stored(index.add(part), "starts"))
-    return kept(docs, reduce(DataFrame.unionByName, starts), width)
+        done.append(kept(*index.add(part), index.width))
+    return reduce(DataFrame.unionByName, done)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -456,6 +456,21 @@ def test_substrings_over_many_batches_and_hot_passages(spark, monkeypatch):
     assert out == brute_substrings(docs)
 
 
+def test_a_later_job_opens_the_index_and_adds_to_it(spark, tmp_path):
+    """A batch a job, the second with hot merges behind it; compacted runs alone are left, and nothing changes."""
+    docs = sorted((r for r in ROWS if r["doc_id"] is not None and len(r["text"] or "") < 50_000), key=lambda r: r["doc_id"])
+    place, out = f"{tmp_path}/index", {}
+    ids = [r["doc_id"] for r in docs]
+    cuts = [ids[0] - 1, ids[len(ids) // 3], ids[2 * len(ids) // 3], ids[-1]]
+    for job, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        session = spark.newSession()
+        index = substrings.SubstringIndex.open(session, place) if job else substrings.SubstringIndex(session, place)
+        df = session.createDataFrame([(r["doc_id"], r["text"]) for r in docs if low < r["doc_id"] <= high], "doc_id long, text string")
+        out |= {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(bytes(r.kept_text)).hexdigest()) for r in substrings.deduplicated(df, batches=1, index=index).collect()}
+    assert out == brute_substrings(docs)
+    assert sorted(level for _, level in substrings.SubstringIndex.open(spark, place).runs) == [0, 1]
+
+
 def test_packing(spark, folder):
     from tokenizers import Tokenizer
 
