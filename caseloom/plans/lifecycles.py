@@ -254,7 +254,10 @@ def pending_long_chunks(t: Tables) -> DataFrame:
     return lifecycle.pending_chunks(chunks, done, ["l_orderkey", "l_linenumber", "hash"]).select("l_orderkey", "l_linenumber")
 
 
-@query()
+CALLS = "SELECT user_id, event_id, event_type = 'error' AS bad, CAST(floor(epoch(ts)) AS BIGINT) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS r FROM events"
+
+
+@query(f"WITH RECURSIVE e AS ({CALLS}), f AS (SELECT user_id, event_id, r, CASE WHEN bad THEN 'failed' ELSE 'ok' END AS outcome, CASE WHEN bad THEN sec + 3600 ELSE 0 END AS until FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.event_id, e.r, CASE WHEN sec < until THEN 'skipped' WHEN bad THEN 'failed' ELSE 'ok' END, CASE WHEN bad AND sec >= until THEN sec + 3600 ELSE until END FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1) SELECT user_id, event_id, outcome FROM f")
 def call_breaker(t: Tables) -> DataFrame:
     """Calls after a failure are skipped for an hour."""
     e = t.events.withColumn("at", F.unix_timestamp("ts"))

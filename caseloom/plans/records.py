@@ -143,16 +143,19 @@ def record_file_validation(t: Tables) -> DataFrame:
     return twice.union(t.documents.where(~C("lang").isin("en", "de", "fr")).agg(n().alias("n_rows")).select(F.lit("unknown split"), "n_rows"))
 
 
-QUOTA = "WITH z AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), l AS (SELECT max(v) AS level FROM range(0, 501) r(v) WHERE (SELECT sum(least(n, v)) FROM z) <= least(500, (SELECT sum(n) FROM z)) AND v <= (SELECT max(n) FROM z)), b AS (SELECT lang, least(n, level) AS base, n > level AS open, row_number() OVER (PARTITION BY n > level ORDER BY lang) AS place FROM z, l), q AS (SELECT lang, base + CAST(open AND place <= least(500, (SELECT sum(n) FROM z)) - (SELECT sum(base) FROM b) AS INT) AS share FROM b)"
+def shares_sql(wanted: int, most_repeats: int = 1) -> str:
+    """Water filling: ``q`` holds each language's size and share of ``wanted`` rows."""
+    enough = f"least({wanted}, (SELECT sum(room) FROM z))"
+    return f"WITH z AS (SELECT lang, count(*) AS n, {most_repeats} * count(*) AS room FROM documents GROUP BY 1), l AS (SELECT max(v) AS level FROM range(0, {wanted + 1}) r(v) WHERE (SELECT sum(least(room, v)) FROM z) <= {enough} AND v <= (SELECT max(room) FROM z)), b AS (SELECT lang, n, least(room, level) AS base, room > level AS open, row_number() OVER (PARTITION BY room > level ORDER BY lang) AS place FROM z, l), q AS (SELECT lang, n, base + CAST(open AND place <= {enough} - (SELECT sum(base) FROM b) AS INT) AS share FROM b)"
 
 
-@query(QUOTA + " SELECT lang, count(*) AS picked FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY sha1(CAST(doc_id AS VARCHAR))) AS r FROM documents) JOIN q USING (lang) WHERE r <= share GROUP BY 1")
+@query(shares_sql(500) + " SELECT lang, count(*) AS picked FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY sha1(CAST(doc_id AS VARCHAR))) AS r FROM documents) JOIN q USING (lang) WHERE r <= share GROUP BY 1")
 def balanced_pick(t: Tables) -> DataFrame:
     """500 documents, evenly by language; small languages give all they have."""
     return curation.pick_balanced(t.documents.select("doc_id", "lang"), "lang", "doc_id", 500).groupBy("lang").agg(n().alias("picked"))
 
 
-@query()
+@query(shares_sql(1200, 3) + " SELECT lang, doc_id, c AS cycle, sha1(concat(c, '|', doc_id)) AS place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha1(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents) JOIN q USING (lang), range(0, 3) t(c) WHERE r + c * n < share")
 def balanced_pick_with_repeats(t: Tables) -> DataFrame:
     return curation.pick_balanced(t.documents.select("doc_id", "lang"), "lang", "doc_id", 1200, 3).select("lang", "doc_id", "cycle", "place")
 

@@ -25,6 +25,10 @@ def laws(t: Tables, n_laws: int = 300) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(cites, "\n").alias("text"))
 
 
+#: The articles of ``laws``: ``k`` of them in each document, with their lines.
+ARTICLES = "x AS (SELECT doc_id, k, i, concat('제', i + 1, '조', CASE WHEN i = 0 THEN '(정의)' ELSE '(내용)' END, chr(10), CASE WHEN i = 0 THEN '\"the\"라 한다. ' END, ls[i + 1], CASE WHEN i % 3 = 1 THEN concat(' 제', i + 2, '조에 따른다.') END, CASE WHEN i % 7 = 4 THEN concat(' 「law ', (doc_id * 7 + i) % 300, '」 제1조에 따른다.') END, CASE WHEN i % 11 = 6 THEN concat(' 다만, 제', i, '조는 그러하지 아니하다.') END) AS line FROM (SELECT doc_id, ls, len(ls) AS k, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
+
+
 @query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_articles, CAST(len(string_split(text, chr(10))) // 3 + CAST(len(string_split(text, chr(10))) % 3 = 2 AS INT) AS BIGINT) AS cited FROM documents")
 def clause_edges(t: Tables) -> DataFrame:
     c = evidence.clause_table(laws(t))
@@ -80,7 +84,7 @@ def version_as_of(t: Tables) -> DataFrame:
     return evidence.versions(t.orders, C("o_custkey"), "o_orderkey", day, version, F.lit("1998-06-15").cast("date")).select("o_orderkey", "eligible", "warning")
 
 
-@query()
+@query(f"WITH {ARTICLES}, p AS (SELECT doc_id, i, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS after, length(line) + 1 AS size, CAST(i + 1 = k AS INT) AS last FROM x) SELECT doc_id, CAST(i AS INT) AS number, concat('제', i + 1, '조') AS key FROM p WHERE after - size < doc_id % 400 + 300 AND after - last > doc_id % 400")
 def clauses_touched(t: Tables) -> DataFrame:
     hits = t.documents.select("doc_id", (C("doc_id") % 400).cast("int").alias("start"), (C("doc_id") % 400 + 300).cast("int").alias("end"))
     return evidence.overlapping(evidence.clause_table(laws(t)), hits).select("doc_id", "number", "key")
@@ -103,7 +107,7 @@ def definition_support(t: Tables) -> DataFrame:
     return evidence.definitions(*parsed(t)).select("doc_id", "number", "by")
 
 
-@query()
+@query(f"WITH {ARTICLES}, e AS (SELECT doc_id, k, i, unnest([i + 1, CASE WHEN i % 3 = 1 THEN i + 2 END, CASE WHEN i % 11 = 6 THEN i END]) AS r FROM x), t AS (SELECT doc_id % 350 AS m, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1) SELECT doc_id, CAST(i AS INT) AS number, CAST(NULL AS VARCHAR) AS law, concat('제', r, '조') AS ref, CASE WHEN r <= k THEN doc_id END AS target, CAST(CASE WHEN r <= k THEN r - 1 END AS INT) AS target_number, CASE WHEN r > k THEN 'clause missing' END AS warning FROM e WHERE r IS NOT NULL UNION ALL SELECT doc_id, CAST(i AS INT), concat('law ', (doc_id * 7 + i) % 300), '제1조', CASE WHEN n = 1 THEN first END, CASE WHEN n = 1 THEN 0 END, CASE WHEN n = 1 THEN NULL ELSE 'law not resolved' END FROM x LEFT JOIN t ON m = (doc_id * 7 + i) % 300 WHERE i % 7 = 4")
 def reference_resolution(t: Tables) -> DataFrame:
     c = evidence.clause_table(laws(t))
     titles = t.documents.select(F.concat(F.lit("law "), (C("doc_id") % 350).cast("string")).alias("law"), "doc_id")
