@@ -41,7 +41,10 @@ def whitespace_duplicates(t: Tables) -> DataFrame:
     return dedup.first_equivalent(plain, "id", "profile", "lang")
 
 
-@query()
+SPACED = r"s AS (SELECT 2 * doc_id AS id, lang, text FROM documents UNION ALL SELECT 2 * doc_id + 1, lang, CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), ' ') WHEN 1 THEN replace(text, ' ', '  ') ELSE replace(text, ' ', '') END FROM documents), c AS (SELECT id, lang, regexp_replace(text, '\s+', '', 'g') AS compact, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM s), u AS (SELECT id, unnest(range(len(ws))) AS i, unnest(ws) AS word, unnest(gaps) AS gap FROM (SELECT id, regexp_split_to_array(t, '\s+') AS ws, regexp_extract_all(t, '\s+') AS gaps FROM c)), p AS (SELECT id, sum(length(word)) OVER (PARTITION BY id ORDER BY i) AS at_char, regexp_full_match(gap, '[ \t]*\r?\n[ \t]*') AS wrap FROM u WHERE gap IS NOT NULL)"
+
+
+@query(f"WITH {SPACED}, pairs AS (SELECT a.id AS earlier, b.id AS later FROM c a JOIN c b ON a.lang IS NOT DISTINCT FROM b.lang AND a.compact = b.compact AND a.id < b.id), sides AS (SELECT earlier, later, earlier AS x, later AS y FROM pairs UNION ALL SELECT earlier, later, later, earlier FROM pairs), bad AS (SELECT DISTINCT earlier, later FROM sides JOIN p ON p.id = x AND NOT wrap WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.id = y AND o.at_char = p.at_char)) SELECT earlier, later FROM pairs ANTI JOIN bad USING (earlier, later)")
 def whitespace_equivalent_pairs(t: Tables) -> DataFrame:
     """Pairs equal but for blanks, line wraps of native pages counting as none."""
     return dedup.equivalent_pairs(spaced(t), "id", "profile", "lang")
