@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from caseloom.llm import decontaminate, simhash
+import pyarrow.parquet as pq
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from caseloom.llm import decontaminate, packing, simhash
 from tests.test_whole import words
 
 
@@ -28,3 +33,23 @@ def test_blocks_of_the_benchmark_come_one_at_a_time(spark, monkeypatch):
     got = {r.doc_id: r["__hit"]["items"] for r in decontaminate.scanned(docs, items, max_pattern_bytes=1).collect()}
     assert got == {0: ["0"], 1: ["1"], 2: ["2"], 3: []}
     assert seen == ["drawn", "drawn", "stored", "drawn", "stored"]
+
+
+EXACT = Tokenizer.from_file(packing.default_vocabulary())
+
+
+def exact(text):
+    return EXACT.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_all_documents_are_those_of_the_vocabulary_s_own_library():
+    encoder = packing.Encoder(packing.default_vocabulary())
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    assert len(texts) >= 1000
+    assert [t[:80] for t in texts if encoder.ids(t or "") != exact(t or "")] == []
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(), st.lists(st.sampled_from(["<|endoftext|>", "'s", "'LL", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "\u200b", "1", "\u0661", "\u00b2", "e\u0301", "\ud55c", "\U0001f600", "a", "."]), max_size=30).map("".join)))
+def test_ids_of_any_text_are_those_of_the_vocabulary_s_own_library(text):
+    assert packing.Encoder.of(packing.default_vocabulary()).ids(text) == exact(text)
