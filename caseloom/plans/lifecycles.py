@@ -124,18 +124,18 @@ def best_page_extraction(t: Tables) -> DataFrame:
     return files.best_candidate(c, ["page"], "score", "rank").select("page", "score")
 
 
-@query("SELECT count(*) AS n_new FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND e.text = d.text)")
+@query("SELECT doc_id, sha256(text) AS hash FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND e.text = d.text)")
 def file_manifest(t: Tables) -> DataFrame:
     f = t.documents.select("doc_id", F.encode("text", "UTF-8").alias("content"))
     manifest = f.where("doc_id % 2 = 0").select(F.sha2("content", 256).alias("hash")).distinct()
-    return files.new_files(manifest, f.where("doc_id % 2 = 1")).agg(n().alias("n_new"))
+    return files.new_files(manifest, f.where("doc_id % 2 = 1")).select("doc_id", "hash")
 
 
-@query("SELECT count(*) AS n_lines FROM customer")
+@query("SELECT concat('name: ', c_name, ', segment: ', c_mktsegment) AS line FROM customer")
 def labelled_text_export(t: Tables) -> DataFrame:
     path = folder(t.spark, "labelled")
     t.customer.select(F.concat_ws(", ", F.concat(F.lit("name: "), "c_name"), F.concat(F.lit("segment: "), "c_mktsegment")).alias("value")).write.text(path)
-    return t.spark.read.text(path).where("value like 'name: %, segment: %'").agg(n().alias("n_lines"))
+    return t.spark.read.text(path).select(C("value").alias("line"))
 
 
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, printf('case %d of %d', o_orderkey, o_custkey) AS shaped FROM orders")
@@ -151,14 +151,14 @@ def ocr_rollup(t: Tables) -> DataFrame:
     return b.select("conv_id", F.size("b").cast("long").alias("blocks"), F.size(F.filter("b", lambda x: x["role"] == "user")).cast("long").alias("images"), F.md5(F.array_join("b.role", " ")).alias("text"))
 
 
-@query("SELECT CASE WHEN EXISTS (SELECT 1 FROM documents e WHERE e.doc_id < 500 AND e.text = d.text) OR d.doc_id > (SELECT min(doc_id) FROM documents f WHERE f.text = d.text AND f.doc_id >= 500) THEN 'skipped' ELSE 'saved' END AS outcome, count(*) AS n_rows FROM documents d WHERE doc_id >= 500 GROUP BY 1")
+@query("SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM documents e WHERE e.doc_id < 500 AND e.text = d.text) OR d.doc_id > (SELECT min(doc_id) FROM documents f WHERE f.text = d.text AND f.doc_id >= 500) THEN 'skipped' ELSE 'saved' END AS outcome FROM documents d WHERE doc_id >= 500")
 def append_unless_duplicate(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
     old, new = d.where("doc_id < 500").select("h").distinct().withColumn("known", F.lit(True)), d.where("doc_id >= 500")
     first = new.groupBy("h").agg(F.min("doc_id").alias("first"))
     j = new.join(first, "h").join(old, "h", "left")
     outcome = F.when(C("known") | (C("doc_id") > C("first")), "skipped").otherwise("saved")
-    return j.groupBy(outcome.alias("outcome")).agg(n().alias("n_rows"))
+    return j.select("doc_id", outcome.alias("outcome"))
 
 
 @query("SELECT doc_id, CAST(least(length(text), 2000) AS BIGINT) AS n_reason FROM documents WHERE n_chars > 3000")
@@ -169,13 +169,13 @@ def failure_sink(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).where(F.get_json_object("raw", "$.lang").isNotNull()).select("doc_id", F.length("reason").cast("long").alias("n_reason"))
 
 
-@query("SELECT CASE WHEN doc_id % 13 = 0 THEN 'bad' ELSE 'good' END AS part, count(*) AS n_rows FROM documents GROUP BY 1")
+@query("SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'bad' ELSE 'good' END AS part, CASE WHEN doc_id % 13 > 0 THEN md5(text) END AS digest FROM documents")
 def reference_sink_isolation(t: Tables) -> DataFrame:
     good, bad = files.split_quarantine(t.documents.select("doc_id", "text"), C("doc_id") % 13 == 0, "bad", "doc_id")
     path = folder(t.spark, "sink")
     good.write.parquet(f"{path}/part=good")
     bad.write.parquet(f"{path}/part=bad")
-    return t.spark.read.option("mergeSchema", True).parquet(path).groupBy("part").agg(n().alias("n_rows"))
+    return t.spark.read.option("mergeSchema", True).parquet(path).select("doc_id", "part", F.md5("text").alias("digest"))
 
 
 @query("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag <> 'R') AND count(*) = max(l_linenumber)")
@@ -191,13 +191,13 @@ def metrics_report(t: Tables) -> DataFrame:
     return t.spark.read.schema("lang string, mean double").json(path)
 
 
-@query("SELECT event_type, count(*) AS n_rows FROM events GROUP BY 1")
+@query("SELECT event_type, event_id AS entity, md5(props) AS details FROM events")
 def audit_append(t: Tables) -> DataFrame:
     path = folder(t.spark, "audit")
     e = t.events.select("event_type", C("event_id").alias("entity"), "props")
     e.where("entity % 2 = 0").write.parquet(path)
     e.where("entity % 2 = 1").write.mode("append").parquet(path)
-    return t.spark.read.parquet(path).groupBy("event_type").agg(n().alias("n_rows"))
+    return t.spark.read.parquet(path).select("event_type", "entity", F.md5("props").alias("details"))
 
 
 @query("SELECT count(*) AS n_files FROM documents WHERE strlen(text) <= 3000")
@@ -280,14 +280,14 @@ def history_compaction(t: Tables) -> DataFrame:
     return out.groupBy("conv_id").agg(F.count_if(C("text") == "(earlier result)").alias("stubs"))
 
 
-@query("SELECT count(DISTINCT text) AS n_rows, count(DISTINCT text) AS n_distinct FROM documents")
+@query("SELECT DISTINCT md5(text) AS digest FROM documents")
 def incremental_dedup_load(t: Tables) -> DataFrame:
     """Documents as a stream of files, each loaded once and only where its content is new."""
     source, target = folder(t.spark, "incoming"), folder(t.spark, "loaded")
     d = t.documents.select("doc_id", "text")
     d.repartition(6, "doc_id").write.parquet(source)
     loads.load_new(loads.file_stream(t.spark, source, d.schema, 2), target, folder(t.spark, "progress"), "text", "doc_id")
-    return t.spark.read.parquet(target).agg(n().alias("n_rows"), F.count_distinct("text").alias("n_distinct"))
+    return t.spark.read.parquet(target).select(F.md5("text").alias("digest"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS n_rows FROM events GROUP BY 1")
