@@ -92,7 +92,14 @@ def rule_classifier_scores(t: Tables) -> DataFrame:
     return d.select("doc_id", "rule.category", C("rule.top").cast("long").alias("top"), C("rule.margin").cast("long").alias("margin"), F.array_join("rule.reasons", ",").alias("reasons"))
 
 
-@query()
+SEEN = "substr(low, greatest(a - 25, 0) + 1, n + 24 + least(a - 1, 24))"
+LENGTHS = "CAST(coalesce(list_sum(list_transform({}, lambda x: length(x))), 0) AS BIGINT)"
+#: The first place of a word that has "the" or "ing" around it, and no "tion".
+IN_CONTEXT = rf"SELECT doc_id, category, place, weight, a, a + n AS b FROM (SELECT doc_id, category, place, weight, low, length(found[i + 1]) AS n, 1 + {LENGTHS.format('pieces[1:i + 1]')} + {LENGTHS.format('found[1:i]')} AS a FROM (SELECT *, unnest(range(len(found))) AS i FROM (SELECT doc_id, lower(text) AS low, regexp_split_to_array(lower(text), 'h\s*e\s*o\s*u') AS pieces, regexp_extract_all(lower(text), 'h\s*e\s*o\s*u') AS found FROM documents)), (SELECT category, place, weight FROM k WHERE word = 'heou')) WHERE regexp_matches({SEEN}, 'the|ing') AND NOT regexp_matches({SEEN}, 'tion') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY a) = 1"
+RULES_IN_CONTEXT = RULES.replace("WHERE m <> '')", f"WHERE m <> '' AND word <> 'heou' UNION ALL {IN_CONTEXT})")
+
+
+@query(RULES_IN_CONTEXT + f", d AS (SELECT doc_id, CASE WHEN l[1] > 0 THEN names[1] ELSE 'other' END AS category, l[1] AS top, l[1] > 0 AND (l[1] < 3 OR l[1] - l[2] < 2) AS needs_model, redacted FROM b JOIN (SELECT doc_id, {REDACT} AS redacted FROM documents) USING (doc_id)), o AS (SELECT *, CASE WHEN NOT CASE WHEN trim(redacted) = '' THEN false WHEN needs_model THEN true WHEN length(redacted) < 20 THEN false ELSE top = 0 AND length(redacted) < 80 END THEN 'skipped' WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS outcome FROM d) SELECT doc_id, category AS rule_category, needs_model, CASE outcome WHEN 'ok' THEN 'beta' ELSE category END AS category, CASE outcome WHEN 'ok' THEN 'model' WHEN 'failed' THEN 'rule after failure' ELSE 'rule' END AS evidence FROM o")
 def rule_classifier_in_context(t: Tables) -> DataFrame:
     """With allow and deny patterns around an ambiguous word; the gate for a model call and the merged decision."""
     context = {("beta", "heou"): ("the|ing", "tion")}
