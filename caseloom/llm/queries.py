@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import decontaminate, html_text, lines, packing, personal, ppm, quality, simhash, substrings, warc
+from caseloom.llm import centroids, decontaminate, divergence, html_text, lines, packing, personal, ppm, quality, simhash, substrings, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,11 @@ def queries() -> dict[str, Query]:
         "op8_simhash": simhash.op8,
         "op9_substrings": substrings.op9,
         "op10_packing": packing.op10,
+        "op11_token_counts": token_counts.op11,
+        "op12_centroids": centroids.op12,
+        "op13_divergence": divergence.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_centroids": centroids.SQL, "op13_divergence": divergence.SQL}

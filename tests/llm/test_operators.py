@@ -45,6 +45,7 @@ def write(folder, docs, pages=()):
     for name, table in (
         ("documents", pa.Table.from_pylist(docs, SCHEMA)), ("benchmark", pa.Table.from_pylist([*BENCH[:8], {"item_id": 900, "text": None}, {"item_id": 901, "text": "?!"}, {"item_id": 902, "text": "so on and"}])),
         ("pages", pa.Table.from_pylist(list(pages), pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]))),
+        ("embeddings", pa.Table.from_pylist([], pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32())]))),
     ):
         pq.write_table(table, folder / f"{name}.parquet")
     return str(folder)
