@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseloom.plans import lifecycles, records, relational, reporting, retrieval, texts  # noqa: F401  they register their queries
+from caseloom.plans import lifecycles, models, records, relational, reporting, retrieval, texts  # noqa: F401  they register their queries
 from caseloom.plans.registry import QUERIES, SQL, Query
 
 

@@ -25,6 +25,12 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked of its own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 @contextmanager
 def brief_shuffles(spark: SparkSession) -> Iterator[None]:
     """Inside, a query's shuffle files go when the query ends; what it wrote stays."""
