@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseloom.operators import lifecycle
-from caseloom.plans.registry import Tables, query
+from caseloom.plans.registry import SQL, Tables, query
 from caseloom.sources import files
 from caseloom.sources.scratch import folder, stored
-from caseloom.streaming import loads
+from caseloom.streaming import loads, state
 
 C = F.col
 n = lambda c="*": F.count(c)
@@ -299,3 +301,78 @@ def watermark_dedup(t: Tables) -> DataFrame:
     first = loads.deduplicated(loads.file_stream(t.spark, source, e.schema, 8), ["user_id", "event_type"], "ts", "60 days")
     loads.run_to_end(first, folder(t.spark, "progress"), lambda b, i: b.write.mode("overwrite").parquet(f"{target}/load={i}"))
     return t.spark.read.parquet(target).groupBy("event_type").agg(n().alias("n_rows"))
+
+
+def arriving(t: Tables, rows: DataFrame, part: Column, parts: int, last: DataFrame | None = None) -> Iterator[DataFrame]:
+    """A stream of files to which ``rows`` come in ``parts`` parts, then ``last``: given once after each, to be run to its end from where it stood."""
+    source, rows = folder(t.spark, "arriving"), stored(rows, "rows")
+    for more in [*(rows.where(part == i) for i in range(parts)), *([] if last is None else [last])]:
+        more.write.mode("append").parquet(source)
+        yield loads.file_stream(t.spark, source, rows.schema, 1000)
+
+
+def in_order(rows: DataFrame, by: Column, parts: int) -> Column:
+    """Which of ``parts`` equal stretches of ``by`` a row lies in."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    return F.floor((by - F.lit(low)) * parts / F.lit((high or 0) - (low or 0) + 1))
+
+
+def numbered(target: str) -> Callable[[DataFrame, int], None]:
+    """Write each batch into a folder of its number."""
+    return lambda batch, i: batch.write.mode("overwrite").parquet(f"{target}/load={i}")
+
+
+GAPS = "SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS beat, lead(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts) AS back FROM events"
+
+
+@query(f"SELECT user_id, beat, back FROM ({GAPS}) WHERE coalesce(back, CAST(epoch(TIMESTAMP '2024-02-02 00:00:00') AS BIGINT)) - beat > 36000")
+def silences_by_timer(t: Tables) -> DataFrame:
+    """Every silence of more than ten hours: told by timers while the stream runs, closed when the user comes back."""
+    e = t.events.select("user_id", C("ts").cast("timestamp").alias("ts"))
+    clock = t.spark.sql("select cast(null as bigint) as user_id, timestamp '2024-02-02 00:00:00' as ts")
+    target, progress = folder(t.spark, "told"), folder(t.spark, "progress")
+    for stream in arriving(t, e, in_order(e, F.unix_timestamp("ts"), 3), 3, clock):
+        state.run_keyed(state.stale_stream(stream, "user_id", "ts", 36000), progress, numbered(target))
+    found = t.spark.read.schema("user_id long, kind string, beat long, back long").parquet(target)
+    back = found.where("kind = 'back'").select("user_id", "beat", "back")
+    return found.where("kind = 'stale'").select("user_id", "beat").join(back, ["user_id", "beat"], "left")
+
+
+@query(SQL["call_breaker"])
+def breaker_by_state(t: Tables) -> DataFrame:
+    """The outcomes of ``call_breaker`` from a stream, with one number kept for each user in an open hour."""
+    e = t.events.select("user_id", "event_id", C("ts").cast("timestamp").alias("ts"), (C("event_type") == "error").alias("bad"))
+    target, progress = folder(t.spark, "outcomes"), folder(t.spark, "progress")
+    for stream in arriving(t, e, in_order(e, F.unix_timestamp("ts"), 3), 3):
+        state.run_keyed(state.breaker_stream(stream, "user_id", "event_id", "ts", "bad", 3600), progress, numbered(target))
+    return t.spark.read.parquet(target).select("user_id", "event_id", "outcome")
+
+
+@query(SQL["status_fold"])
+def status_by_state(t: Tables) -> DataFrame:
+    """The states of ``status_fold`` from a stream of events that come in order."""
+    e = C("event_type")
+    wanted = F.when(e == "click", "in progress").when(e == "view", "received").when(e == "purchase", "done").when(e == "error", "cancelled").otherwise("lost")
+    target, progress = folder(t.spark, "states"), folder(t.spark, "progress")
+    rows = t.events.select("user_id", "event_id", wanted.alias("wanted"))
+    for stream in arriving(t, rows, in_order(rows, C("event_id"), 3), 3):
+        state.run_keyed(state.status_stream(stream, "user_id", "event_id", "wanted"), progress, numbered(target))
+    last = t.spark.read.parquet(target).groupBy("user_id").agg(F.max_by(F.struct("state", "rejected"), "last").alias("s"))
+    return last.select("user_id", "s.*")
+
+
+ROOM, SPARE, LOADS = 500, 20, 5
+KEPT = "l[1:len(l) - CASE WHEN len(l) + len(n) - {0} > 0 THEN least(len(l), greatest(len(l) + len(n) - {0}, CASE WHEN len(n) > {1} THEN len(n) + {1} ELSE {1} END)) ELSE 0 END]".format(ROOM, SPARE)
+
+
+@query(
+    f"WITH RECURSIVE b AS (SELECT event_id % {LOADS} AS k, list(event_id ORDER BY event_id) AS n FROM events GROUP BY 1), "
+    f"s AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS l UNION ALL SELECT s.k + 1, CASE WHEN len(m) > {ROOM} THEN m[1:{ROOM - SPARE}] ELSE m END FROM (SELECT s.k, list_sort(list_concat({KEPT}, n)) AS m FROM s JOIN b ON b.k = s.k) s) "
+    f"SELECT unnest(l) AS event_id FROM s WHERE k = {LOADS}"
+)
+def retention_in_load(t: Tables) -> DataFrame:
+    """Five loads into a table that holds 500 rows: room is made among the newest rows before each."""
+    target, progress = folder(t.spark, "kept"), folder(t.spark, "progress")
+    for stream in arriving(t, t.events.select("event_id", "user_id"), C("event_id") % LOADS, LOADS):
+        loads.retain(stream, target, progress, ["event_id"], ROOM, SPARE)
+    return loads.retained(t.spark, target).select("event_id")
