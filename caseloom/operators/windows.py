@@ -92,13 +92,6 @@ def averaged(alpha: float) -> tuple[Callable, Callable]:
     return lambda: (False, None), step
 
 
-def moving_average(rows: DataFrame, key: str, order: str, value: str, alpha: float, into: str) -> DataFrame:
-    """Exponential moving average of each key's values; a key's values are one array."""
-    fold = lambda a, x: F.when(a.isNull(), x).otherwise(alpha * x + (1 - alpha) * a)
-    values = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value])
-    return rows.groupBy(key).agg(F.aggregate(values, F.lit(None).cast("double"), fold).alias(into))
-
-
 def running_average(rows: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
     """The moving average after each row."""
     types = dict(rows.dtypes)

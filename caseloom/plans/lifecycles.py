@@ -288,7 +288,7 @@ def incremental_dedup_load(t: Tables) -> DataFrame:
     source, target = folder(t.spark, "incoming"), folder(t.spark, "loaded")
     d = t.documents.select("doc_id", "text")
     d.repartition(6, "doc_id").write.parquet(source)
-    loads.load_new(loads.file_stream(t.spark, source, d.schema, 2), target, folder(t.spark, "progress"), "text", "doc_id")
+    loads.load_new(loads.file_stream(t.spark, source, d.schema, 2), target, folder(t.spark, "progress"), "text", "doc_id", buckets=16)
     return t.spark.read.parquet(target).select(F.md5("text").alias("digest"))
 
 

@@ -24,9 +24,6 @@ def content_dedup_first(t: Tables) -> DataFrame:
     return dedup.first_of_each(t.documents.select("doc_id", "text"), ["text"], "doc_id").select("doc_id")
 
 
-SPACED = "SELECT doc_id, lang, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), ' ') ELSE replace(text, ' ', '  ') END AS text FROM documents"
-
-
 def spaced(t: Tables) -> DataFrame:
     """Documents and, beside each, itself with other white space."""
     d = t.documents.select("doc_id", "lang", "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import random
 
 import numpy as np
 import pandas as pd
@@ -211,3 +212,30 @@ def test_byte_pieces_fit_and_are_as_long_as_they_can_be(t, most):
     size = lambda x: len(json.dumps(x, ensure_ascii=False).encode()) - 2
     pieces = list(fc.byte_pieces(t, most))
     assert all(size(p) <= most for p in pieces) and all(size(p + q[0]) > most for p, q in zip(pieces, pieces[1:]))
+
+
+def test_sets_meet_in_one_cell_whatever_the_blocks(spark, tmp_path):
+    r = random.Random(17)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(3, 160))) for _ in range(30)]
+    texts = base + [t[: len(t) * 9 // 10] + "xyz" for t in base] + [t.replace("a", "e", 1) for t in base] + ["ab", "a", "", None, base[0], base[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: frozenset(c[k : k + 3] for k in range(max(1, len(c) - 2))) for i, t in enumerate(texts) for c in [" ".join((t or "").split())]}
+    heads = {}
+    for i, s in sorted(sets.items()):
+        heads.setdefault(s, i)
+    want = {(heads[s], i, len(s), len(s)) for i, s in sets.items() if heads[s] != i}
+    want |= {(a, b, len(x & y), len(x | y)) for x, a in heads.items() for y, b in heads.items() if a < b and 100 * len(x & y) >= 72 * len(x | y)}
+    assert len(want) > 30
+    for block in (2, 7, 1000):
+        got = [tuple(x) for x in dedup.near_pairs(docs, "doc_id", "text", 72, 100, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_earliest_equivalents_come_from_class_heads(spark):
+    r = random.Random(4)
+    forms = ["a b c", "a  b c", "ab c", "a\nb c", "x y", "xy", "x\ny", "z"]
+    rows = [(i, r.choice("st"), r.choice(forms)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, scope string, text string").withColumn("profile", text.identity(F.col("text"), F.lit(True)))
+    pairs = dedup.equivalent_pairs(df, "id", "profile", "scope").groupBy("later").agg(F.min("earlier").alias("m"))
+    got = dedup.first_equivalent(df, "id", "profile", "scope")
+    assert {tuple(x) for x in got.select("id", "duplicate_of").collect()} == {tuple(x) for x in pairs.collect()}
