@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseloom.operators import evidence
+from caseloom.operators.vector_index import VectorIndex
 from caseloom.plans.registry import Tables, query
 from caseloom.sources.scratch import stored
 
@@ -74,6 +75,14 @@ def eligible_topk_then_join(t: Tables) -> DataFrame:
     return top.join(t.documents.select(C("doc_id").alias("vec_id"), "lang"), "vec_id").select("query_id", "vec_id", "lang")
 
 
+@query(f"SELECT q.vec_id AS query_id, r.vec_id AS vec_id, round({COS}, 5) AS score FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, r.vec_id) <= 5")
+def vector_topk_by_index(t: Tables) -> DataFrame:
+    """The rows of ``vector_topk`` through an index that visits only rings whose bound allows it."""
+    index = VectorIndex(t.embeddings, "vec_id", "embedding", 64)
+    q = t.embeddings.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), "embedding")
+    return index.top_k(q, "query_id", 5).select("query_id", "vec_id", F.round("score", 5).alias("score"))
+
+
 VERSIONS = "SELECT o_orderkey, o_custkey AS g, CASE WHEN o_orderkey % 5 > 0 THEN CAST(date_trunc('month', o_orderdate) AS DATE) END AS d, CASE WHEN o_custkey % 3 = 0 THEN 'v1' ELSE o_orderstatus END AS v FROM orders"
 
 
