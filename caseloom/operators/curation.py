@@ -79,17 +79,29 @@ def pick_balanced(rows: DataFrame, kind: str, key: str, wanted: int, most_repeat
     """``wanted`` rows, evenly by kind, in SHA-1 order of their keys, repeated where a kind is short.
 
     Picks of a larger number begin with those of a smaller one, kind by kind.
+
+    No kind is sorted: a histogram of the leading bits of the hashes says in
+    which of 65,536 stretches the last pick of a kind lies, what comes before
+    is taken as it is, and only that stretch is ranked.
     """
     sizes = {r[0]: r[1] for r in rows.groupBy(kind).count().collect()}
     shares = quota(sizes, wanted, most_repeats)
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(k, sizes[k], n) for k, n in shares.items()] or [("", 0, 0)], f"{kind} {dict(rows.dtypes)[kind]}, __size long, __share long")
-    rank = F.row_number().over(W.partitionBy(kind).orderBy(F.sha1(F.col(key).cast("string")), key)) - 1
-    # row r of a kind is taken in rounds 0, 1, ... while r + round * size lies below the share
-    times = F.ceil((F.col("__share") - F.col("__rank")) / F.col("__size"))
-    ranked = rows.join(F.broadcast(table), kind).withColumn("__rank", rank).where("__rank < __share")
-    each = ranked.withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
-    return each.withColumn("place", F.sha1(F.concat_ws("|", F.col("cycle").cast("string"), F.col(key).cast("string")))).drop("__size", "__share", "__rank")
+    # every row of a kind is taken in ``__whole`` rounds, and the first ``__more`` of them once again
+    plan = [(k, n // sizes[k], n % sizes[k]) for k, n in shares.items()]
+    table = rows.sparkSession.createDataFrame(plan, f"{kind} {dict(rows.dtypes)[kind]}, __whole long, __more long")
+    hashed = rows.withColumn("__sha", F.sha1(F.col(key).cast("string"))).withColumn("__lead", F.conv(F.substring("__sha", 1, 4), 16, 10).cast("int"))
+    lead = hashed.groupBy(kind, "__lead").count()
+    before = F.coalesce(F.sum("count").over(W.partitionBy(kind).orderBy("__lead").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cuts = lead.withColumn("__before", before).join(F.broadcast(table), kind).where((F.col("__before") <= F.col("__more")) & (F.col("__more") < F.col("__before") + F.col("count")))
+    cuts = cuts.select(kind, "__whole", "__more", "__before", F.col("__lead").alias("__cut"))  # a row a kind
+    near = hashed.join(F.broadcast(cuts), kind).where((F.col("__whole") > 0) | (F.col("__lead") <= F.col("__cut")))
+    at_cut = F.col("__lead") == F.col("__cut")
+    rank = F.row_number().over(W.partitionBy(kind).orderBy("__sha", key)) - 1
+    ranked = near.where(at_cut).withColumn("__once", F.col("__before") + rank < F.col("__more"))
+    others = near.where(~at_cut).withColumn("__once", F.col("__lead") < F.col("__cut"))
+    taken = ranked.unionByName(others).withColumn("__times", F.col("__whole") + F.col("__once").cast("long")).where("__times > 0")
+    each = taken.withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
+    return each.select(*rows.columns, "cycle", F.sha1(F.concat_ws("|", F.col("cycle").cast("string"), F.col(key).cast("string"))).alias("place"))
 
 
 def capped_per_group(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:

@@ -18,6 +18,8 @@ from caseloom.sources.scratch import stored
 CLAUSES = "doc_id bigint, number int, key string, heading string, start int, end int, internal array<string>, external array<struct<law:string,key:string>>, exception boolean"
 #: Limits of one walk: clauses, sources, hops to other laws, look-ups of laws.
 MOST_CLAUSES, MOST_SOURCES, HOPS, LOOKUPS = 96, 16, 3, 32
+#: Characters of a stretch in which clauses and hits meet.
+WIDTH = 2048
 #: Queries of a block of the vector search, and rows that are scored against them at once.
 QUERIES, SLICE = 2000, 1000
 DEFINITION, TERM = r"\((?:정의|적용\s*범위|적용\s*제외)\)", r"[\"“]([^\"”]{1,50})[\"”]"
@@ -137,10 +139,20 @@ def versions(rows: DataFrame, group: Column, key: str, day: Column, version: Col
     return j.withColumn("warning", warning).withColumn("eligible", F.coalesce(eligible, F.lit(False))).drop(*[c for c in j.columns if c.startswith("__")])
 
 
-def overlapping(clause_rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Clauses that a span of their document touches."""
-    h = hits.select("doc_id", F.col("start").alias("__a"), F.col("end").alias("__b"))
-    return clause_rows.join(h, "doc_id").where((F.col("start") < F.col("__b")) & (F.col("end") > F.col("__a"))).drop("__a", "__b")
+def overlapping(clause_rows: DataFrame, hits: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Clauses that a span of their document touches, a row for each such span; other columns of ``hits`` come along.
+
+    Spans meet by document and stretch of ``width`` characters, so a long
+    document with many hits is many small joins.  A pair belongs to the stretch
+    in which the later of the two begins, and is found there alone.
+    """
+    more = [c for c in hits.columns if c not in ("doc_id", "start", "end")]
+    stretch = lambda c: F.floor(c / F.lit(width)).cast("int")
+    over = lambda a, b: F.explode(F.sequence(stretch(a), stretch(F.greatest(a, b - 1))))
+    h = hits.select("doc_id", F.col("start").alias("__a"), F.col("end").alias("__b"), *more).withColumn("__at", over(F.col("__a"), F.col("__b")))
+    c = clause_rows.withColumn("__at", over(F.col("start"), F.col("end")))
+    touch = (F.col("start") < F.col("__b")) & (F.col("end") > F.col("__a")) & (F.col("__at") == stretch(F.greatest("start", "__a")))
+    return c.join(h, ["doc_id", "__at"]).where(touch).select(*clause_rows.columns, *more)
 
 
 def edges(clause_rows: DataFrame) -> DataFrame:

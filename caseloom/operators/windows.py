@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+
+from caseloom.operators.running import Fold, folded, running_total
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -26,15 +23,14 @@ def reciprocal_rank_fusion(lists: dict[str, DataFrame], key: str, score: str, pe
     return every.groupBy(*per, key).agg(F.sum("__s").alias("fused"))
 
 
-def budgeted_prefix(rows: DataFrame, keys: list[str], order: list[Column], cost: str, budget: int) -> DataFrame:
-    """Rows in order while their costs fit together; the first overflow ends the list."""
-    running = F.sum(cost).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return rows.withColumn("used", running).where(F.col("used") <= budget)
+def budgeted_prefix(rows: DataFrame, keys: list[str], order: list[Column], cost: str, budget: int, slices: int | None = None) -> DataFrame:
+    """Rows in ascending order while their costs fit together; the first overflow ends the list."""
+    return running_total(rows, keys, order, F.col(cost), "used", slices).where(F.col("used") <= budget)
 
 
-def batches(rows: DataFrame, order: list[Column], size: int, per: list[str]) -> DataFrame:
-    """Numbers of fixed-size batches within each group."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*per).orderBy(*order)) - 1) / size))
+def batches(rows: DataFrame, order: list[Column], size: int, per: list[str], slices: int | None = None) -> DataFrame:
+    """Numbers of fixed-size batches within each group, rows in ascending order."""
+    return running_total(rows, per, order, F.lit(1), "batch", slices).withColumn("batch", F.floor((F.col("batch") - 1) / size))
 
 
 def purge_size(total: Column, incoming: Column, capacity: int = 10_000, buffer: int = 100) -> Column:
@@ -49,51 +45,39 @@ def length_buckets(rows: DataFrame, key: Column, length: str, chunk: int) -> Dat
     return spread.withColumn("place", F.row_number().over(W.partitionBy("chunk").orderBy(F.desc(length), key)))
 
 
-def folded(rows: DataFrame, key: str, order: list[str], schema: str, start: Callable, step: Callable, each: bool) -> DataFrame:
-    """Rows of each key run through ``step`` in the order of the columns, one key's state in memory at a time.
+class Average(Fold):
+    """Exponential moving average over (order, value); state is whether it has begun, and its value.
 
-    ``step(state, *values)`` gives the next state and a tuple to put out beside
-    the key: one of each row, or the last one of each key.  ``schema`` has the key first.
+    A stretch turns a value a into decay * a + sum, or begins an average of its own.
     """
-    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun, now, state, last = False, None, None, None
-        for batch in batches:
-            out = []
-            for k, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not begun or k != now:
-                    if begun and not each:
-                        out.append((now, *last))
-                    begun, now, state = True, k, start()
-                state, last = step(state, *values)
-                if each:
-                    out.append((k, *last))
-            yield packed(out)
-        if begun and not each:
-            yield packed([(now, *last)])
-
-    def packed(out: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
-
-    columns = [key, *order]
-    return rows.select(*columns).repartition(key).sortWithinPartitions(*columns).mapInArrow(run, schema)
-
-
-def averaged(alpha: float) -> tuple[Callable, Callable]:
-    """Start and step of an exponential moving average over (order, value)."""
-
-    def step(state: tuple, at: object, x: float | None) -> tuple[tuple, tuple]:
+
+    def __init__(self, alpha: float):
+        self.alpha = alpha
+
+    def start(self) -> list:
+        return [False, None]
+
+    def step(self, state: list, at: object, x: float | None) -> tuple[list, tuple]:
         begun, a = state
-        a = x if not begun else None if a is None or x is None else alpha * x + (1 - alpha) * a
-        return (True, a), (at, a)
+        a = x if not begun else None if a is None or x is None else self.alpha * x + (1 - self.alpha) * a
+        return [True, a], (at, a)
+
+    def nothing(self) -> list:
+        return [1.0, 0.0, self.start()]
 
-    return lambda: (False, None), step
+    def extend(self, held: list, at: object, x: float | None) -> list:
+        decay, total, own = held
+        gone = decay is None or x is None
+        return [None if gone else decay * (1 - self.alpha), None if gone else self.alpha * x + (1 - self.alpha) * total, self.step(own, at, x)[0]]
+
+    def apply(self, summary: list, state: list) -> list:
+        decay, total, own = summary
+        begun, a = state
+        return own if not begun else [True, None if a is None or decay is None else decay * a + total]
 
 
-def running_average(rows: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
-    """The moving average after each row."""
+def running_average(rows: DataFrame, key: str, order: str, value: str, alpha: float, slices: int | None = None) -> DataFrame:
+    """The moving average after each row; no key's rows are one task's."""
     types = dict(rows.dtypes)
     flat = rows.withColumn(value, F.col(value).cast("double"))
-    return folded(flat, key, [order, value], f"`{key}` {types[key]}, `{order}` {types[order]}, average double", *averaged(alpha), each=True)
+    return folded(flat, key, [order, value], Average(alpha), f"`{key}` {types[key]}, `{order}` {types[order]}, average double", each=True, slices=slices)

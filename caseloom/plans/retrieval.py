@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caseloom.functions import tables
 from caseloom.operators import evidence
+from caseloom.operators.running import running_total
 from caseloom.operators.vector_index import VectorIndex
-from caseloom.plans.registry import Tables, query
+from caseloom.plans.registry import SQL, Tables, query
 from caseloom.sources.scratch import stored
 
 C = F.col
@@ -37,6 +39,26 @@ def clause_edges(t: Tables) -> DataFrame:
     return c.groupBy("doc_id").agg(n().alias("n_articles"), F.sum((own > 0).cast("long")).alias("cited"))
 
 
+@query(SQL["clause_edges"])
+def clause_edges_in_sql(t: Tables) -> DataFrame:
+    """The rows of ``clause_edges``, asked in SQL alone."""
+    tables.register(t.spark)
+    laws(t).createOrReplaceTempView("laws_of_documents")
+    return t.spark.sql("""
+        SELECT doc_id, count(*) AS n_articles, count_if(array_contains(c.internal, concat('제', c.number + 2, '조'))) AS cited
+        FROM laws_of_documents d, LATERAL clauses_of(d.text) c GROUP BY doc_id""")
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n_tokens, md5(text) AS digest FROM documents WHERE text <> ''")
+def chunks_in_sql(t: Tables) -> DataFrame:
+    """Chunks of at most 500 characters, asked in SQL alone: put together again they are the text."""
+    tables.register(t.spark)
+    t.documents.createOrReplaceTempView("documents_to_cut")
+    return t.spark.sql("""
+        SELECT doc_id, sum(c.tokens) AS n_tokens, md5(array_join(transform(array_sort(collect_list(struct(c.chunk, c.content))), x -> x.content), '')) AS digest
+        FROM documents_to_cut d, LATERAL chunks_of(d.text, 500, 'characters') c GROUP BY doc_id HAVING max(c.tokens) <= 500""")
+
+
 @query("SELECT doc_id, n_chars <= 3000 AS single, true AS proven FROM documents")
 def span_proof(t: Tables) -> DataFrame:
     """Chunks of at most 400 words cover every character of every document once."""
@@ -99,6 +121,15 @@ def clauses_touched(t: Tables) -> DataFrame:
     return evidence.overlapping(evidence.clause_table(laws(t)), hits).select("doc_id", "number", "key")
 
 
+@query(f"WITH {ARTICLES}, p AS (SELECT doc_id, i, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS after, length(line) + 1 AS size, CAST(i + 1 = k AS INT) AS last FROM x), h AS (SELECT doc_id, CAST(unnest(range(doc_id % 100, length(text), 170)) AS INT) AS a FROM documents) SELECT doc_id, CAST(i AS INT) AS number, a AS hit FROM p JOIN h USING (doc_id) WHERE after - size < a + 90 AND after - last > a")
+def clauses_under_many_hits(t: Tables) -> DataFrame:
+    """Every clause that any of a document's hits touches; long documents have hundreds of both."""
+    starts = F.sequence(C("doc_id") % 100, F.length("text").cast("long") - 1, F.lit(170).cast("long"))
+    a = t.documents.where(F.length("text") > C("doc_id") % 100).select("doc_id", F.explode(starts).alias("at"))
+    hits = a.select("doc_id", C("at").cast("int").alias("start")).select("doc_id", "start", (C("start") + 90).alias("end"), C("start").alias("hit"))
+    return evidence.overlapping(evidence.clause_table(laws(t)), hits).select("doc_id", "number", "hit")
+
+
 @query("WITH x AS (SELECT doc_id, k, unnest(range(k)) AS i FROM (SELECT doc_id, len(string_split(text, chr(10))) AS k FROM documents)) SELECT doc_id, CAST(i - 1 AS INT) AS number, CAST(i AS INT) AS back FROM x WHERE i % 11 = 6 UNION ALL SELECT doc_id, CAST(i + 1 AS INT), CAST(i AS INT) FROM x WHERE i % 11 = 6 AND i % 3 = 1 AND i + 1 < k")
 def exception_backlinks(t: Tables) -> DataFrame:
     return evidence.backlinks(evidence.clause_table(laws(t)))
@@ -136,5 +167,5 @@ def citation_walk(t: Tables) -> DataFrame:
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, n_chars, sum(n_chars) FILTER (n_chars > 500) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE n_chars <= 500 OR used <= 8192")
 def final_budget(t: Tables) -> DataFrame:
     """Long records share a budget in order; short ones always stay."""
-    used = F.sum(F.when(C("n_chars") > 500, C("n_chars"))).over(W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return t.documents.withColumn("used", used).where((C("n_chars") <= 500) | (C("used") <= 8192)).select("source", "doc_id")
+    used = running_total(t.documents.select("source", "doc_id", "n_chars"), ["source"], [C("doc_id")], F.when(C("n_chars") > 500, C("n_chars")), "used")
+    return used.where((C("n_chars") <= 500) | (C("used") <= 8192)).select("source", "doc_id")
