@@ -8,17 +8,20 @@ The automaton holds at most ``max_pattern_bytes`` of patterns.  A larger
 benchmark is scanned in blocks of items, each with an automaton of its own, and
 the hits of all blocks are united, so nothing is left out at any size.
 
-Defined cases.  A null or empty text has no words and no hits.  Items without
+Defined cases.  A null or empty text has no words and no hits.  A table without
+documents gives no rows.  Items without
 words match nothing.  Rows that repeat an item_id are one item with the windows
 of all of them; items without an id are one item with an empty one.  Repeated
 documents are each judged.  An empty benchmark leaves every document clean.
 Overlapping occurrences all count.  A text is scanned as a whole.  ``__hit`` may
-not be a column of the documents; all other names may.
+not be a column of the documents, and ends the job with a clear error; all other
+names may.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import ahocorasick
 import numpy as np
@@ -139,6 +142,8 @@ def scanned(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     found_kind = to_arrow_schema(T.StructType.fromDDL(f"h {RANGES}")).field(0).type
     context = docs.sparkSession.sparkContext
     own, past, now = docs.columns, [], docs
+    if "__hit" in own:
+        raise ValueError("documents have a column __hit already")
     every = blocks(items, item_id, item_text, width, max_pattern_bytes)
     block = next(every, [])
     for following in every:
@@ -148,7 +153,7 @@ def scanned(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
             hits = [shared.value.hits(words_of(t)) for t in texts]
             return [pa.array([{"found": [{"a": a, "n": n} for a, n, _ in h], "items": sorted({i for x in h for i in x[2]})} for h in hits], found_kind)]
 
-        past.append(f"__found{len(past)}")
+        past.append(next(x for i in count(len(past)) if (x := f"__found{i}") not in own and x not in past))
         now = stored(add_columns(now, text, f"{past[-1]} {RANGES}", collect), "hits")
         shared.destroy()
         block = following

@@ -13,10 +13,11 @@ their words.  When more than ``fan_out`` runs have gathered, they are merged int
 
 A document's words are removed if a window over them starts earlier in the
 index's order (smaller doc_id, or the same document further up).  Batches come
-in ascending order of doc_id.
+in ascending order of doc_id, and one that doesn't is refused.
 
 Defined cases.  A null or empty text has no words.  Texts shorter than a window
-are kept whole.  Rows that repeat a doc_id are one document.  Documents with a
+are kept whole, very long ones are handled whole.  Equal windows of one document
+go by their place.  Columns beside doc_id and text are not read.  Rows that repeat a doc_id are one document.  Documents with a
 null doc_id are kept whole and witness nothing.  An empty table gives an empty
 result.
 """
@@ -44,7 +45,7 @@ BATCHES = 2
 HOT, SPREAD = 5000, 64
 
 
-MANIFEST = "version bigint, place int, kind string, path string, level int, buckets int, width int"
+MANIFEST = "version bigint, place int, kind string, path string, level int, buckets int, width int, last bigint"
 ENTRIES, TEXTS = "h bigint, doc_id bigint, n int", "doc_id bigint, text string"
 STARTS = "array<struct<low:int,high:int>>"
 
@@ -191,6 +192,8 @@ class SubstringIndex:
         self.runs: list[tuple[str, int]] = []
         self.texts: list[str] = []
         self.names: dict[str, str] = {}
+        #: The greatest id so far.
+        self.last: int | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, place: str, fan_out: int = FAN_OUT) -> "SubstringIndex":
@@ -200,7 +203,7 @@ class SubstringIndex:
         if not rows:
             raise ValueError(f"no index in {place}")
         index = cls(spark, place, rows[0].buckets, rows[0].width, fan_out)
-        index.version = rows[0].version
+        index.version, index.last = rows[0].version, rows[0].last
         index.runs = [(r.path, r.level) for r in rows if r.kind == "run"]
         index.texts = [r.path for r in rows if r.kind == "text"]
         return index
@@ -209,7 +212,7 @@ class SubstringIndex:
         """Append a version of the manifest."""
         self.version += 1
         rows = [("run", p, level) for p, level in self.runs] + [("text", p, 0) for p in self.texts]
-        self.spark.createDataFrame([(self.version, i, *r, self.buckets, self.width) for i, r in enumerate(rows)], MANIFEST).coalesce(1).write.mode("append").json(f"{self.place}/manifest")
+        self.spark.createDataFrame([(self.version, i, *r, self.buckets, self.width, self.last) for i, r in enumerate(rows)], MANIFEST).coalesce(1).write.mode("append").json(f"{self.place}/manifest")
 
     def save(self, rows: DataFrame, key: str, dealt: bool = False) -> str:
         """An immutable table, bucketed and sorted by ``key``; ``dealt``: its buckets are the partitions of ``rows`` already."""
@@ -246,12 +249,18 @@ class SubstringIndex:
             level += 1
 
     def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Index ``doc_id, text`` of ids above all earlier ones.
+        """Index ``doc_id, text`` of ids above all earlier ones; a batch with a lower id is refused.
 
         Returns the stored texts, and ``doc_id, starts``: stretches of window starts of the batch that are earlier in the index.
         """
         text = self.save(docs, "doc_id")
         own_texts = self.table(text, "doc_id", TEXTS)
+        least, greatest = own_texts.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if None not in (least, self.last) and least <= self.last:
+            discard(own_texts)
+            self.spark.sql(f"drop table {self.names.pop(text)}")
+            raise ValueError(f"the index has documents up to {self.last}: a batch with document {least} cannot follow")
+        self.last = self.last if greatest is None else greatest
         path = self.save(entries(own_texts, self.width), "h")
         new, runs = self.run(path), [self.run(p) for p, _ in self.runs]
         own = new.groupBy("h").agg(F.sum("n").alias("n"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from caseloom.llm import decontaminate, packing, simhash
+from caseloom.llm import decontaminate, packing, simhash, substrings
 from tests.test_whole import words
 
 
@@ -53,3 +54,27 @@ def test_ids_of_all_documents_are_those_of_the_vocabulary_s_own_library():
 @given(st.one_of(st.text(), st.lists(st.sampled_from(["<|endoftext|>", "'s", "'LL", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "\u200b", "1", "\u0661", "\u00b2", "e\u0301", "\ud55c", "\U0001f600", "a", "."]), max_size=30).map("".join)))
 def test_ids_of_any_text_are_those_of_the_vocabulary_s_own_library(text):
     assert packing.Encoder.of(packing.default_vocabulary()).ids(text) == exact(text)
+
+
+def test_columns_of_any_name_come_along(spark):
+    items = spark.createDataFrame([(i, words(40 + i, 14)) for i in range(3)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, words(40 + i, 14), "mine", "too") for i in range(4)], "doc_id long, text string, __found0 string, __found2 string")
+    got = decontaminate.scanned(docs, items, max_pattern_bytes=1)
+    assert got.columns == [*docs.columns, "__hit"]
+    assert {r.doc_id: (r["__found0"], r["__found2"], r["__hit"]["items"]) for r in got.collect()} == {0: ("mine", "too", ["0"]), 1: ("mine", "too", ["1"]), 2: ("mine", "too", ["2"]), 3: ("mine", "too", [])}
+    with pytest.raises(ValueError, match="__hit"):
+        decontaminate.scanned(docs.withColumnRenamed("__found0", "__hit"), items)
+
+
+def test_a_batch_of_lower_ids_is_refused(spark, tmp_path):
+    text = words(50, 60)
+    rows = lambda *ids: spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")
+    index = substrings.SubstringIndex(spark, str(tmp_path / "index"), 4)
+    index.add(rows(10))
+    with pytest.raises(ValueError, match="up to 10: a batch with document 5"):
+        index.add(rows(5, 12))
+    again = substrings.SubstringIndex.open(spark, str(tmp_path / "index"))
+    with pytest.raises(ValueError, match="up to 10"):
+        again.add(rows(10))
+    _, starts = again.add(rows(11))
+    assert [r.doc_id for r in starts.collect()] == [11] and substrings.SubstringIndex.open(spark, str(tmp_path / "index")).last == 11
