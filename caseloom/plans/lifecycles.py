@@ -46,15 +46,15 @@ def csv_oversize_quarantine(t: Tables) -> DataFrame:
     return good.select(F.lit("kept").alias("outcome")).unionByName(bad.select(C("kind").alias("outcome"))).groupBy("outcome").agg(n().alias("n_rows"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE c_mktsegment END AS segment, CAST(CASE c_custkey % 3 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS n_extra FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE c_mktsegment END AS segment, CAST(CASE c_custkey % 3 WHEN 1 THEN 2 + c_custkey % 40 ELSE 0 END AS BIGINT) AS n_extra FROM customer")
 def csv_width_reconcile(t: Tables) -> DataFrame:
     """Records that are short, wide and just right."""
     k = C("c_custkey") % 3
-    lines = F.concat_ws(",", C("c_custkey").cast("string"), F.when(k > 0, C("c_mktsegment")), F.when(k == 1, "x"), F.when(k == 1, "y"))
+    lines = F.concat_ws(",", C("c_custkey").cast("string"), F.when(k > 0, C("c_mktsegment")), F.when(k == 1, "x"), F.when(k == 1, "y"), F.when((k == 1) & (C("c_custkey") % 40 > 0), F.array_join(F.array_repeat(F.lit("\"z, \"\"z\""), (C("c_custkey") % 40).cast("int")), ",")))
     path = folder(t.spark, "ragged")
     t.customer.select(lines.alias("value")).write.text(path)
     rows = t.spark.read.schema("c_custkey string, segment string, _corrupt string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").csv(path)
-    out = files.surplus(rows, ["c_custkey", "segment"], 4)
+    out = files.surplus(rows, ["c_custkey", "segment"])
     return out.select(C("c_custkey").cast("long").alias("c_custkey"), "segment", F.size("extra").cast("long").alias("n_extra"))
 
 

@@ -123,7 +123,7 @@ def chat_record_rules(t: Tables) -> DataFrame:
 
 def analyses(t: Tables) -> DataFrame:
     k = C("doc_id") % 6
-    words = F.split(F.left("text", F.lit(200)), r"\s+")
+    words = F.split("text", r"\s+", 2)
     out = F.struct(
         F.when(k == 0, F.left("text", F.lit(25))).otherwise(F.left("text", F.lit(15))).alias("title"), F.when(k == 1, "about 987654321 things").otherwise(F.left("text", F.lit(40))).alias("summary"),
         F.when(k == 2, F.array(F.lit(" "))).otherwise(F.array(F.lit("point"))).alias("key_points"), F.when(k == 3, "none").otherwise(C("lang")).alias("category"),

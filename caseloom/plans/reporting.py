@@ -256,9 +256,11 @@ def fixed_size_batches(t: Tables) -> DataFrame:
     return windows.batches(t.documents, [C("doc_id")], 100, ["lang"]).groupBy("lang", "batch").agg(n().alias("n_rows"), F.min("doc_id").alias("first_id"))
 
 
-@query("SELECT doc_id, chunk, row_number() OVER (PARTITION BY chunk ORDER BY n_chars DESC, CAST(doc_id AS VARCHAR)) AS place FROM (SELECT doc_id, n_chars, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 16 AS chunk FROM documents)")
+@query("SELECT doc_id, chunk, row_number() OVER (PARTITION BY chunk ORDER BY n_chars DESC, CAST(doc_id AS VARCHAR)) AS place FROM (SELECT doc_id, n_chars, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT 1 + count(*) // 200 FROM documents) AS chunk FROM documents)")
 def length_buckets(t: Tables) -> DataFrame:
-    return windows.length_buckets(t.documents, C("doc_id").cast("string"), "n_chars", 16).select("doc_id", "chunk", C("place").cast("long").alias("place"))
+    """Chunks of some 200 documents, so their number grows with the table."""
+    chunks = 1 + t.documents.count() // 200
+    return windows.length_buckets(t.documents, C("doc_id").cast("string"), "n_chars", chunks).select("doc_id", "chunk", C("place").cast("long").alias("place"))
 
 
 @query("WITH RECURSIVE s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), e AS (SELECT user_id, event_id, r, value AS a FROM s WHERE r = 1 UNION ALL SELECT s.user_id, s.event_id, s.r, 0.3 * s.value + 0.7 * e.a FROM e JOIN s ON s.user_id = e.user_id AND s.r = e.r + 1) SELECT user_id, event_id, round(a, 6) AS average FROM e")
@@ -295,10 +297,10 @@ def lexical_topk(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", score.alias("score")).where("score > 0").orderBy(C("score").desc(), "doc_id").limit(40)
 
 
-@query("SELECT doc_id, sha1('salt' || CAST(doc_id AS VARCHAR)) AS place FROM documents WHERE lang = 'de'")
+@query("SELECT doc_id, sha1('salt' || CAST(doc_id AS VARCHAR)) AS place FROM documents")
 def hash_order(t: Tables) -> DataFrame:
     h = F.sha1(F.concat(F.lit("salt"), C("doc_id").cast("string")))
-    return t.documents.where("lang = 'de'").select("doc_id", h.alias("place")).orderBy("place", "doc_id")
+    return t.documents.select("doc_id", h.alias("place")).orderBy("place", "doc_id")
 
 
 @query("SELECT doc_id, n_chars > 4000 AS is_long FROM documents ORDER BY n_chars > 4000, doc_id")

@@ -147,10 +147,13 @@ def definition_support(t: Tables) -> DataFrame:
     return evidence.definitions(*parsed(t)).select("doc_id", "number", "by")
 
 
-@query(f"WITH {ARTICLES}, e AS (SELECT doc_id, k, i, unnest([i + 1, CASE WHEN i % 3 = 1 THEN i + 2 END, CASE WHEN i % 11 = 6 THEN i END]) AS r FROM x), t AS (SELECT doc_id % 350 AS m, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1) SELECT doc_id, CAST(i AS INT) AS number, CAST(NULL AS VARCHAR) AS law, concat('제', r, '조') AS ref, CASE WHEN r <= k THEN doc_id END AS target, CAST(CASE WHEN r <= k THEN r - 1 END AS INT) AS target_number, CASE WHEN r > k THEN 'clause missing' END AS warning FROM e WHERE r IS NOT NULL UNION ALL SELECT doc_id, CAST(i AS INT), concat('law ', (doc_id * 7 + i) % 300), '제1조', CASE WHEN n = 1 THEN first END, CASE WHEN n = 1 THEN 0 END, CASE WHEN n = 1 THEN NULL ELSE 'law not resolved' END FROM x LEFT JOIN t ON m = (doc_id * 7 + i) % 300 WHERE i % 7 = 4")
+@query(f"WITH {ARTICLES}, e AS (SELECT doc_id, k, i, unnest([i + 1, CASE WHEN i % 3 = 1 THEN i + 2 END, CASE WHEN i % 11 = 6 THEN i END]) AS r FROM x), z AS (SELECT max(doc_id) + 1 AS n_laws FROM documents), t AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id - doc_id % 10 ELSE doc_id END AS m, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1) SELECT doc_id, CAST(i AS INT) AS number, CAST(NULL AS VARCHAR) AS law, concat('제', r, '조') AS ref, CASE WHEN r <= k THEN doc_id END AS target, CAST(CASE WHEN r <= k THEN r - 1 END AS INT) AS target_number, CASE WHEN r > k THEN 'clause missing' END AS warning FROM e WHERE r IS NOT NULL UNION ALL SELECT doc_id, CAST(i AS INT), concat('law ', (doc_id * 7 + i) % n_laws), '제1조', CASE WHEN n = 1 THEN first END, CASE WHEN n = 1 THEN 0 END, CASE WHEN n = 1 THEN NULL ELSE 'law not resolved' END FROM x CROSS JOIN z LEFT JOIN t ON m = (doc_id * 7 + i) % n_laws WHERE i % 7 = 4")
 def reference_resolution(t: Tables) -> DataFrame:
-    c = evidence.clause_table(laws(t))
-    titles = t.documents.select(F.concat(F.lit("law "), (C("doc_id") % 350).cast("string")).alias("law"), "doc_id")
+    """Laws are cited over the whole table; a title that several documents share isn't resolved."""
+    n_laws = (t.documents.agg(F.max("doc_id")).first()[0] or 0) + 1
+    c = evidence.clause_table(laws(t, n_laws))
+    number = F.when(C("doc_id") % 3 == 0, C("doc_id") - C("doc_id") % 10).otherwise(C("doc_id"))
+    titles = t.documents.select(F.concat(F.lit("law "), number.cast("string")).alias("law"), "doc_id")
     return evidence.resolved(evidence.edges(c), c, titles).select("doc_id", "number", "law", "ref", "target", "target_number", "warning")
 
 

@@ -218,9 +218,9 @@ def truncated_with_mark(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(text.truncated(C("text"))).alias("digest"))
 
 
-@query("SELECT doc_id, md5('[categories] alpha, beta' || chr(10) || '[title] ' || source || chr(10) || '[text] ' || left(text, 200)) AS prompt FROM documents")
+@query("SELECT doc_id, md5('[categories] alpha, beta' || chr(10) || '[title] ' || source || chr(10) || '[text] ' || text) AS prompt FROM documents")
 def prompt_rendering(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(F.format_string("[categories] %s\n[title] %s\n[text] %s", F.lit("alpha, beta"), "source", F.left("text", F.lit(200)))).alias("prompt"))
+    return t.documents.select("doc_id", F.md5(F.format_string("[categories] %s\n[title] %s\n[text] %s", F.lit("alpha, beta"), "source", "text")).alias("prompt"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS shown FROM events")

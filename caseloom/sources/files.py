@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +25,16 @@ def read_csv(spark: SparkSession, path: str, columns: list[str], encoding: str =
     return spark.read.schema(schema).options(**options).csv(path)
 
 
-def surplus(rows: DataFrame, columns: list[str], extra: int = 8) -> DataFrame:
-    """``rows`` with ``extra``: values beyond the columns, from the raw text of records that are too wide."""
-    wide = ", ".join(f"c{i} string" for i in range(len(columns) + extra))
-    got = F.from_csv("_corrupt", wide, {"escape": '"'})
-    values = F.array_compact(F.array(*[got[f"c{i}"] for i in range(len(columns), len(columns) + extra)]))
-    return rows.withColumn("extra", F.when(F.col("_corrupt").isNotNull(), values).otherwise(F.array().cast("array<string>")))
+def surplus(rows: DataFrame, columns: list[str], sep: str = ",") -> DataFrame:
+    """``rows`` with ``extra``: all values beyond the columns, from the raw text of records that are too wide; empty ones are left out."""
+    n = len(columns)
+
+    @F.pandas_udf("array<string>")
+    def beyond(raw: pd.Series) -> pd.Series:
+        csv.field_size_limit(1 << 31)
+        return raw.map(lambda x: [] if x is None else [v for v in next(csv.reader(io.StringIO(x, newline=""), delimiter=sep), [])[n:] if v])
+
+    return rows.withColumn("extra", beyond("_corrupt"))
 
 
 def oversize(columns: list[str], limit: int = FIELD_LIMIT) -> Column:
