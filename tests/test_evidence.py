@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -12,6 +13,8 @@ from caseloom.functions import clauses as fc
 from caseloom.functions import tables
 from caseloom.operators import curation, evidence
 from caseloom.plans import catalog
+from caseloom.plans.registry import Tables
+from caseloom.plans.retrieval import laws
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -41,9 +44,6 @@ def test_chunks_agree_with_a_plain_walk(spark):
     rows = {}
     for r in catalog.queries()["chunk_spans"](spark, FOLDER).collect():
         rows.setdefault(r.doc_id, []).append((r.chunk, r.start, r.end, r.tokens))
-    from caseloom.plans.registry import Tables
-    from caseloom.plans.retrieval import laws
-
     texts = {r.doc_id: r.text for r in laws(Tables(spark, FOLDER)).collect()}
     assert len(rows) == len([t for t in texts.values() if t]) >= 200
     for d, t in texts.items():
@@ -94,3 +94,96 @@ def test_balanced_picks_are_those_of_ranking_whole_kinds(spark, wanted, repeats)
     if wanted == 50:
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "__lead" in plan.split("Window [row_number()")[1]  # only rows of one stretch are ranked
+
+
+class Reader:
+    """Follows one seed's citations through whole documents held in memory."""
+
+    def __init__(self, texts):
+        self.units = {d: [u | {"body": t[u["start"] : u["end"]]} for u in fc.clauses(t)] for d, t in texts.items()}
+
+    def by_key(self, doc, key):
+        found = [u["number"] for u in self.units.get(doc, []) if u["key"] == key]
+        return (found[0], None) if len(found) == 1 else (None, "clause repeated" if found else "clause missing")
+
+    def supports(self, doc, number):
+        """Definitions of terms that the clause uses, and scope clauses before it."""
+        body = self.units[doc][number]["body"]
+        for u in self.units[doc]:
+            if u["number"] != number and re.search(evidence.DEFINITION, u["heading"] or ""):
+                terms = re.findall(evidence.TERM, u["body"])
+                if any(x in body for x in terms) if "정의" in u["heading"] else u["number"] < number:
+                    yield u["number"]
+
+    def walk(self, doc, number, budget=5000):
+        sources, needed, queue, said, asked, used = {}, {}, [], [], set(), 0
+
+        class Full(Exception):
+            pass
+
+        def take(d, k, depth, must=True):
+            nonlocal used
+            if needed.get((d, k)) or ((d, k) in needed and not must):
+                return
+            if (d, k) not in needed:
+                if len(needed) == 96:
+                    raise Full("too many clauses")
+                if d not in sources and len(sources) == 16:
+                    raise Full("too many sources")
+                used_then = used + len(self.units[d][k]["body"]) + (2 if d in sources else 25 if sources else 1)
+                if used_then > budget:
+                    raise Full("over budget")
+                used = used_then
+                sources.setdefault(d, len(sources))
+            needed[d, k] = must
+            queue.append((d, k, depth, must))
+
+        def enter(d, k, depth):
+            take(d, k, depth)
+            for e in (k - 1, k + 1):
+                if 0 <= e < len(self.units[d]) and self.units[d][e]["exception"]:
+                    take(d, e, depth)
+
+        try:
+            enter(doc, number, 0)
+            while queue:
+                d, k, depth, must = queue.pop(0)
+                if not must:
+                    continue
+                unit = self.units[d][k]
+                for by in self.supports(d, k):
+                    take(d, by, depth, False)
+                for u in self.units[d]:
+                    for key in u["internal"] if u["exception"] and u["number"] != k else ():
+                        if key == unit["key"]:
+                            take(d, u["number"], depth)
+                for key in unit["internal"]:
+                    to, why = self.by_key(d, key)
+                    said.append(why) if why else take(d, to, depth)
+                for cited in unit["external"]:
+                    law = int(cited["law"].removeprefix("law ")) if isinstance(cited, dict) else int(cited[0].removeprefix("law "))
+                    to, why = (None, "law not resolved") if law not in self.units else self.by_key(law, cited["key"] if isinstance(cited, dict) else cited[1])
+                    if depth >= 3:
+                        said.append("citation too deep")
+                    elif why:
+                        said.append(why)
+                    else:
+                        asked.add(law)
+                        if len(asked) > 32:
+                            raise Full("too many laws")
+                        enter(law, to, depth + 1)
+        except Full as e:
+            said.append(str(e))
+        said = "; ".join(dict.fromkeys(said))
+        picked = sorted(needed, key=lambda x: (sources[x[0]], x[1]))
+        text = "\n\n".join(self.units[d][k]["body"] for d, k in picked)
+        return not said, len(needed), said, hashlib.md5((f"(incomplete) {said}" if said else text).encode()).hexdigest()
+
+
+def test_citation_walks_agree_with_reading_whole_documents(spark):
+    t = Tables(spark, FOLDER)
+    ids = [r.doc_id for r in t.documents.select("doc_id").collect()]
+    reader = Reader({r.doc_id: r.text for r in laws(t, max(ids) + 1).collect()})
+    got = {r.seed: (r.complete, r.n_clauses, r.warnings, r.content) for r in catalog.queries()["citation_walk"](spark, FOLDER).collect()}
+    want = {d: reader.walk(d, 4) for d in ids if d % 50 == 0 and len(reader.units[d]) > 4}
+    assert got == want and len(want) >= 2
