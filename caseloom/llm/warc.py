@@ -12,7 +12,8 @@ Defined cases.  A null html is an empty payload; a null url is an empty one.
 Payloads under ``MIN_REVISIT`` bytes are always responses.  Rows that repeat
 the smallest page_id of a payload are responses too.  A null page_id is never
 referred to and is a response.  An empty table gives no records.  Line breaks
-in a url are percent-encoded in the header.
+in a url are percent-encoded in the header.  A very long html is one record, and
+columns beside page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ MIN_REVISIT = 100
 ROLL = 1 << 30
 #: Neighbours this near are fetched together, up to so many bytes at once.
 GAP, MOST = 64 << 10, 8 << 20
-#: Index rows of one stretch of a file are read by one task, and there are as many tasks as stretches.
-STRETCH = 8 << 20
+#: Index rows of one stretch of a file are read by one task; there are as many tasks as stretches, up to what a driver can follow.
+STRETCH, MOST_TASKS = 8 << 20, 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id bigint, url string, digest string, record_type string, file string, offset bigint, length bigint"
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string, offset bigint, length bigint, payload binary"
@@ -100,7 +101,9 @@ def with_roles(pages: DataFrame) -> DataFrame:
     slim = full.where(F.octet_length("html") >= MIN_REVISIT).select("page_id", "digest")
     first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = slim.join(first, "digest").where("page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    return full.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    # pages without an id are never revisits, and would all meet in one key of the join
+    named = full.where("page_id is not null").join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    return named.unionByName(full.where("page_id is null").select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to")))
 
 
 def write(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
@@ -152,7 +155,7 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of the selected index rows; revisits have no payload of their own."""
     total = index.agg(F.sum("length")).first()[0] or 0
     stretch = F.floor(F.col("offset") / STRETCH)
-    dealt = index.select("file", "offset", "length").repartition(1 + total // STRETCH, "file", stretch).sortWithinPartitions("file", "offset")
+    dealt = index.select("file", "offset", "length").repartition(min(1 + total // STRETCH, MOST_TASKS), "file", stretch).sortWithinPartitions("file", "offset")
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         store, _ = opened(folder)
