@@ -83,7 +83,7 @@ def near_duplicate_pairs(t: Tables) -> DataFrame:
     return dedup.near_pairs(t.documents, "doc_id", "text", 72, 100)
 
 
-@query("WITH g AS (SELECT doc_id AS k, list_distinct(string_split(lower(x), ' ')) AS g FROM (SELECT doc_id * 1000 + generate_subscripts(ls, 1) AS doc_id, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))), h AS (SELECT item_id AS k, list_distinct(string_split(lower(text), ' ')) AS g FROM benchmark), p AS (SELECT a.k AS line_id, b.k AS item_id, count(*) AS shared, any_value(a.m + b.m) AS s FROM (SELECT k, len(g) AS m, unnest(g) AS x FROM g) a JOIN (SELECT k, len(g) AS m, unnest(g) AS x FROM h) b USING (x) GROUP BY 1, 2) SELECT line_id, item_id, shared, s - shared AS either FROM p WHERE shared * 2 >= (s - shared) * 1 AND shared * 10 >= (s - shared) * 5")
+@query("WITH g AS (SELECT doc_id AS k, list_distinct(string_split(lower(x), ' ')) AS g FROM (SELECT CASE WHEN i <= 1000 THEN doc_id * 1000 + i ELSE -((doc_id << 31) + i) END AS doc_id, x FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))), h AS (SELECT item_id AS k, list_distinct(string_split(lower(text), ' ')) AS g FROM benchmark), p AS (SELECT a.k AS line_id, b.k AS item_id, count(*) AS shared, any_value(a.m + b.m) AS s FROM (SELECT k, len(g) AS m, unnest(g) AS x FROM g) a JOIN (SELECT k, len(g) AS m, unnest(g) AS x FROM h) b USING (x) GROUP BY 1, 2) SELECT line_id, item_id, shared, s - shared AS either FROM p WHERE shared * 2 >= (s - shared) * 1 AND shared * 10 >= (s - shared) * 5")
 def benchmark_leakage(t: Tables) -> DataFrame:
     words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
     line = C("i").cast("long") + 1
