@@ -198,11 +198,11 @@ def hits(text, items):
     return words, covered, names
 
 
-@pytest.mark.parametrize("most", [decontaminate.MAX_PATTERN_BYTES, 3000])
-def test_decontamination(spark, folder, most):
-    """The same hits with one automaton and with one for each block of items."""
+@pytest.mark.parametrize(("most", "together"), [(decontaminate.MAX_WORDS, decontaminate.PASS_BYTES), (40, decontaminate.PASS_BYTES), (40, 300)])
+def test_decontamination(spark, folder, most, together):
+    """The same hits with one automaton, with several in one pass, and with several passes."""
     items = pq.read_table(f"{folder}/benchmark.parquet").to_pylist()
-    out = decontaminate.scanned(common.table(spark, folder, "documents"), common.table(spark, folder, "benchmark"), max_pattern_bytes=most)
+    out = decontaminate.scanned(common.table(spark, folder, "documents"), common.table(spark, folder, "benchmark"), max_words=most, pass_bytes=together)
     assert out.columns == [*SCHEMA.names, "__hit"]
     for r in out.collect():
         words, covered, names = hits(r.text, items)
