@@ -57,11 +57,15 @@ def byte_table(docs: DataFrame, most: int, text: str = "text") -> DataFrame:
 
 
 def span_proof(chunks: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Whether a document's chunks join without gap, equal their slices, and end where it ends."""
-    before = F.coalesce(F.lag("end").over(W.partitionBy("doc_id").orderBy("chunk")), F.lit(0))
-    joined = chunks.withColumn("__gapless", before == F.col("start")).join(docs.select("doc_id", F.col(text).alias("__t")), "doc_id")
-    same = F.substring("__t", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("content")
-    return joined.groupBy("doc_id").agg((F.bool_and(F.col("__gapless") & same) & (F.max("end") == F.max(F.length("__t")))).alias("proven"), F.count("*").alias("n_chunks"))
+    """Whether a document's chunks join without gap, equal their slices, and end where it ends.
+
+    Chunks travel as places and digests, each text once; a text without chunks is proven only if it is empty.
+    """
+    spans = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.md5("content").alias("digest")))).alias("__spans"))
+    joined = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("__t")).join(spans, "doc_id", "left")
+    fits = lambda at, s: (s["start"] == at) & (F.md5(F.substring("__t", s["start"] + 1, s["end"] - s["start"])) == s["digest"])
+    reached = F.aggregate("__spans", F.lit(0), lambda at, s: F.when(fits(at, s), s["end"]).otherwise(-1))
+    return joined.select("doc_id", (F.coalesce(reached, F.lit(0)) == F.length("__t")).alias("proven"), F.coalesce(F.array_size("__spans"), F.lit(0)).cast("long").alias("n_chunks"))
 
 
 def nearest(found: list, query_id: str, row_id: str, k: int) -> Callable:

@@ -32,18 +32,19 @@ def csv_record_scan(t: Tables) -> DataFrame:
     return files.read_csv(t.spark, path, ["doc_id", "text"]).select(C("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"))
 
 
-@query("SELECT CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' ELSE 'utf-16-le' END AS encoding, count(*) AS n_files FROM documents GROUP BY 1")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16-le' ELSE 'cp949' END AS encoding FROM documents")
 def csv_encoding_sniff(t: Tables) -> DataFrame:
+    """Texts in UTF-8 with and without a mark, in UTF-16, and after two Hangul syllables in cp949."""
     body = F.encode("text", "UTF-8")
-    k = C("doc_id") % 3
-    content = F.when(k == 0, body).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), body)).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
-    return files.sniffed(t.documents.select(C("doc_id").alias("path"), content.alias("content"))).groupBy("encoding").agg(n().alias("n_files"))
+    k = C("doc_id") % 4
+    content = F.when(k == 0, body).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), body)).when(k == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).otherwise(F.concat(F.unhex(F.lit("C7D1B1DB")), body))
+    return files.sniffed(t.documents.select(C("doc_id").alias("path"), content.alias("content"))).select(C("path").alias("doc_id"), "encoding")
 
 
-@query("SELECT CASE WHEN length(text) > 4000 THEN 'field too long' ELSE 'kept' END AS outcome, count(*) AS n_rows FROM documents GROUP BY 1")
+@query("SELECT doc_id, CASE WHEN length(text) > 4000 OR length(source) > 4000 THEN 'field too long' ELSE md5(text) END AS outcome FROM documents")
 def csv_oversize_quarantine(t: Tables) -> DataFrame:
     good, bad = files.split_quarantine(t.documents, files.oversize(["text", "source"], 4000), "field too long", "doc_id")
-    return good.select(F.lit("kept").alias("outcome")).unionByName(bad.select(C("kind").alias("outcome"))).groupBy("outcome").agg(n().alias("n_rows"))
+    return good.select("doc_id", F.md5("text").alias("outcome")).union(bad.select("doc_id", "kind"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE c_mktsegment END AS segment, CAST(CASE c_custkey % 3 WHEN 1 THEN 2 + c_custkey % 40 ELSE 0 END AS BIGINT) AS n_extra FROM customer")
@@ -58,11 +59,13 @@ def csv_width_reconcile(t: Tables) -> DataFrame:
     return out.select(C("c_custkey").cast("long").alias("c_custkey"), "segment", F.size("extra").cast("long").alias("n_extra"))
 
 
-@query("SELECT 5 AS n_rows, true AS fits")
+@query("SELECT md5(left(trim(text), 500)) AS text, trim(source) AS source FROM documents WHERE doc_id % 20 = 7 ORDER BY doc_id LIMIT 5")
 def csv_preview(t: Tables) -> DataFrame:
-    path = csv_of(t, t.documents.select("text", "source"))
-    p = files.preview(files.read_csv(t.spark, path, ["text", "source"]), ["text", "source"])
-    return p.agg(n().cast("int").alias("n_rows"), F.bool_and(F.length("text") <= 500).alias("fits"))
+    """The first rows of one of twenty files."""
+    path = folder(t.spark, "csv")
+    rows = t.documents.select((C("doc_id") % 20).alias("part"), "doc_id", "text", "source").repartition("part").sortWithinPartitions("part", "doc_id")
+    rows.drop("doc_id").write.partitionBy("part").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return files.preview(files.read_csv(t.spark, f"{path}/part=7", ["text", "source"]), ["text", "source"]).select(F.md5("text").alias("text"), "source")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (length(text) > 4000) AS unreadable FROM documents")
@@ -70,13 +73,17 @@ def csv_row_counts(t: Tables) -> DataFrame:
     return t.documents.agg(n().alias("total"), F.count_if(files.oversize(["text"], 4000)).alias("unreadable"))
 
 
-@query("SELECT CASE event_id % 4 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not an object' ELSE 'ok' END AS outcome, count(*) AS n_rows FROM events WHERE event_id % 4 < 3 GROUP BY 1")
+@query("SELECT part, line, CASE k WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not an object' ELSE props ->> 'k' END AS outcome FROM (SELECT user_id % 10 AS part, event_id % 4 AS k, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS line, props FROM events) WHERE k < 3")
 def jsonl_scan(t: Tables) -> DataFrame:
+    """Ten files of good, broken, foreign and blank lines, in order of events."""
     k = C("event_id") % 4
     path = folder(t.spark, "jsonl")
-    t.events.select(F.when(k == 0, C("props")).when(k == 1, F.left("props", F.lit(4))).when(k == 2, "[1]").otherwise(" ").alias("value")).write.text(path)
+    value = F.when(k == 0, C("props")).when(k == 1, F.left("props", F.lit(4))).when(k == 2, "[1]").otherwise(" ")
+    rows = t.events.select((C("user_id") % 10).alias("part"), "event_id", value.alias("value")).repartition("part").sortWithinPartitions("part", "event_id")
+    rows.drop("event_id").write.partitionBy("part").text(path)
     good, bad = files.read_jsonl(t.spark, path, "k long")
-    return good.select(F.lit("ok").alias("outcome")).unionByName(bad.select(C("error").alias("outcome"))).groupBy("outcome").agg(n().alias("n_rows"))
+    both = good.select("file", "line", C("k").cast("string").alias("outcome")).union(bad.select("file", "line", "error"))
+    return both.select(F.regexp_extract("file", "part=([0-9]+)/", 1).cast("long").alias("part"), "line", "outcome")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE (SELECT count(*) = count(DISTINCT n_name) FROM nation)")
@@ -111,13 +118,13 @@ def case_pages(t: Tables) -> DataFrame:
     return files.case_pages(cases(t)).select("file", "row", "number", F.md5("body").alias("body"))
 
 
-@query(r"SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn AS INT) + 1 AS row, lpad(CAST(turn AS VARCHAR), 3, '0') AS number FROM conversations")
+@query(r"SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn AS INT) + 1 AS row, lpad(CAST(turn AS VARCHAR), 3, '0') AS number, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body FROM conversations")
 def case_text_blocks(t: Tables) -> DataFrame:
     """All turns of a conversation in one text, cut again at their headings."""
     block = F.concat(F.lpad(C("turn").cast("string"), 2, "0"), F.lit(" part / 사례 "), F.lpad(C("turn").cast("string"), 3, "0"), F.lit("\ntitle\n신청원인 "), "text")
     whole = t.conversations.groupBy(C("conv_id").cast("string").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda s: s["b"]), "\n").alias("text"))
     whole = whole.withColumn("text", F.concat(F.lit("front\n"), "text"))
-    return files.case_blocks(whole, r"^\d{2} .+?/ ?사례\s*(\d{3,})").select("file", "row", "number")
+    return files.case_blocks(whole, r"^\d{2} .+?/ ?사례\s*(\d{3,})").select("file", "row", "number", F.md5("body").alias("body"))
 
 
 @query("SELECT user_id AS page, max(value) AS score FROM events GROUP BY 1")
@@ -163,12 +170,13 @@ def append_unless_duplicate(t: Tables) -> DataFrame:
     return j.select("doc_id", outcome.alias("outcome"))
 
 
-@query("SELECT doc_id, CAST(least(length(text), 2000) AS BIGINT) AS n_reason FROM documents WHERE n_chars > 3000")
+@query("SELECT doc_id, md5(left(text, 2000)) AS reason, lang, md5(text) AS text FROM documents WHERE n_chars > 3000")
 def failure_sink(t: Tables) -> DataFrame:
     rows = t.documents.where("n_chars > 3000")
     path = folder(t.spark, "failures")
     files.failures(rows, "doc_id", C("text")).write.parquet(path)
-    return t.spark.read.parquet(path).where(F.get_json_object("raw", "$.lang").isNotNull()).select("doc_id", F.length("reason").cast("long").alias("n_reason"))
+    raw = F.from_json("raw", "lang string, text string")
+    return t.spark.read.parquet(path).select("doc_id", F.md5("reason").alias("reason"), raw["lang"].alias("lang"), F.md5(raw["text"]).alias("text"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'bad' ELSE 'good' END AS part, CASE WHEN doc_id % 13 > 0 THEN md5(text) END AS digest FROM documents")
@@ -217,12 +225,12 @@ def status_fold(t: Tables) -> DataFrame:
     return lifecycle.fold(t.events.select("user_id", "event_id", wanted.alias("wanted")), "user_id", "event_id", "wanted")
 
 
-@query("WITH r AS (SELECT user_id, count(*) AS revision FROM events GROUP BY 1), x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS revision FROM events) SELECT CASE WHEN x.revision = r.revision THEN 'applied' ELSE 'late' END AS outcome, count(*) AS n_rows FROM x JOIN r USING (user_id) GROUP BY 1")
+@query("WITH r AS (SELECT user_id, count(*) AS revision FROM events GROUP BY 1), x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS revision FROM events) SELECT user_id, x.revision, CASE WHEN x.revision = r.revision THEN 'applied' ELSE 'late' END AS outcome FROM x JOIN r USING (user_id)")
 def revision_guard(t: Tables) -> DataFrame:
     rows = t.events.groupBy("user_id").agg(n().alias("revision"))
     results = t.events.select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long").alias("revision"))
     fits, late = lifecycle.current_results(results, rows, "user_id", "revision")
-    return fits.select(F.lit("applied").alias("outcome")).union(late.select(F.lit("late"))).groupBy("outcome").agg(n().alias("n_rows"))
+    return fits.select("user_id", "revision", F.lit("applied").alias("outcome")).union(late.select("user_id", "revision", F.lit("late")))
 
 
 @query("SELECT user_id FROM events GROUP BY 1 HAVING epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(max(ts))) > 36000")
@@ -237,11 +245,11 @@ def drafts_left(t: Tables) -> DataFrame:
     return lifecycle.drafts_left(e, "user_id", "author", "event_id", "kind")
 
 
-@query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus WHEN o_orderkey % 2 = 0 THEN 'done' ELSE 'received' END AS status, count(*) AS n_rows, count(*) FILTER (o_orderkey % 4 > 0) AS owned FROM orders GROUP BY 1")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus WHEN o_orderkey % 2 = 0 THEN 'done' ELSE 'received' END AS status, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey END AS owner FROM orders")
 def archive_and_restore(t: Tables) -> DataFrame:
     put = lifecycle.archived(t.orders, C("o_orderkey") % 4 == 0, "o_orderstatus", "o_custkey")
     back = lifecycle.restored(put.withColumnRenamed("o_orderstatus", "status"), "status", C("o_orderkey") % 2 == 0)
-    return back.groupBy("status").agg(n().alias("n_rows"), F.count("o_custkey").alias("owned"))
+    return back.select("o_orderkey", "status", C("o_custkey").alias("owner"))
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 40")
@@ -266,13 +274,13 @@ def call_breaker(t: Tables) -> DataFrame:
     return lifecycle.with_breaker(e, "event_id", C("event_type") == "error", "user_id", "at", 3600)
 
 
-@query("SELECT count(*) AS all_gone, (SELECT count(*) FROM orders) AS refused FROM orders WHERE o_orderkey % 100 <> 5")
+@query("SELECT o_orderkey, 'all in scope' AS request FROM orders WHERE o_orderkey % 100 <> 5 UNION ALL SELECT o_orderkey, 'some out of scope' FROM orders")
 def delete_all_or_nothing(t: Tables) -> DataFrame:
+    """What each of two requests leaves."""
     o = t.orders.select("o_orderkey", "o_orderstatus")
     ids = o.where("o_orderkey % 100 = 5")
-    gone = lifecycle.deleted(o, "o_orderkey", ids, F.lit(True)).agg(n().alias("all_gone"), F.lit(1).alias("k"))
-    kept = lifecycle.deleted(o, "o_orderkey", ids, C("o_orderstatus") == "F").agg(n().alias("refused"), F.lit(1).alias("k"))
-    return gone.join(kept, "k").select("all_gone", "refused")
+    left = lambda scope, name: lifecycle.deleted(o, "o_orderkey", ids, scope).select("o_orderkey", F.lit(name).alias("request"))
+    return left(F.lit(True), "all in scope").union(left(C("o_orderstatus") == "F", "some out of scope"))
 
 
 @query("SELECT conv_id, count(*) FILTER (role = 'assistant' AND turn < m) AS stubs FROM (SELECT *, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS m FROM conversations) GROUP BY 1")

@@ -59,12 +59,15 @@ def chunks_in_sql(t: Tables) -> DataFrame:
         FROM documents_to_cut d, LATERAL chunks_of(d.text, 500, 'characters') c GROUP BY doc_id HAVING max(c.tokens) <= 500""")
 
 
-@query("SELECT doc_id, n_chars <= 3000 AS single, true AS proven FROM documents")
+@query("SELECT doc_id, true AS whole, doc_id % 5 > 2 OR text = '' AS altered FROM documents")
 def span_proof(t: Tables) -> DataFrame:
-    """Chunks of at most 400 words cover every character of every document once."""
+    """Chunks of at most 400 words cover every character of every document once; altered, missing and shifted ones are told."""
     chunks = stored(evidence.chunk_table(t.documents, 400), "chunks")
-    proof = evidence.span_proof(chunks, t.documents)
-    return proof.join(t.documents.select("doc_id", "n_chars"), "doc_id").select("doc_id", (C("n_chars") <= 3000).alias("single"), "proven")
+    k, first = C("doc_id") % 5, C("chunk") == 0
+    whole = evidence.span_proof(chunks, t.documents).select("doc_id", C("proven").alias("whole"))
+    spoilt = chunks.where((k != 1) | ~first).withColumn("content", F.when((k == 0) & first, F.concat(F.lit("\u0001"), F.substring("content", F.lit(2), F.length("content")))).otherwise(C("content")))
+    spoilt = spoilt.withColumn("end", F.when(k == 2, C("end") - 1).otherwise(C("end")))
+    return evidence.span_proof(spoilt, t.documents).join(whole, "doc_id").select("doc_id", "whole", C("proven").alias("altered"))
 
 
 @query()
@@ -72,12 +75,12 @@ def chunk_spans(t: Tables) -> DataFrame:
     return evidence.chunk_table(laws(t), 400).select("doc_id", "chunk", "start", "end", "tokens")
 
 
-@query("SELECT doc_id, true AS whole, true AS fits FROM documents WHERE text <> ''")
+ENDS = "SELECT doc_id, list(e ORDER BY i) AS ends FROM (SELECT doc_id, i, sum(CASE WHEN c IN ('\"', '\\', chr(8), chr(9), chr(10), chr(12), chr(13)) THEN 2 WHEN ord(c) < 32 THEN 6 ELSE strlen(c) END) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> '')) GROUP BY 1"
+
+
+@query(f"WITH RECURSIVE d AS MATERIALIZED ({ENDS}), p AS (SELECT doc_id, -1 AS piece, 0 AS start, 0 AS stop FROM d UNION ALL SELECT p.doc_id, piece + 1, stop, len(list_filter(ends, lambda x: x <= CASE WHEN stop = 0 THEN 0 ELSE ends[stop] END + 700)) FROM p JOIN d USING (doc_id) WHERE stop < len(ends)) SELECT p.doc_id, piece, md5(text[start + 1 : stop]) AS digest FROM p JOIN documents d ON d.doc_id = p.doc_id WHERE piece >= 0")
 def split_by_bytes(t: Tables) -> DataFrame:
-    p = evidence.byte_table(t.documents, 700)
-    size = F.octet_length(F.replace("content", F.lit("\n"), F.lit("__")))
-    g = p.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "content"))), lambda s: s["content"]), "").alias("c"), F.bool_and(size <= 700).alias("fits"))
-    return g.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", (C("c") == C("text")).alias("whole"), "fits")
+    return evidence.byte_table(t.documents, 700).select("doc_id", "piece", F.md5("content").alias("digest"))
 
 
 COS = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[]))"

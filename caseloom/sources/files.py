@@ -7,6 +7,7 @@ import io
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,13 +65,27 @@ def preview(rows: DataFrame, columns: list[str], size: int = 5, chars: int = 500
     return rows.limit(size).select(*[F.left(F.trim(c), F.lit(chars)).alias(c) for c in columns])
 
 
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, value`` of text files, lines numbered from 1 in each file.
+
+    A split's lines are read in order, so a line's number is its place in the split
+    and the lines of the file's earlier splits.  Only a count for each split is
+    gathered; the lines themselves don't move.
+    """
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), place.alias("place"), "value")
+    splits = lines.groupBy("file", "at").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("at")) - F.col("n")
+    return lines.join(splits.select("file", "at", "first", before.alias("before")), ["file", "at"]).select("file", (F.col("before") + F.col("place") - F.col("first") + 1).alias("line"), "value")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Objects, and an error row for each line that is none; both keep file and place in it."""
-    lines = spark.read.text(path).withColumn("file", F.input_file_name()).where(F.length(F.trim("value")) > 0)
+    """Objects, and an error row for each line that is none; both keep file and line."""
+    lines = numbered(spark, path).where(F.length(F.trim("value")) > 0)
     is_object = F.coalesce(F.json_object_keys("value").isNotNull(), F.lit(False))
-    good = lines.where(is_object).select("file", F.from_json("value", schema).alias("r")).select("file", "r.*")
+    good = lines.where(is_object).select("file", "line", F.from_json("value", schema).alias("r")).select("file", "line", "r.*")
     valid = F.try_parse_json("value").isNotNull()
-    return good, lines.where(~is_object).select("file", F.when(valid, "not an object").otherwise("not JSON").alias("error"), F.left("value", F.lit(200)).alias("head"))
+    return good, lines.where(~is_object).select("file", "line", F.when(valid, "not an object").otherwise("not JSON").alias("error"), F.left("value", F.lit(200)).alias("head"))
 
 
 def failures(rows: DataFrame, key: str, reason: Column) -> DataFrame:

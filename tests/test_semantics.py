@@ -239,3 +239,31 @@ def test_earliest_equivalents_come_from_class_heads(spark):
     pairs = dedup.equivalent_pairs(df, "id", "profile", "scope").groupBy("later").agg(F.min("earlier").alias("m"))
     got = dedup.first_equivalent(df, "id", "profile", "scope")
     assert {tuple(x) for x in got.select("id", "duplicate_of").collect()} == {tuple(x) for x in pairs.collect()}
+
+
+def test_lines_keep_their_numbers_over_splits_and_files(spark, tmp_path):
+    """Files cut into many splits; blank lines count, and long ones lie across a cut."""
+    want = set()
+    for name in ("a", "b"):
+        lines = [("" if i % 7 == 0 else f"{name}{i} " + "x" * (i % 50)) for i in range(1, 400)]
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines) + "\n")
+        want |= {(name, i, x) for i, x in enumerate(lines, 1)}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = files.numbered(spark, str(tmp_path))
+        rows = got.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.file.rsplit("/", 1)[1][0], r.line, r.value) for r in rows} == want and len(rows) == len(want)
+
+
+def test_chunks_that_do_not_cover_a_text_are_told(spark):
+    docs = spark.createDataFrame([(1, "abcdef"), (2, "abcdef"), (3, "abcdef"), (4, "abcdef"), (5, ""), (6, None), (7, "x")], "doc_id long, text string")
+    chunks = spark.createDataFrame(
+        [(1, 0, 0, 3, "abc"), (1, 1, 3, 6, "def"), (2, 0, 0, 3, "abc"), (2, 1, 4, 6, "ef"), (3, 0, 0, 3, "abX"), (3, 1, 3, 6, "def"), (4, 0, 0, 3, "abc")], "doc_id long, chunk int, start int, end int, content string"
+    )
+    got = {r.doc_id: (r.proven, r.n_chunks) for r in evidence.span_proof(chunks, docs).collect()}
+    assert got == {1: (True, 2), 2: (False, 2), 3: (False, 2), 4: (False, 1), 5: (True, 0), 6: (True, 0), 7: (False, 0)}
