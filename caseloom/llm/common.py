@@ -23,6 +23,8 @@ __all__ = ["brief_shuffles", "folder", "stored"]
 BATCH_ROWS = 1000
 #: And this many bytes, a last row aside.
 BATCH_BYTES = 16 << 20
+#: A key is hot if it has more than one part in so many of all rows.
+HOT = 4096
 #: ASCII white space: what parts words in every contract here.
 SPACES = b"\t\n\x0b\x0c\r "
 #: Lower-cases A-Z only.
@@ -100,12 +102,18 @@ def add_columns(df: DataFrame, text: str, added: str, fn: Callable[[list[bytes]]
     return df.mapInArrow(run, schema)
 
 
-def salted_left(left: DataFrame, right: DataFrame, on: str, by: str, salts: int = 16) -> DataFrame:
-    """Left join with hot keys: a key's ``left`` rows are spread over ``salts`` by the column ``by``; ``right`` has one row per key."""
-    salt = "__salt"
-    spread = left.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [on, salt], "left").drop(salt)
+def salted_left(left: DataFrame, right: DataFrame, on: str, by: str, count: str, salts: int = 16) -> DataFrame:
+    """Left join with hot keys: ``right`` has one row per key of ``left``, with the number ``count`` of its rows there.
+
+    A key with more than a ``HOT`` th of all rows is hot, so fewer than ``HOT`` keys are, and their
+    list may be broadcast.  Their rows are spread over ``salts`` by the column ``by``, and they alone are copied.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) > total / HOT
+    hot = F.broadcast(right.where(is_hot).select(on, F.lit(True).alias("__hot")))
+    spread = left.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(0).cast("int")).drop("__hot")
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0)))).drop(count)
+    return spread.join(copies, [on, "__salt"], "left").drop("__salt")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -107,10 +107,10 @@ def prior(docs: float, failed: float, spread: float, inverse: float) -> tuple[fl
 
 def judged(measured: DataFrame, host: str = "source", by: str = "doc_id", m: str = "__m") -> DataFrame:
     """``measured`` with ``__kept``; ``by`` spreads a hot host's rows."""
-    verdict = host_verdicts(measured, host, m).select(F.concat(F.col("__no_host").cast("string"), "__host").alias("__key"), "allowed")
+    verdict = host_verdicts(measured, host, m).select(F.concat(F.col("__no_host").cast("string"), "__host").alias("__key"), "allowed", "n_docs")
     keyed = measured.withColumn("__key", F.concat(F.col(host).isNull().cast("string"), F.coalesce(F.col(host).cast("string"), F.lit(""))))
     kept = ~base_failed(F.col(m)) & (soft_failures(F.col(m)) <= F.col("allowed"))
-    return salted_left(keyed, verdict, "__key", by).withColumn("__kept", kept).drop("__key", "allowed")
+    return salted_left(keyed, verdict, "__key", by, "n_docs").withColumn("__kept", kept).drop("__key", "allowed")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

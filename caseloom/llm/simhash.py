@@ -146,13 +146,13 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` of every row."""
     marked = stored(fingerprints(docs, doc_id, text), "fingerprints")
-    first = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    first = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")), "distinct-fingerprints")
     roots = components(links(first.select("fp")))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stored(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return salted_left(marked, named, "fp", "doc_id")
+    named = rooted.join(least, "root").select("fp", "component_id", "n_rows")
+    return salted_left(marked, named, "fp", "doc_id", "n_rows")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

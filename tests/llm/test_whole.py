@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caseloom.llm import decontaminate, packing, simhash, substrings
+from caseloom.llm import common, decontaminate, packing, simhash, substrings
 from tests.test_whole import words
 
 
@@ -139,3 +139,25 @@ def test_a_batch_of_lower_ids_is_refused(spark, tmp_path):
         again.add(rows(10))
     _, starts = again.add(rows(11))
     assert [r.doc_id for r in starts.collect()] == [11] and substrings.SubstringIndex.open(spark, str(tmp_path / "index")).last == 11
+
+
+def test_only_hot_keys_are_salted_and_copied(spark, monkeypatch):
+    """One key has a third of all rows; every row finds its partner once, and cold keys keep one row each."""
+    monkeypatch.setattr(common, "HOT", 10)
+    left = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k % 5 <> 1").withColumn("name", F.concat(F.lit("n"), "k"))
+    joined = common.salted_left(left, right, "k", "doc_id", "n")
+    assert sorted(joined.columns) == ["doc_id", "k", "name"]
+    got = {r.doc_id: (r.k, r.name) for r in joined.collect()}
+    assert joined.count() == len(got) == 3000
+    assert all(name == (None if k % 5 == 1 else f"n{k}") for k, name in got.values())
+    shuffled = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in shuffled}
+    try:
+        for k, v in shuffled.items():
+            spark.conf.set(k, v)
+        sizes = [r["count"] for r in common.salted_left(left, right, "k", "doc_id", "n").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(sizes) < 700  # a third of all rows alone would be 1,000
