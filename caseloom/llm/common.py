@@ -15,14 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from caseloom.sources.scratch import brief_shuffles, folder, stored
+from caseloom.sources.scratch import brief_shuffles, folder, small_batches, stored
 
-__all__ = ["brief_shuffles", "folder", "stored"]
+__all__ = ["brief_shuffles", "folder", "small_batches", "stored"]
 
-#: Rows in one Arrow batch; texts are long, so a batch stays at some megabytes.
-BATCH_ROWS = 1000
-#: And this many bytes, a last row aside.
-BATCH_BYTES = 16 << 20
 #: A key is hot if it has more than one part in so many of all rows.
 HOT = 4096
 #: ASCII white space: what parts words in every contract here.
@@ -53,14 +49,6 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows and bytes, as whole texts are long; the session keeps these bounds."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key).rstrip("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

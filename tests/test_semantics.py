@@ -231,6 +231,22 @@ def test_sets_meet_in_one_cell_whatever_the_blocks(spark, tmp_path):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_similar_pairs_are_neither_stored_nor_dealt(spark, monkeypatch):
+    """Documents of which any two are similar: what steps leave for later steps has no row for a pair."""
+    words = [f"w{i:03d}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[:i] + words[i + 1 :])) for i in range(60)], "doc_id long, text string")
+    rows = {}
+
+    def counting(df, name, stored=dedup.stored):
+        out = stored(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(dedup, "stored", counting)
+    assert dedup.near_pairs(docs, "doc_id", "text", 72, 100).count() == 60 * 59 // 2
+    assert max(rows.values()) == 60
+
+
 def test_earliest_equivalents_come_from_class_heads(spark):
     r = random.Random(4)
     forms = ["a b c", "a  b c", "ab c", "a\nb c", "x y", "xy", "x\ny", "z"]
