@@ -32,7 +32,17 @@ def laws(t: Tables, n_laws: int = 300) -> DataFrame:
 ARTICLES = "x AS (SELECT doc_id, k, i, concat('제', i + 1, '조', CASE WHEN i = 0 THEN '(정의)' ELSE '(내용)' END, chr(10), CASE WHEN i = 0 THEN '\"the\"라 한다. ' END, ls[i + 1], CASE WHEN i % 3 = 1 THEN concat(' 제', i + 2, '조에 따른다.') END, CASE WHEN i % 7 = 4 THEN concat(' 「law ', (doc_id * 7 + i) % 300, '」 제1조에 따른다.') END, CASE WHEN i % 11 = 6 THEN concat(' 다만, 제', i, '조는 그러하지 아니하다.') END) AS line FROM (SELECT doc_id, ls, len(ls) AS k, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
 
 
-@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_articles, CAST(len(string_split(text, chr(10))) // 3 + CAST(len(string_split(text, chr(10))) % 3 = 2 AS INT) AS BIGINT) AS cited FROM documents")
+# What the clause parser reads as white space, clauses and citations of other laws, as DuckDB writes it.
+BLANK = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+SAID_CLAUSE = rf"제{BLANK}*\p{{Nd}}+{BLANK}*조(?:{BLANK}*의{BLANK}*\p{{Nd}}+)?|별표{BLANK}*\p{{Nd}}+(?:{BLANK}*의{BLANK}*\p{{Nd}}+)?"
+NAME = '[^「」『』“”"\\n]{1,200}'
+SAID_CITATION = rf'(?:「{NAME}」|『{NAME}』|“{NAME}”|"{NAME}"|[가-힣A-Za-z0-9·ㆍ]{{1,120}}(?:법률|시행령|시행규칙|조례|규칙|법)){BLANK}*(?:{SAID_CLAUSE})'
+squeezed_sql = lambda c: f"regexp_replace({c}, '{BLANK}+', '', 'g')"
+#: ``c``: the articles with the distinct clauses that each cites of its own law, and (law, ref) of each clause that follows the name of another.
+CITES = f"{ARTICLES}, m AS (SELECT *, list_transform(regexp_extract_all(line, '{SAID_CITATION}'), lambda q: {{'law': regexp_replace(regexp_replace(regexp_replace(q, '{BLANK}*(?:{SAID_CLAUSE})$', ''), '^[「『“\"]|[」』”\"]$', '', 'g'), '^{BLANK}+|{BLANK}+$', '', 'g'), 'ref': {squeezed_sql(f"regexp_extract(q, '(?:{SAID_CLAUSE})$')")}}}) AS named FROM x), c AS (SELECT doc_id, k, i, list_filter(named, lambda q: q.law NOT IN ('법', '법률')) AS external, list_distinct(list_transform(regexp_extract_all(regexp_replace(line, '{SAID_CITATION}', '|', 'g'), '{SAID_CLAUSE}'), lambda q: {squeezed_sql('q')}) || list_transform(list_filter(named, lambda q: q.law IN ('법', '법률')), lambda q: q.ref) || CASE WHEN i > 0 AND contains(line, '전조') THEN [concat('제', i, '조')] ELSE [] END || CASE WHEN i + 1 < k AND contains(line, '다음 조') THEN [concat('제', i + 2, '조')] ELSE [] END) AS internal FROM m)"
+
+
+@query(f"WITH {CITES} SELECT doc_id, count(*) AS n_articles, CAST(count(*) FILTER (list_contains(internal, concat('제', i + 2, '조'))) AS BIGINT) AS cited FROM c GROUP BY 1")
 def clause_edges(t: Tables) -> DataFrame:
     c = evidence.clause_table(laws(t))
     own = F.size(F.filter("internal", lambda r: r == F.concat(F.lit("제"), (C("number") + 2).cast("string"), F.lit("조"))))

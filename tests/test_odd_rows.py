@@ -26,3 +26,16 @@ def test_records_break_rules_by_their_texts(spark, tmp_path):
     got = agrees(spark, tmp_path, "analysis_record_rules", texts)
     assert {(14, "C3"), (15, "C2"), (15, "C3"), (16, "C6")} <= set(got)
     assert not {(19, "C3"), (22, "C6")} & set(got)
+
+
+CITING = {1: 'a\nb "token"\nc', 2: 'a\nb „token“\nc\nd\n"x" e\n', 3: "", 4: 'a\nb 「 law  9 」\nc', 5: "a\nb\nc 전조\nd 다음 조\n9법", 6: 'a\nb "tok"\n', 8: 'a\nb 법'}
+
+
+def test_a_quoted_name_before_a_clause_is_another_law(spark, tmp_path):
+    got = agrees(spark, tmp_path, "clause_edges", CITING)
+    assert dict((d, c) for d, _, c in got)[1] == 0
+
+
+def test_a_quoted_name_before_a_clause_is_another_law_in_sql(spark, tmp_path):
+    got = agrees(spark, tmp_path, "clause_edges_in_sql", CITING)
+    assert dict((d, c) for d, _, c in got)[1] == 0
