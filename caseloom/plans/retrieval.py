@@ -155,12 +155,18 @@ def parsed(t: Tables, n_laws: int = 300) -> tuple[DataFrame, DataFrame]:
     return clause_rows, stored(bodies, "bodies")
 
 
-@query("SELECT doc_id, CAST(i AS INT) AS number, 0 AS by FROM (SELECT doc_id, ls[i + 1] AS x, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE contains(x, 'the')")
+@query(f"WITH {ARTICLES}, b AS (SELECT doc_id, i, concat(line, CASE WHEN i + 1 < k THEN chr(10) END) AS body FROM x), d AS (SELECT doc_id, regexp_extract_all(body, '[\"“]([^\"”]{{1,50}})[\"”]', 1) AS terms FROM b WHERE i = 0) SELECT doc_id, CAST(i AS INT) AS number, 0 AS \"by\" FROM b JOIN d USING (doc_id) WHERE i > 0 AND len(list_filter(terms, lambda q: contains(body, q))) > 0")
 def definition_support(t: Tables) -> DataFrame:
     return evidence.definitions(*parsed(t)).select("doc_id", "number", "by")
 
 
-@query(f"WITH {ARTICLES}, e AS (SELECT doc_id, k, i, unnest([i + 1, CASE WHEN i % 3 = 1 THEN i + 2 END, CASE WHEN i % 11 = 6 THEN i END]) AS r FROM x), z AS (SELECT max(doc_id) + 1 AS n_laws FROM documents), t AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id - doc_id % 10 ELSE doc_id END AS m, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1) SELECT doc_id, CAST(i AS INT) AS number, CAST(NULL AS VARCHAR) AS law, concat('제', r, '조') AS ref, CASE WHEN r <= k THEN doc_id END AS target, CAST(CASE WHEN r <= k THEN r - 1 END AS INT) AS target_number, CASE WHEN r > k THEN 'clause missing' END AS warning FROM e WHERE r IS NOT NULL UNION ALL SELECT doc_id, CAST(i AS INT), concat('law ', (doc_id * 7 + i) % n_laws), '제1조', CASE WHEN n = 1 THEN first END, CASE WHEN n = 1 THEN 0 END, CASE WHEN n = 1 THEN NULL ELSE 'law not resolved' END FROM x CROSS JOIN z LEFT JOIN t ON m = (doc_id * 7 + i) % n_laws WHERE i % 7 = 4")
+#: Laws are cited over the whole table.
+CITES_ALL = CITES.replace("% 300", "% (SELECT max(doc_id) + 1 FROM documents)")
+#: The place of a cited key among articles that are numbered from 1.
+PLACE = "try_cast(regexp_extract(ref, '^제([1-9][0-9]*)조$', 1) AS BIGINT)"
+
+
+@query(f"WITH {CITES_ALL}, r AS (SELECT doc_id, i, CAST(NULL AS VARCHAR) AS law, unnest(internal) AS ref FROM c UNION ALL SELECT doc_id, i, q.law, q.ref FROM (SELECT doc_id, i, unnest(external) AS q FROM c)), t AS (SELECT concat('law ', CASE WHEN doc_id % 3 = 0 THEN doc_id - doc_id % 10 ELSE doc_id END) AS law, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1), own AS (SELECT r.*, CASE WHEN r.law IS NULL THEN doc_id WHEN n = 1 THEN first END AS aim FROM r LEFT JOIN t USING (law)), z AS (SELECT doc_id AS aim, max(k) AS k FROM x GROUP BY 1), p AS (SELECT own.*, CASE WHEN {PLACE} <= k THEN {PLACE} END AS place FROM own LEFT JOIN z USING (aim)) SELECT doc_id, CAST(i AS INT) AS number, law, ref, CASE WHEN place IS NOT NULL THEN aim END AS target, CAST(place - 1 AS INT) AS target_number, CASE WHEN law IS NOT NULL AND aim IS NULL THEN 'law not resolved' WHEN place IS NULL THEN 'clause missing' END AS warning FROM p")
 def reference_resolution(t: Tables) -> DataFrame:
     """Laws are cited over the whole table; a title that several documents share isn't resolved."""
     n_laws = (t.documents.agg(F.max("doc_id")).first()[0] or 0) + 1

@@ -39,3 +39,14 @@ def test_a_quoted_name_before_a_clause_is_another_law(spark, tmp_path):
 def test_a_quoted_name_before_a_clause_is_another_law_in_sql(spark, tmp_path):
     got = agrees(spark, tmp_path, "clause_edges_in_sql", CITING)
     assert dict((d, c) for d, _, c in got)[1] == 0
+
+
+def test_all_terms_of_a_definition_support_clauses(spark, tmp_path):
+    """A second quoted term, one that lies between two quoted ones, and a clause without any."""
+    texts = {1: 'first "key" here\nno term\nthe end\na key turns', 2: "a\nthen", 3: "", 4: '"a" b "c"\n b \nxcx'}
+    assert (1, 3, 0) in agrees(spark, tmp_path, "definition_support", texts)
+
+
+def test_clauses_after_a_quoted_name_resolve_as_another_law(spark, tmp_path):
+    got = agrees(spark, tmp_path, "reference_resolution", CITING | {9: 'a\nb "law 5"\nc', 12: "\n".join("abcdefghijkl")})
+    assert (1, 1, "token", "제3조", None, None, "law not resolved") in got and (9, 1, "law 5", "제3조", 5, 2, None) in got
