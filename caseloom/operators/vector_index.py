@@ -24,10 +24,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseloom.functions import vectors
-from caseloom.sources.scratch import stored
+from caseloom.sources.scratch import small_batches, stored
 
 #: Rows that centres are drawn from, the most centres, rings to a unit of distance, and rows or queries of a part.
 SAMPLE, CENTRES, RINGS, PART = 20_000, 1024, 16, 20_000
+#: Numbers held at once in scores or bounds of a slice of queries, and visits of one batch.
+CELLS, VISITS = 1 << 20, 10_000
 #: Scores are sums of rounded products: a bound must be this much worse before it rules out a ring.
 SLACK = 1e-9
 
@@ -78,6 +80,7 @@ class VectorIndex:
     def __init__(self, rows: DataFrame, row_id: str, vector: str, dimension: int, centres: int | None = None, part: int = PART, seed: int = 7):
         self.row_id, self.vector, self.dimension, self.part = row_id, vector, dimension, part
         self.kind = dict(rows.dtypes)[row_id]
+        small_batches(rows.sparkSession)
         unit = stored(unit_rows(rows, row_id, vector, dimension), "unit-rows")
         self.n_rows = unit.count()
         drawn = unit.select("v").orderBy(F.xxhash64(F.lit(seed), row_id)).limit(SAMPLE).collect()  # a bounded sample
@@ -106,19 +109,28 @@ class VectorIndex:
     def visits(self, asked: DataFrame, query_id: str, k: int) -> DataFrame:
         """``query, v, centre, ring, part`` of every ring that a query visits: the first ones where ``least`` is null, else the others that may beat it."""
         kind, rings, dimension = dict(asked.dtypes)[query_id], self.rings, self.dimension
-        parts = rings.parts(self.part)
+        cells = np.array([(c, r, n) for c, r, n in rings.parts(self.part)], np.int64).reshape(-1, 3)
+        step = max(1, CELLS // max(1, cells[:, 2].sum()))
+
+        def of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            bound = rings.bounds(matrix(b.column(1), dimension))
+            visit = rings.first_visits(bound, k)
+            least = b.column(2).to_numpy(zero_copy_only=False)
+            if not np.isnan(least).all():
+                visit = ~visit & (bound >= least[:, None] - SLACK)
+            at, which = np.nonzero(visit)
+            times = cells[which, 2]
+            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            take, ring = np.repeat(at, times), np.repeat(which, times)
+            for i in range(0, len(take), VISITS):
+                now = slice(i, i + VISITS)
+                chosen = pa.array(take[now])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(chosen), b.column(1).take(chosen), *(pa.array(c, pa.int32()) for c in (cells[ring[now], 0], cells[ring[now], 1], part[now]))], names=[query_id, "v", "centre", "ring", "part"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                bound = rings.bounds(matrix(b.column(1), dimension))
-                visit = rings.first_visits(bound, k)
-                least = b.column(2).to_numpy(zero_copy_only=False)
-                if not np.isnan(least).all():
-                    visit = ~visit & (bound >= least[:, None] - SLACK)
-                at, which = np.nonzero(visit)
-                cells = [(i, *parts[r][:2], p) for i, r in zip(at.tolist(), which.tolist(), strict=True) for p in range(parts[r][2])]
-                take = pa.array([c[0] for c in cells], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array([c[i] for c in cells], pa.int32()) for i in (1, 2, 3))], names=[query_id, "v", "centre", "ring", "part"])
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    yield from of(whole.slice(at, step))
 
         return asked.select(query_id, "v", "least").mapInArrow(run, f"`{query_id}` {kind}, v array<double>, centre int, ring int, part int")
 
@@ -137,8 +149,9 @@ class VectorIndex:
             rows = rows.sort_by(row_id)
             x, q = (matrix(t["v"].combine_chunks(), dimension) for t in (rows, asked))
             at, which, scores = [], [], []
-            for i in range(0, len(q) if len(x) else 0, 256):
-                s = q[i : i + 256] @ x.T
+            step = max(1, CELLS // max(1, len(x)))
+            for i in range(0, len(q) if len(x) else 0, step):
+                s = q[i : i + step] @ x.T
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 at.append(np.repeat(np.arange(i, i + len(s)), top.shape[1]))
                 which.append(top.ravel())
