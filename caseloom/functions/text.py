@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,19 +55,15 @@ def mask_inside(text: Column, pattern: str, symbol: str = "*") -> Column:
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _space_places(texts: pd.Series) -> pd.Series:
-    def places(text: str) -> list[int]:
-        words, out, at = text.split(), [], 0
-        for w in words[:-1]:
-            at += len(w)
-            out.append(at)
-        return out
+    def places(text: str) -> np.ndarray:
+        return np.cumsum([len(w) for w in text.split()[:-1]], dtype=np.int32)
 
     return texts.fillna("").map(places)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _wrap_places(texts: pd.Series) -> pd.Series:
-    def places(text: str) -> list[int]:
+    def places(text: str) -> np.ndarray:
         out, at = [], 0
         for m in re.finditer(r"\S+|\s+", text.strip()):
             if m[0].isspace():
@@ -74,7 +71,7 @@ def _wrap_places(texts: pd.Series) -> pd.Series:
                     out.append(at)
             else:
                 at += len(m[0])
-        return out
+        return np.array(out, np.int32)
 
     return texts.fillna("").map(places)
 

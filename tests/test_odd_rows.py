@@ -50,3 +50,84 @@ def test_all_terms_of_a_definition_support_clauses(spark, tmp_path):
 def test_clauses_after_a_quoted_name_resolve_as_another_law(spark, tmp_path):
     got = agrees(spark, tmp_path, "reference_resolution", CITING | {9: 'a\nb "law 5"\nc', 12: "\n".join("abcdefghijkl")})
     assert (1, 1, "token", "제3조", None, None, "law not resolved") in got and (9, 1, "law 5", "제3조", 5, 2, None) in got
+
+
+def test_texts_reach_python_in_batches_of_bounded_size(spark, tmp_path):
+    """Whatever the session had before: 10,000 whole texts at once, and what is made of them, are more than a worker should hold."""
+    from caseloom.operators import evidence
+    from caseloom.plans.registry import Tables
+    from caseloom.plans.retrieval import parsed
+    from caseloom.plans.texts import identity_profile
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k) for k in (rows, size)}
+    docs = spark.createDataFrame([(1, "a\nb", "en")], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tables = Tables(spark, str(tmp_path))
+    try:
+        for use in (lambda: evidence.clause_table(docs), lambda: evidence.byte_table(docs, 700), lambda: evidence.chunk_table(docs, 400), lambda: parsed(tables), lambda: identity_profile(tables)):
+            spark.conf.set(rows, "10000")
+            spark.conf.set(size, str(1 << 30))
+            use()
+            assert int(spark.conf.get(rows)) <= 1000 and 0 < int(spark.conf.get(size).rstrip("b")) <= 16 << 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_queries_visit_rings_slice_by_slice(spark, monkeypatch):
+    """No batch of visits has more rows than it may, and the nearest rows are the exact ones."""
+    import numpy as np
+    import pandas as pd
+
+    from caseloom.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "VISITS", 5, raising=False)
+    monkeypatch.setattr(vector_index, "CELLS", 30, raising=False)
+    v = np.random.default_rng(0).normal(size=(200, 8))
+    df = spark.createDataFrame(pd.DataFrame({"id": range(200), "v": v.tolist()}))
+    index = vector_index.VectorIndex(df, "id", "v", 8, centres=6, part=20)
+    asked = vector_index.unit_rows(df.where("id < 9").withColumnRenamed("id", "q"), "q", "v", 8).selectExpr("q", "v", "cast(null as double) as least")
+    sizes = index.visits(asked.coalesce(1), "q", 40).mapInArrow(lambda batches: (b.select(["q"]) for b in batches), "q long")
+    assert sizes.count() > 9
+    held = []
+
+    class Seen:
+        def mapInArrow(self, run, schema):
+            held.append(run)
+
+    class Asked:
+        dtypes = asked.dtypes
+
+        def select(self, *columns):
+            return Seen()
+
+    index.visits(Asked(), "q", 40)
+    batches = asked.coalesce(1).toArrow().to_batches()
+    assert max(b.num_rows for b in held[0](iter(batches))) <= 5
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = index.top_k(df.where("id < 9").withColumnRenamed("id", "q"), "q", 4).collect()
+    for q in range(9):
+        assert [x.id for x in sorted((x for x in got if x.q == q), key=lambda x: x.place)] == np.argsort(-(u @ u[q]), kind="stable")[:4].tolist()
+
+
+def test_profiles_meet_once_for_two_classes(spark, monkeypatch):
+    """Copies: pairs are spelled out by key, of profiles only those of two classes are compared."""
+    from pyspark.sql import functions as F
+
+    from caseloom.functions import text
+    from caseloom.operators import dedup
+
+    forms = ["a b c", "a\nb c"]
+    df = spark.createDataFrame([(i, forms[i % 2]) for i in range(60)], "id long, text string").withColumn("profile", text.identity(F.col("text"), F.lit(True)))
+    rows = {}
+
+    def counting(df, name, stored=dedup.stored):
+        out = stored(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dedup, "stored", counting)
+    got = dedup.equivalent_pairs(df, "id", "profile")
+    assert {tuple(x) for x in got.collect()} == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+    assert rows == {"profiles": 60, "class-pairs": 1}
