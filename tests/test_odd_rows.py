@@ -131,3 +131,16 @@ def test_profiles_meet_once_for_two_classes(spark, monkeypatch):
     got = dedup.equivalent_pairs(df, "id", "profile")
     assert {tuple(x) for x in got.collect()} == {(a, b) for a in range(60) for b in range(a + 1, 60)}
     assert rows == {"profiles": 60, "class-pairs": 1}
+
+
+def test_terms_are_counted_on_the_smaller_side_only(spark):
+    from caseloom.operators import dedup
+
+    left = {i: [f"t{(i * k) % 11}" for k in range(1, 2 + i % 5)] + ["own"] * (i % 2) for i in range(40)}
+    right = {i: [f"t{(i + k) % 11}" for k in range(1, 2 + i % 4)] for i in range(12)}
+    left, right = ({k: sorted(set(v)) for k, v in x.items()} for x in (left, right))
+    a, b = spark.createDataFrame(list(left.items()), "a long, g array<string>"), spark.createDataFrame(list(right.items()), "b long, g array<string>")
+    out = dedup.similar(a, b, "a", "b", "g", 1, 2)
+    want = {(i, j, len(set(x) & set(y)), len(set(x) | set(y))) for i, x in left.items() for j, y in right.items() if 2 * len(set(x) & set(y)) >= len(set(x) | set(y))}
+    assert {tuple(r) for r in out.collect()} == want and len(want) > 10
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 4
