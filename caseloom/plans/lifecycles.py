@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -18,18 +19,18 @@ C = F.col
 n = lambda c="*": F.count(c)
 
 
-def csv_of(t: Tables, rows: DataFrame) -> str:
-    """A folder of CSV files made from rows by Spark."""
-    path = folder(t.spark, "csv")
-    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    return path
+def csv_of(t: Tables, rows: DataFrame, *by: str) -> tuple[str, str]:
+    """A folder of CSV files made from rows by Spark, and the word for null in them, which no text has: an empty text is none."""
+    path, null = folder(t.spark, "csv"), uuid.uuid4().hex
+    files.write_csv(rows, path, null, by)
+    return path, null
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def csv_record_scan(t: Tables) -> DataFrame:
     """Texts with quotes and line breaks, written as CSV and read back."""
-    path = csv_of(t, t.documents.select(C("doc_id").cast("string").alias("doc_id"), "text"))
-    return files.read_csv(t.spark, path, ["doc_id", "text"]).select(C("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"))
+    path, null = csv_of(t, t.documents.select(C("doc_id").cast("string").alias("doc_id"), "text"))
+    return files.read_csv(t.spark, path, ["doc_id", "text"], null=null).select(C("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16-le' ELSE 'cp949' END AS encoding FROM documents")
@@ -62,10 +63,9 @@ def csv_width_reconcile(t: Tables) -> DataFrame:
 @query("SELECT md5(left(trim(text), 500)) AS text, trim(source) AS source FROM documents WHERE doc_id % 20 = 7 ORDER BY doc_id LIMIT 5")
 def csv_preview(t: Tables) -> DataFrame:
     """The first rows of one of twenty files."""
-    path = folder(t.spark, "csv")
     rows = t.documents.select((C("doc_id") % 20).alias("part"), "doc_id", "text", "source").repartition("part").sortWithinPartitions("part", "doc_id")
-    rows.drop("doc_id").write.partitionBy("part").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    return files.preview(files.read_csv(t.spark, f"{path}/part=7", ["text", "source"]), ["text", "source"]).select(F.md5("text").alias("text"), "source")
+    path, null = csv_of(t, rows.drop("doc_id"), "part")
+    return files.preview(files.read_csv(t.spark, f"{path}/part=7", ["text", "source"], null=null), ["text", "source"]).select(F.md5("text").alias("text"), "source")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (length(text) > 4000) AS unreadable FROM documents")

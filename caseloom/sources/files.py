@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,17 +14,24 @@ from pyspark.sql import types as T
 
 FIELD_LIMIT = 2_000_000
 REASON_LIMIT = 2000
+#: Quotes are doubled, and nothing else is special beside them; by default the parser drops a zero character there.
+QUOTED = {"header": True, "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"'}
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str], encoding: str = "UTF-8", sep: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: list[str], encoding: str = "UTF-8", sep: str = ",", null: str = "") -> DataFrame:
     """Every record as strings: quoted line breaks and doubled quotes kept, blank lines skipped.
 
     A record of another width keeps its raw text in ``_corrupt``; short ones are
-    padded with nulls.
+    padded with nulls.  Values equal to ``null`` are nulls.
     """
     schema = T.StructType([*[T.StructField(c.strip(), T.StringType()) for c in columns], T.StructField("_corrupt", T.StringType())])
-    options = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "maxCharsPerColumn": -1, "encoding": encoding, "enforceSchema": True}
-    return spark.read.schema(schema).options(**options).csv(path)
+    options = {"multiLine": True, "sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "maxCharsPerColumn": -1, "encoding": encoding, "enforceSchema": True, "nullValue": null}
+    return spark.read.schema(schema).options(**QUOTED, **options).csv(path)
+
+
+def write_csv(rows: DataFrame, path: str, null: str = "", by: Sequence[str] = ()) -> None:
+    """All values in quotes and as they are, blanks at their ends included; ``null`` stands for nulls."""
+    rows.write.partitionBy(*by).options(**QUOTED, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue=null).csv(path)
 
 
 def surplus(rows: DataFrame, columns: list[str], sep: str = ",") -> DataFrame:

@@ -144,3 +144,22 @@ def test_terms_are_counted_on_the_smaller_side_only(spark):
     want = {(i, j, len(set(x) & set(y)), len(set(x) | set(y))) for i, x in left.items() for j, y in right.items() if 2 * len(set(x) & set(y)) >= len(set(x) | set(y))}
     assert {tuple(r) for r in out.collect()} == want and len(want) > 10
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 4
+
+
+def test_texts_come_back_from_csv_as_they_were(spark, tmp_path):
+    """Blanks at the ends, an empty text beside none, and all short texts of characters that a CSV parser may take for its own."""
+    import itertools
+
+    short = ["".join(x) for n in range(5) for x in itertools.product('a"\0,\n\r \\', repeat=n)]
+    got = agrees(spark, tmp_path, "csv_record_scan", dict(enumerate([*short, "\t tab\t", "\ufeffx", "\u00a0x\u3000", '"x"' * 400_000])))
+    assert len(got) == len(short) + 4
+
+
+def test_csv_tells_an_empty_text_from_none(spark, tmp_path):
+    from caseloom.plans.registry import Tables
+    from caseloom.plans.lifecycles import csv_of
+    from caseloom.sources import files
+
+    rows = [("1", None), ("2", ""), ("3", " ")]
+    path, null = csv_of(Tables(spark, str(tmp_path)), spark.createDataFrame(rows, "id string, text string"))
+    assert sorted((r.id, r.text) for r in files.read_csv(spark, path, ["id", "text"], null=null).collect()) == rows
