@@ -163,3 +163,13 @@ def test_csv_tells_an_empty_text_from_none(spark, tmp_path):
     rows = [("1", None), ("2", ""), ("3", " ")]
     path, null = csv_of(Tables(spark, str(tmp_path)), spark.createDataFrame(rows, "id string, text string"))
     assert sorted((r.id, r.text) for r in files.read_csv(spark, path, ["id", "text"], null=null).collect()) == rows
+
+
+def test_blank_texts_have_no_quality(spark):
+    """As in the reference, whatever the share of readable characters of nothing would be."""
+    from pyspark.sql import functions as F
+
+    from caseloom.functions import text
+
+    rows = [(x,) for x in (None, "", "  ", "\n 　\x0b")]
+    assert [r.q for r in spark.createDataFrame(rows, "x string").select(text.quality(F.col("x"), ["tion"]).alias("q")).collect()] == [0.0] * 4
