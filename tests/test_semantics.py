@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import glob
 import json
+import os
 import random
 
 import numpy as np
@@ -17,6 +19,7 @@ from caseloom.functions import clauses as fc
 from caseloom.functions import json_text, text, vectors
 from caseloom.operators import curation, dedup, evidence, lifecycle, rules, windows
 from caseloom.sources import files
+from caseloom.sources.scratch import root
 
 
 def one(spark, value, expression):
@@ -247,6 +250,29 @@ def test_similar_pairs_are_neither_stored_nor_dealt(spark, monkeypatch):
     assert max(rows.values()) == 60
 
 
+def test_sets_lie_once_whatever_the_blocks(spark):
+    """Cells are dealt by the names of blocks: what is stored and dealt has each set once, however many others it meets."""
+    words = [f"w{i:03d}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[:i] + words[i + 1 :])) for i in range(60)], "doc_id long, text string")
+    out = dedup.near_pairs(docs, "doc_id", "text", 72, 100, block=4)
+    assert out.count() == 60 * 59 // 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "bits" not in plan and "rest" not in plan
+    newest = max(glob.glob(f"{root(spark)}/gram-blocks-*"), key=os.path.getmtime)
+    blocks = spark.read.parquet(newest).groupBy("band", "part").count().collect()
+    assert sum(b["count"] for b in blocks) == 60 and len(blocks) > 8
+
+
+def test_a_block_that_is_not_whole_is_an_error(tmp_path):
+    os.makedirs(tmp_path / "band=1" / "part=0")
+    pd.DataFrame({"id": [1, 2], "n": [3, 3], "bits": [bytes(1024)] * 2, "rest": [bytes(24), bytes(24)]}).to_parquet(tmp_path / "band=1" / "part=0" / "a.parquet")
+    assert dedup.block_of(str(tmp_path), 1, 0, 2).n.tolist() == [3, 3]
+    with pytest.raises(OSError):
+        dedup.block_of(str(tmp_path), 1, 0, 3)
+    with pytest.raises(OSError):
+        dedup.block_of(str(tmp_path), 1, 1, 3)
+
+
 def test_earliest_equivalents_come_from_class_heads(spark):
     r = random.Random(4)
     forms = ["a b c", "a  b c", "ab c", "a\nb c", "x y", "xy", "x\ny", "z"]
